@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loamspark.llm import queries_corpus
+from loamspark.llm import queries_corpus, queries_records
 
-QUERIES = {**queries_corpus.QUERIES}
-ORACLE_SQL = {**queries_corpus.ORACLE_SQL}
+QUERIES = {**queries_records.QUERIES, **queries_corpus.QUERIES}
+ORACLE_SQL = {**queries_records.ORACLE_SQL, **queries_corpus.ORACLE_SQL}
