@@ -2,7 +2,8 @@
 
 The nested field paths of a record (``messages[].role``) that any declared layout knows
 are sorted and hashed; the hash selects a declarative mapping from that layout to canonical
-turns, an array of (role, text). A typed table has one fingerprint, taken from its schema;
+turns, an array of (role, text). Where a record mixes fields of several layouts, the first
+layout whose own paths have its hash is taken. A typed table has one fingerprint, taken from its schema;
 a column of JSON records has one per row, taken from its keys.
 
 Template: a turn is ``### role:\\n`` text ``\\n</turn>\\n``. Inside texts every backslash,
@@ -48,7 +49,7 @@ class Layout:
 
     def paths(self) -> list[str]:
         if self.rows:
-            return sorted([*self.rows, self.role, self.text])
+            return sorted([self.rows[1], self.role, self.text])
         if self.array:
             return sorted([self.array, f"{self.array}[].{self.role}", f"{self.array}[].{self.text}"])
         return sorted(f for _, fields in self.fixed for f in fields)
@@ -102,8 +103,12 @@ def schema_paths(schema: T.StructType, prefix: str = "") -> list[str]:
 
 def layout_of(schema: T.StructType, layouts: tuple[Layout, ...] = LAYOUTS) -> Layout | None:
     """The layout that the fingerprint of a schema's known paths selects."""
-    known = set(_known(layouts))
-    return _selected(layouts).get(fingerprint([p for p in schema_paths(schema) if p in known]))
+    paths, known = schema_paths(schema), set(_known(layouts))
+    exact = _selected(layouts).get(fingerprint([p for p in paths if p in known]))
+    if exact:
+        return exact
+    own = lambda x: fingerprint([p for p in paths if p in x.paths()])
+    return next((x for x in layouts if own(x) in map(fingerprint, x.variants())), None)
 
 
 def json_paths(payload: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
@@ -124,8 +129,15 @@ def _prefixed(prefix: str):
     return lambda k: F.concat(F.lit(prefix), k)
 
 
+def path_hash(paths: Column, known: list[str] | None = None) -> Column:
+    """Hash of sorted paths, or of those among them that are known."""
+    if known is not None:
+        paths = F.array_sort(F.array_intersect(paths, F.array(*[F.lit(p) for p in known])))
+    return F.sha2(F.array_join(paths, "\n"), 256)
+
+
 def json_fingerprint(payload: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
-    return F.sha2(F.array_join(json_paths(payload, layouts), "\n"), 256)
+    return path_hash(json_paths(payload, layouts))
 
 
 def _turn(role: Column, text: Column, layout: Layout) -> Column:
@@ -148,18 +160,19 @@ def _fixed_turns(layout: Layout, value) -> Column:
 
 def turns_from_json(payload: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
     """Canonical turns of JSON records of mixed layouts; null where no layout fits."""
-    mark = json_fingerprint(payload, layouts)
-    out = F.lit(None).cast(TURNS)
-    for layout in layouts:
-        if layout.rows:
-            continue
+    layouts = tuple(x for x in layouts if not x.rows)
+    paths = json_paths(payload, layouts)
+    exact, looser = F.lit(None).cast(TURNS), F.lit(None).cast(TURNS)
+    for layout in reversed(layouts):
         if layout.array:
             rows = F.from_json(F.get_json_object(payload, f"$.{layout.array}"), "array<map<string,string>>")
             turns = F.transform(rows, _map_turn(layout)).cast(TURNS)
         else:
             turns = _fixed_turns(layout, lambda n: F.get_json_object(payload, f"$.{n}"))
-        out = F.when(mark.isin([fingerprint(v) for v in layout.variants()]), turns).otherwise(out)
-    return out
+        marks = [fingerprint(v) for v in layout.variants()]
+        exact = F.when(path_hash(paths).isin(marks), turns).otherwise(exact)
+        looser = F.when(path_hash(paths, layout.paths()).isin(marks), turns).otherwise(looser)
+    return F.coalesce(exact, looser)
 
 
 def _map_turn(layout: Layout):
