@@ -215,9 +215,8 @@ def classify_quality(
     sample = narrow.join(chosen, narrow["doc_id"] == chosen["__id"]).select("doc_id", "text", "__label")
     keyed = sample.select(F.struct("doc_id", F.col("__label").alias("label")).alias("doc_id"), "text")
     measured = text_statistics(keyed).select("doc_id.doc_id", F.col("doc_id.label").alias("label"), *STATISTICS)
-    rows = measured.select(*STATISTICS, F.col("label").cast("double"), "doc_id").collect()
-    rows = sorted(rows, key=lambda r: tuple(r))
-    table = np.array([tuple(r)[:-1] for r in rows], dtype=np.float64).reshape(len(rows), len(STATISTICS) + 1)
+    rows = measured.orderBy(F.xxhash64("doc_id"), *STATISTICS).select(*STATISTICS, F.col("label").cast("double")).limit(max_rows).collect()
+    table = np.array([tuple(r) for r in rows], dtype=np.float64).reshape(len(rows), len(STATISTICS) + 1)
     model = fit_rules(table[:, :-1], table[:, -1])
     scored = text_statistics(docs, id_col, text_col).select("doc_id", model.score().alias("score"))
     return scored.select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
