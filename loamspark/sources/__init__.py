@@ -1,0 +1 @@
+"""Readers of files, pages and stored tables."""
