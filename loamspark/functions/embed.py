@@ -7,7 +7,7 @@ from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,26 +43,31 @@ def embed_tokens(tokens: list[str], dimension: int) -> np.ndarray:
     return vector / norm if norm > 0 else vector
 
 
-def hashed_vector(tokens: Column, dimension: int) -> Column:
-    """Embedding of a column of tokens, an Arrow batch at a time."""
+def with_hashed_vectors(rows: DataFrame, tokens: Column, dimension: int, name: str = "values") -> DataFrame:
+    """rows with the embedding of a column of tokens, an Arrow batch at a time."""
+    schema = T.StructType([*rows.drop(name).schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))])
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.map(lambda ts: embed_tokens([] if ts is None else list(ts), dimension))
+            vectors = [embed_tokens(t or [], dimension) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            made = pa.array(vectors, type=pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=schema.names)
 
-    return embed(tokens)
+    return rows.drop(name).withColumn("__tokens", tokens).mapInArrow(run, schema)
 
 
-#: A provider makes a vector column from a text column.
-Provider = Callable[[Column, int], Column]
-PROVIDERS: dict[str, Provider] = {"hash": lambda text, dimension: hashed_vector(tokenize(text), dimension)}
+def with_hash_provider(rows: DataFrame, text: Column, dimension: int) -> DataFrame:
+    return with_hashed_vectors(rows, tokenize(text), dimension)
+
+
+#: A provider adds a column ``values`` of vectors to rows, from a text column; others may be registered.
+PROVIDERS: dict[str, Callable[[DataFrame, Column, int], DataFrame]] = {"hash": with_hash_provider}
 
 
 def vector_records(chunks: DataFrame, dimension: int = 384, provider: str = "hash", model: str = "hash", collection_id: str = "default") -> DataFrame:
     """Vector table rows of chunks, with the hashes that say whether they are still right."""
-    text = weighted_text()
-    made = chunks.select(
+    text = F.col("__text")
+    made = chunks.withColumn("__text", weighted_text()).select(
         F.col("id").alias("chunk_id"),
         "document_id",
         "chunk_index",
@@ -75,6 +80,6 @@ def vector_records(chunks: DataFrame, dimension: int = 384, provider: str = "has
         *[F.lit(v).alias(k) for k, v in VERSIONS.items()],
         F.current_timestamp().alias("created_at"),
         F.lit(True).alias("is_active"),
-        PROVIDERS[provider](text, dimension).alias("values"),
+        text,
     )
-    return conform(made, VECTORS)
+    return conform(PROVIDERS[provider](made, text, dimension), VECTORS)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loamspark.functions.text import SPACES, contains_any, nfkc, strip
+from loamspark.functions.text import SPACES, contains_any, let, nfkc, strip
 
 #: Chip families, longer names before their prefixes.
 CHIP_FAMILIES = ("esp32p4", "esp32c61", "esp32c6", "esp32c5", "esp32c3", "esp32c2", "esp32h4", "esp32h2", "esp32s3", "esp32s2", "esp32", "esp8266")
@@ -53,8 +53,7 @@ def lookup_variants(*values: Column) -> Column:
 
 def chip_family(*values: Column) -> Column:
     """The first family of the list that occurs."""
-    text = joined(*values)
-    return F.coalesce(*[F.when(F.contains(text, F.lit(chip)), F.lit(chip)) for chip in CHIP_FAMILIES])
+    return let(joined(*values), lambda text: F.coalesce(*[F.when(F.contains(text, F.lit(chip)), F.lit(chip)) for chip in CHIP_FAMILIES]))
 
 
 def language(*values: Column) -> Column:
@@ -64,48 +63,68 @@ def language(*values: Column) -> Column:
 
 
 def version(*values: Column) -> Column:
-    text = joined(*values)
-    number = F.regexp_extract(text, r"(?U)\bv\d+(?:\.\d+){1,2}\b", 0)
-    return F.when(number != "", number).when(F.contains(text, F.lit("stable")), "stable").when(F.contains(text, F.lit("latest")), "latest")
 
+    def found(text: Column) -> Column:
+        number = F.regexp_extract(text, r"(?U)\bv\d+(?:\.\d+){1,2}\b", 0)
+        return F.when(number != "", number).when(F.contains(text, F.lit("stable")), "stable").when(F.contains(text, F.lit("latest")), "latest")
 
-def document_metadata(filename: Column, title: Column, source_path: Column, source_url: Column, source_format: Column, chunk_count: Column) -> Column:
-    """Struct of doc_type, content_domain, chip_family, version, language, is_entrypoint, retrieval_priority."""
-    values = (filename, title, source_path, source_url, source_format)
-    merged, name, heading = joined(*values), lookup(filename), lookup(title)
-    base = lookup(basename(F.replace(filename, F.lit("\\"), F.lit("/"))))
-    has = lambda *terms: contains_any(merged, terms)
+    return let(joined(*values), found)
+
+
+def _cases(f: Column) -> list[tuple]:
+    """Conditions on folded names with type, domain, priority and whether it is an entry point; the first that holds counts."""
+    has = lambda *terms: contains_any(f["merged"], terms)
     ends = lambda text, *tails: reduce(lambda a, b: a | b, [F.endswith(text, F.lit(t)) for t in tails])
-    cases = [
+    return [
         (has("datasheet", "技术规格书"), "datasheet", "hardware", 2, False),
         (has("technical reference manual", "技术参考手册"), "trm", "hardware", 2, False),
         (has("hardware design guidelines", "硬件设计指南"), "hardware_design", "hardware", 2, False),
         (has("/security/", "flash 加密", "安全概述"), "security", "software", 1, False),
-        (source_format == "code", "source_code", "project", 2, False),
-        (base.isin(*BUILD_FILES), "build_config", "project", 2, False),
-        (ends(name, ".yaml", ".yml", ".json", ".toml", ".ini") & source_format.isin("code", "text"), "project_config", "project", 1, False),
-        (ends(name, ".md", ".markdown", ".mdx") & has(*DESIGN_WORDS), "project_doc", "project", 1, False),
-        (has("/api-reference/") | F.contains(F.concat(F.lit(" "), merged, F.lit(" ")), F.lit(" api ")), "api_reference", "software", 1, False),
+        (f["format"] == "code", "source_code", "project", 2, False),
+        (f["base"].isin(*BUILD_FILES), "build_config", "project", 2, False),
+        (ends(f["name"], ".yaml", ".yml", ".json", ".toml", ".ini") & f["format"].isin("code", "text"), "project_config", "project", 1, False),
+        (ends(f["name"], ".md", ".markdown", ".mdx") & has(*DESIGN_WORDS), "project_doc", "project", 1, False),
+        (has("/api-reference/") | F.contains(F.concat(F.lit(" "), f["merged"], F.lit(" ")), F.lit(" api ")), "api_reference", "software", 1, False),
         (has("/api-guides/", *GUIDE_WORDS), "guide", "software", 1, False),
         (has("esptool", "vs code 扩展"), "tooling", "tooling", 1, False),
-        (has("devkit", "schematic") | ends(merged, "_sch.pdf"), "schematic", "hardware", 0, False),
+        (has("devkit", "schematic") | ends(f["merged"], "_sch.pdf"), "schematic", "hardware", 0, False),
         (has("产品文档页", "/products/socs/"), "product_catalog", "catalog", -3, True),
-        (has("资料导入总览") | F.contains(F.lower(without_extension(basename(filename))), F.lit("catalog")), "catalog", "catalog", -2, True),
-        (heading.rlike(r"^esp-idf 编程指南 - esp32(?:-[a-z0-9]+)?$"), "programming_guide_home", "software", -2, True),
-        (ends(heading, "硬件参考"), "hardware_reference_home", "hardware", -2, True),
-        (F.contains(heading, F.lit("文档入口")), "index", "catalog", -2, True),
+        (has("资料导入总览") | F.contains(f["stem"], F.lit("catalog")), "catalog", "catalog", -2, True),
+        (f["heading"].rlike(r"^esp-idf 编程指南 - esp32(?:-[a-z0-9]+)?$"), "programming_guide_home", "software", -2, True),
+        (ends(f["heading"], "硬件参考"), "hardware_reference_home", "hardware", -2, True),
+        (F.contains(f["heading"], F.lit("文档入口")), "index", "catalog", -2, True),
     ]
-    made = lambda kind, domain, priority, entry: F.struct(F.lit(kind).alias("doc_type"), F.lit(domain).alias("content_domain"), F.lit(entry).alias("is_entrypoint"), F.lit(priority).alias("retrieval_priority"))
-    chosen = made("other", "general", 0, False)
-    for condition, *result in reversed(cases):
-        chosen = F.when(F.coalesce(condition, F.lit(False)), made(*result)).otherwise(chosen)
-    small_home = (chunk_count <= 2) & chosen["doc_type"].isin("programming_guide_home", "hardware_reference_home", "index")
-    return F.struct(
-        chosen["doc_type"].alias("doc_type"),
-        chosen["content_domain"].alias("content_domain"),
-        chip_family(*values).alias("chip_family"),
-        version(*values).alias("version"),
-        language(*values).alias("language"),
-        (chosen["is_entrypoint"] | F.coalesce(small_home, F.lit(False))).alias("is_entrypoint"),
-        F.when(small_home, F.least(chosen["retrieval_priority"], F.lit(-2))).otherwise(chosen["retrieval_priority"]).alias("retrieval_priority"),
+
+
+def document_metadata(filename: Column, title: Column, source_path: Column, source_url: Column, source_format: Column, chunk_count: Column) -> Column:
+    """Struct of doc_type, content_domain, chip_family, version, language, is_entrypoint, retrieval_priority."""
+    values = (filename, title, source_path, source_url, source_format)
+    folded = F.struct(
+        joined(*values).alias("merged"),
+        lookup(filename).alias("name"),
+        lookup(title).alias("heading"),
+        lookup(basename(F.replace(filename, F.lit("\\"), F.lit("/")))).alias("base"),
+        F.lower(without_extension(basename(filename))).alias("stem"),
+        source_format.alias("format"),
     )
+    made = lambda kind, domain, priority, entry: F.struct(F.lit(kind).alias("doc_type"), F.lit(domain).alias("content_domain"), F.lit(entry).alias("is_entrypoint"), F.lit(priority).alias("retrieval_priority"))
+
+    def classified(f: Column) -> Column:
+        chosen = made("other", "general", 0, False)
+        for condition, *result in reversed(_cases(f)):
+            chosen = F.when(F.coalesce(condition, F.lit(False)), made(*result)).otherwise(chosen)
+        return chosen
+
+    def completed(kind: Column) -> Column:
+        small_home = F.coalesce((chunk_count <= 2) & kind["doc_type"].isin("programming_guide_home", "hardware_reference_home", "index"), F.lit(False))
+        return F.struct(
+            kind["doc_type"].alias("doc_type"),
+            kind["content_domain"].alias("content_domain"),
+            chip_family(*values).alias("chip_family"),
+            version(*values).alias("version"),
+            language(*values).alias("language"),
+            (kind["is_entrypoint"] | small_home).alias("is_entrypoint"),
+            F.when(small_home, F.least(kind["retrieval_priority"], F.lit(-2))).otherwise(kind["retrieval_priority"]).alias("retrieval_priority"),
+        )
+
+    return let(let(folded, classified), completed)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loamspark.functions.text import STRINGS, compact, contains_any, one_line, strip
+from loamspark.functions.text import STRINGS, compact, contains_any, let, one_line, strip
 
 #: Code that must not become a section title.
 CODE_MARKS = (
@@ -22,17 +22,20 @@ CELL_TOKEN = r"[A-Za-z0-9.\-/\x{4e00}-\x{9fff}]+"
 
 def heading_level(title: Column) -> Column:
     """Level that a title states by its numbering; null if none."""
-    t = compact(title)
-    number = F.regexp_extract(t, r"(?U)^(\d+(?:\.\d+)*)\s+\S+", 1)
-    return (
-        F.when(t.rlike(rf"(?U)^第\s*[{NUMERAL}]+\s*章\b"), 1)
-        .when(t.rlike(rf"(?U)^第\s*[{NUMERAL}]+\s*节\b"), 2)
-        .when(t.rlike(rf"(?U)^第\s*[{NUMERAL}]+\s*版\s*前言$"), 1)
-        .when(t.isin("序", "前言", "绪论"), 1)
-        .when(number != "", F.least(F.size(F.split(number, r"\.")), F.lit(6)))
-        .when(t.rlike(r"(?Ui)^chapter\s+\d+\b"), 1)
-        .when(t.rlike(r"(?Ui)^section\s+\d+\b"), 2)
-    )
+
+    def level(t: Column) -> Column:
+        number = F.regexp_extract(t, r"(?U)^(\d+(?:\.\d+)*)\s+\S+", 1)
+        return (
+            F.when(t.rlike(rf"(?U)^第\s*[{NUMERAL}]+\s*章\b"), 1)
+            .when(t.rlike(rf"(?U)^第\s*[{NUMERAL}]+\s*节\b"), 2)
+            .when(t.rlike(rf"(?U)^第\s*[{NUMERAL}]+\s*版\s*前言$"), 1)
+            .when(t.isin("序", "前言", "绪论"), 1)
+            .when(number != "", F.least(F.size(F.split(number, r"\.")), F.lit(6)))
+            .when(t.rlike(r"(?Ui)^chapter\s+\d+\b"), 1)
+            .when(t.rlike(r"(?Ui)^section\s+\d+\b"), 2)
+        )
+
+    return let(compact(title), level)
 
 
 def bare_title(title: Column) -> Column:
@@ -41,20 +44,23 @@ def bare_title(title: Column) -> Column:
 
 def is_section_title(title: Column) -> Column:
     """Whether a text may stand in a section path."""
-    t = bare_title(title)
-    low = F.lower(t)
-    bad = (
-        (t == "")
-        | (F.length(t) > 80)
-        | F.contains(t, F.lit("|"))
-        | contains_any(low, CODE_MARKS)
-        | low.rlike(r"(?U)\b(?:srcs|include_dirs|requires|priv_requires)\b")
-        | low.rlike(r"(?U)\b(?:if|for|while|switch|return)\s*\(")
-        | t.rlike(r"(?U)^\s*(?:\$?\{?[\w./+-]+\}?=|[A-Za-z_][\w:.-]*\()")
-        | (t.rlike("[{};]") & ~t.rlike(r"(?U)^\d+(?:\.\d+)*\s+"))
-        | t.rlike(r"(?U)^[-=:_./\\\d\s]+$")
-    )
-    return F.coalesce(~bad, F.lit(False))
+
+    def refused(b: Column) -> Column:
+        t, low = b["t"], b["low"]
+        return (
+            (t == "")
+            | (F.length(t) > 80)
+            | F.contains(t, F.lit("|"))
+            | contains_any(low, CODE_MARKS)
+            | low.rlike(r"(?U)\b(?:srcs|include_dirs|requires|priv_requires)\b")
+            | low.rlike(r"(?U)\b(?:if|for|while|switch|return)\s*\(")
+            | t.rlike(r"(?U)^\s*(?:\$?\{?[\w./+-]+\}?=|[A-Za-z_][\w:.-]*\()")
+            | (t.rlike("[{};]") & ~t.rlike(r"(?U)^\d+(?:\.\d+)*\s+"))
+            | t.rlike(r"(?U)^[-=:_./\\\d\s]+$")
+        )
+
+    both = let(bare_title(title), lambda t: F.struct(t.alias("t"), F.lower(t).alias("low")))
+    return F.coalesce(~let(both, refused), F.lit(False))
 
 
 def clean_section_path(path: Column) -> Column:
@@ -98,29 +104,31 @@ def is_packed(cell: Column) -> Column:
 def is_bad_table(text: Column) -> Column:
     """Whether a table's extraction failed: placeholders, repetition, empty cells or bare numbers."""
     tokens = F.regexp_extract_all(text, F.lit(r"(?U)[\w\x{4e00}-\x{9fff}.+/-]+"), 0)
-    found = F.transform(cells(data_lines(text)), strip)
-    filled = F.size(F.filter(found, lambda c: c != ""))
-    words = F.size(F.filter(tokens, lambda t: t.rlike(r"[A-Za-z\x{4e00}-\x{9fff}]")))
-    numbers = F.size(F.filter(tokens, lambda t: t.rlike(r"(?U)^\d+(?:\.\d+)?$")))
-    bad = (
-        contains_any(text, TABLE_MARKS)
-        | ((pipes(text) > 20) & (F.size(F.array_distinct(tokens)) < 20))
-        | (F.size(found) == 0)
-        | ((F.size(found) >= 12) & (filled / F.size(found) < 0.35))
-        | ((pipes(text) > 12) & (words <= 3) & (numbers >= 8))
-    )
-    return F.when(F.coalesce(F.contains(text, F.lit("|")), F.lit(False)), bad).otherwise(F.lit(False))
+    parts = F.struct(tokens.alias("tokens"), F.transform(cells(data_lines(text)), strip).alias("cells"), pipes(text).alias("pipes"), contains_any(text, TABLE_MARKS).alias("marked"))
+
+    def bad(p: Column) -> Column:
+        words = F.size(F.filter(p["tokens"], lambda t: t.rlike(r"[A-Za-z\x{4e00}-\x{9fff}]")))
+        numbers = F.size(F.filter(p["tokens"], lambda t: t.rlike(r"(?U)^\d+(?:\.\d+)?$")))
+        n = F.size(p["cells"])
+        return (
+            p["marked"]
+            | ((p["pipes"] > 20) & (F.size(F.array_distinct(p["tokens"])) < 20))
+            | (n == 0)
+            | ((n >= 12) & (F.size(F.filter(p["cells"], lambda c: c != "")) / n < 0.35))
+            | ((p["pipes"] > 12) & (words <= 3) & (numbers >= 8))
+        )
+
+    return F.when(F.coalesce(F.contains(text, F.lit("|")), F.lit(False)), let(parts, bad)).otherwise(F.lit(False))
 
 
 def table_confidence(text: Column) -> Column:
     """low, medium or high."""
-    lines = data_lines(text)
-    widths = F.array_distinct(F.transform(lines, pipes))
-    return (
-        F.when(is_bad_table(text) | (F.size(lines) < 2) | (F.size(widths) > 2) | F.exists(cells(lines), is_packed), "low")
-        .when((F.size(lines) >= 3) & (F.size(widths) == 1), "high")
-        .otherwise("medium")
-    )
+
+    def rated(lines: Column) -> Column:
+        widths = F.array_distinct(F.transform(lines, pipes))
+        return F.when((F.size(lines) < 2) | (F.size(widths) > 2) | F.exists(cells(lines), is_packed), "low").when((F.size(lines) >= 3) & (F.size(widths) == 1), "high").otherwise("medium")
+
+    return F.when(is_bad_table(text), "low").otherwise(let(data_lines(text), rated))
 
 
 def is_page_noise(text: Column) -> Column:
@@ -141,15 +149,18 @@ TEXTBOOK = "汽车理论"
 
 def section_issue(part: Column) -> Column:
     """The first class of defect that a path's part has; null if none."""
-    t = one_line(part, 500)
-    return (
-        F.when(~is_section_title(t), "invalid_title_rule")
-        .when(is_page_noise(t), "page_or_print_noise")
-        .when(t.rlike(r"(?Ui)^(图|表|figure|fig\.|table)\s*\d"), "figure_or_table_caption")
-        .when(t.rlike(r"https?://|www\."), "url_in_section_path")
-        .when(t.rlike(rf"(?U)^\d+\s*{TEXTBOOK}$"), "running_header_or_repeated_title")
-        .when(contains_any(F.lower(t), CODE_MARKS), "code_in_section_path")
-    )
+
+    def issue(t: Column) -> Column:
+        return (
+            F.when(~is_section_title(t), "invalid_title_rule")
+            .when(is_page_noise(t), "page_or_print_noise")
+            .when(t.rlike(r"(?Ui)^(图|表|figure|fig\.|table)\s*\d"), "figure_or_table_caption")
+            .when(t.rlike(r"https?://|www\."), "url_in_section_path")
+            .when(t.rlike(rf"(?U)^\d+\s*{TEXTBOOK}$"), "running_header_or_repeated_title")
+            .when(contains_any(F.lower(t), CODE_MARKS), "code_in_section_path")
+        )
+
+    return let(one_line(part, 500), issue)
 
 
 def is_separator_row(row: Column) -> Column:
@@ -159,9 +170,12 @@ def is_separator_row(row: Column) -> Column:
 
 def is_bad_start(text: Column) -> Column:
     """Whether a text begins like the rest of a sentence."""
-    t = compact(text)
-    starts = t.rlike("^[a-z]") | t.rlike("^(的|了|和|与|及|或|擦|系数|中心|距离|变形|关系|曲线|则|因此|所以|而|但|并)") | t.rlike("^[，,。.；;：:）)]")
-    return F.coalesce((F.length(t) >= 30) & starts, F.lit(False))
+
+    def bad(t: Column) -> Column:
+        starts = t.rlike("^[a-z]") | t.rlike("^(的|了|和|与|及|或|擦|系数|中心|距离|变形|关系|曲线|则|因此|所以|而|但|并)") | t.rlike("^[，,。.；;：:）)]")
+        return (F.length(t) >= 30) & starts
+
+    return F.coalesce(let(compact(text), bad), F.lit(False))
 
 
 def is_chapter(title: Column) -> Column:

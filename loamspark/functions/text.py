@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -84,15 +86,8 @@ def let(value: Column, body) -> Column:
 
 
 def contains_any(text: Column, terms) -> Column:
-    """Whether any literal term occurs."""
-
-    def body(v: Column) -> Column:
-        found = F.lit(False)
-        for term in terms:
-            found = found | F.contains(v, F.lit(term))
-        return found
-
-    return F.coalesce(let(text, body), F.lit(False))
+    """Whether any literal term occurs; one pattern, so that plans stay small."""
+    return F.coalesce(text.rlike("|".join(map(re.escape, terms))), F.lit(False))
 
 
 def stem(token: Column) -> Column:
@@ -195,14 +190,13 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def snippet(text: Column, limit: int = 320) -> Column:
-    flat = strip(text)
-    return F.when(F.length(flat) > limit, F.concat(F.regexp_replace(F.substring(flat, 1, limit), r"(?U)\s+$", ""), F.lit("..."))).otherwise(flat)
+    cut = lambda t: F.concat(F.regexp_replace(F.substring(t, 1, limit), r"(?U)\s+$", ""), F.lit("..."))
+    return let(strip(text), lambda t: F.when(F.length(t) > limit, cut(t)).otherwise(t))
 
 
 def one_line(text: Column, limit: int = 240) -> Column:
     """One line of at most ``limit`` characters, dots where it was longer."""
-    flat = compact(text)
-    return F.when(F.length(flat) > limit, F.concat(F.substring(flat, 1, limit), F.lit("..."))).otherwise(flat)
+    return let(compact(text), lambda t: F.when(F.length(t) > limit, F.concat(F.substring(t, 1, limit), F.lit("..."))).otherwise(t))
 
 
 def session_title(text: Column, limit: int = 30) -> Column:

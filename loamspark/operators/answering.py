@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loamspark.functions.embed import hashed_vector
+from loamspark.functions.embed import with_hashed_vectors
 from loamspark.functions.text import dot, lowered, snippet, strip, tokenize, weighted_text
 from loamspark.operators import ranking
 from loamspark.operators.intent import analyzed
@@ -93,7 +93,7 @@ def candidates(questions: DataFrame, chunks: DataFrame, vectors: DataFrame | Non
         semantic = lexical.limit(0)
     else:
         chosen = ranking.select_vectors(vectors, settings.provider, settings.model, settings.dimension, settings.collection_id)
-        embedded = questions.select("question_id", hashed_vector(tokenize(F.col("query")), settings.dimension).alias("vector"))
+        embedded = with_hashed_vectors(questions.select("question_id", "query"), tokenize(F.col("query")), settings.dimension, "vector").drop("query")
         reach = chosen.select("chunk_id", "values").join(pairs, "chunk_id").join(embedded, "question_id")
         semantic = cut(reach.select("question_id", "chunk_id", F.round(dot(F.col("values"), F.col("vector")), ranking.DIGITS).alias("score")).where("score > 0"))
     fused = ranking.fuse(lexical, semantic, settings.bm25_weight, settings.vector_weight)

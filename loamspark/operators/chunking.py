@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loamspark.functions.metadata import document_metadata
 from loamspark.functions.quality import clean_section_path, is_bad_table, table_confidence
-from loamspark.functions.text import STRINGS, compact, empty_to_null, sentences, strip
+from loamspark.functions.text import STRINGS, compact, empty_to_null, let, sentences, strip
 from loamspark.schemas import CHUNKS, DOCUMENTS, conform
 
 #: Built-in profiles, then files' profiles in order of name; (id, formats, keywords, strategy).
@@ -52,19 +52,21 @@ def document_blocks(blocks: DataFrame) -> DataFrame:
 def resolve_profile(documents: DataFrame, profiles=PROFILES) -> DataFrame:
     """documents with profile_id and chunk_strategy: the best-scoring profile whose format and keywords fit, earlier ones first."""
     fold = lambda c: F.regexp_replace(strip(F.lower(F.coalesce(c, F.lit("")))), r"(?U)\s+", " ")
-    merged = F.concat_ws(" ", *[F.when(F.coalesce(F.col(c), F.lit("")) != "", fold(F.col(c))) for c in ("filename", "title", "source_path", "source_url", "source_format")])
-    kind = fold(F.col("source_format"))
+    joined = F.concat_ws(" ", *[F.when(F.coalesce(F.col(c), F.lit("")) != "", fold(F.col(c))) for c in ("filename", "title", "source_path", "source_url", "source_format")])
+    documents = documents.withColumns({"__merged": joined, "__kind": fold(F.col("source_format"))})
+    merged, kind = F.col("__merged"), F.col("__kind")
     scored = []
     for place, (name, formats, keywords, strategy) in enumerate(profiles):
         hits = sum((F.contains(merged, F.lit(k)).cast("int") for k in keywords), F.lit(0))
         fits = (kind.isin(*formats) if formats else F.lit(True)) & ((hits > 0) if keywords else F.lit(True))
         score = F.lit(1 if formats else 0) + hits * 10
         scored.append(F.when(fits, F.struct(score.alias("score"), F.lit(-place).alias("place"), F.lit(name).alias("profile_id"), F.lit(strategy).alias("chunk_strategy"))))
-    best = F.array_max(F.array(*scored))
+    documents = documents.withColumn("__best", F.array_max(F.array(*scored)))
+    best = F.col("__best")
     by_kind = F.when(kind == "code", "source_code").when(kind == "markdown", "markdown_guide").when(kind == "web", "web_article").when(F.startswith(kind, F.lit("pdf")), "pdf_document")
     return documents.withColumns(
         {"profile_id": F.coalesce(best["profile_id"], by_kind, F.lit("general")), "chunk_strategy": F.coalesce(best["chunk_strategy"], by_kind, F.lit("generic_text"))}
-    )
+    ).drop("__merged", "__kind", "__best")
 
 
 def strategy(name: Column) -> Column:
@@ -90,8 +92,7 @@ def is_short_code(kind: Column, text: Column) -> Column:
 
 def is_connector(text: Column) -> Column:
     """Short text that only leads to code."""
-    t = F.lower(compact(text))
-    return (t != "") & (F.length(t) <= 100) & (t.isin(*CONNECTORS) | t.rlike(CONNECTOR))
+    return let(F.lower(compact(text)), lambda t: (t != "") & (F.length(t) <= 100) & (t.isin(*CONNECTORS) | t.rlike(CONNECTOR)))
 
 
 def attach_code_context(rows: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamspark.functions.metadata import lookup
-from loamspark.functions.text import STRINGS, compact, contains_any, lowered
+from loamspark.functions.text import STRINGS, compact, contains_any, let, lowered
 
 IDENTIFIER = r"(?U)\b[a-zA-Z_][a-zA-Z0-9_]{2,}\b"
 
@@ -88,7 +88,10 @@ def task_type(question: Column) -> Column:
 
 def task_plan(question: Column, top_k: int) -> Column:
     """Struct of the task and what it prefers."""
-    kind = task_type(question)
+    return let(task_type(question), lambda kind: _plan(kind, top_k))
+
+
+def _plan(kind: Column, top_k: int) -> Column:
     blocks = {"book_index": ("toc", "text"), "table_lookup": ("table", "text"), "code_symbol_lookup": ("code", "text")}
     styles = {"book_index": "structured_index", "table_lookup": "table_focused", "code_symbol_lookup": "code_focused", "qa_explanation": "explanatory"}
     preferred, style = F.array().cast(STRINGS), F.lit("direct")
@@ -113,30 +116,33 @@ def task_plan(question: Column, top_k: int) -> Column:
 def query_intent(question: Column, unicode: bool = False) -> Column:
     """Struct of flags and sets that ranking uses."""
     low = lowered(question, unicode)
-    asked = {name: contains_any(low, terms) for name, terms in INTENT_TERMS.items()}
+    flags = F.struct(*[contains_any(low, terms).alias(name) for name, terms in INTENT_TERMS.items()])
 
-    def types(table: dict[str, tuple[str, ...]]) -> Column:
+    def types(asked: Column, table: dict[str, tuple[str, ...]]) -> Column:
         parts = [F.when(asked[name], F.array(*map(F.lit, kinds))).otherwise(F.array().cast(STRINGS)) for name, kinds in table.items()]
         return F.array_sort(F.array_distinct(F.concat(*parts)))
 
-    chips = F.filter(F.array(*[F.when(F.contains(low, F.lit(c)), F.lit(c)) for c in INTENT_CHIPS]), lambda c: c.isNotNull())
-    return F.struct(
-        chips.alias("preferred_chip_families"),
-        types(PREFERRED).alias("preferred_doc_types"),
-        types(DISCOURAGED).alias("discouraged_doc_types"),
-        (asked["pdf"] | asked["figures"]).alias("prefer_pdf"),
-        asked["pdf"].alias("explicit_doc_lookup"),
-        asked["locations"].alias("prefer_locations"),
-        asked["exchange"].alias("prefer_examples"),
-        asked["exchange"].alias("prefer_interactive_comm"),
-        asked["catalog"].alias("prefer_catalog"),
-        asked["catalog"].alias("allow_entrypoints"),
-        asked["bluetooth"].alias("prefer_bluetooth"),
-        (asked["code"] | asked["build"]).alias("prefer_code"),
-        asked["code"].alias("prefer_project"),
-        asked["build"].alias("prefer_build_config"),
-        asked["code"].alias("prefer_symbol_lookup"),
-        identifier_hints(question, INTENT_IGNORED, lower=False).alias("identifier_hints"),
+    chips = let(low, lambda v: F.filter(F.array(*[F.when(F.contains(v, F.lit(c)), F.lit(c)) for c in INTENT_CHIPS]), lambda c: c.isNotNull()))
+    return let(
+        flags,
+        lambda asked: F.struct(
+            chips.alias("preferred_chip_families"),
+            types(asked, PREFERRED).alias("preferred_doc_types"),
+            types(asked, DISCOURAGED).alias("discouraged_doc_types"),
+            (asked["pdf"] | asked["figures"]).alias("prefer_pdf"),
+            asked["pdf"].alias("explicit_doc_lookup"),
+            asked["locations"].alias("prefer_locations"),
+            asked["exchange"].alias("prefer_examples"),
+            asked["exchange"].alias("prefer_interactive_comm"),
+            asked["catalog"].alias("prefer_catalog"),
+            asked["catalog"].alias("allow_entrypoints"),
+            asked["bluetooth"].alias("prefer_bluetooth"),
+            (asked["code"] | asked["build"]).alias("prefer_code"),
+            asked["code"].alias("prefer_project"),
+            asked["build"].alias("prefer_build_config"),
+            asked["code"].alias("prefer_symbol_lookup"),
+            identifier_hints(question, INTENT_IGNORED, lower=False).alias("identifier_hints"),
+        ),
     )
 
 

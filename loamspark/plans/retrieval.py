@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loamspark.functions import metadata
 from loamspark.functions import text as X
-from loamspark.functions.embed import hashed_vector, vector_records
+from loamspark.functions.embed import vector_records, with_hashed_vectors
 from loamspark.operators import answering, evaluation, ranking, scoping
 from loamspark.operators.chunking import build_chunks
 from loamspark.operators.intent import INTENT_TERMS, ROUTE_IGNORED, TASK_TERMS, identifier_hints, query_intent, task_plan, task_type
@@ -320,7 +320,8 @@ def _library(spark, sf_dir):
         F.lit("markdown").alias("source_format"),
         "text",
     )
-    return build_chunks(*prepared(texts))
+    documents, chunks = build_chunks(*prepared(texts))
+    return documents.persist(), chunks.persist()  # read many times below; lineage stays for lost executors
 
 
 def ingest_chunks(spark, sf_dir):
@@ -332,7 +333,7 @@ def citations(spark, sf_dir):
     """Cited answers of all benchmark items and inline questions over the ingested chunks."""
     documents, chunks = _library(spark, sf_dir)
     items = table(spark, sf_dir, "benchmark").select((F.col("item_id") + 1000).cast("int").alias("question_id"), F.col("text").alias("question"))
-    found = answering.answerable(frame(spark).unionByName(items), documents, chunks, vector_records(chunks, 64), answering.Settings(dimension=64))
+    found = answering.answerable(frame(spark).unionByName(items), documents, chunks, vector_records(chunks, 64).persist(), answering.Settings(dimension=64))
     return found.select("question_id", "rank", "chunk_id", "document_title", "location_label", "snippet", F.round("score", 4).alias("score"))
 
 
@@ -359,7 +360,8 @@ SELECT question_id, sha256(prompt) AS prompt_sha256, CAST(length(prompt) AS BIGI
 
 
 def hash_embedding(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", hashed_vector(X.latin_tokens(F.coalesce("text", F.lit(""))), 64).alias("v"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = with_hashed_vectors(docs, X.latin_tokens(F.coalesce("text", F.lit(""))), 64, "v")
     return docs.select("doc_id", F.round(X.dot(F.col("v"), F.col("v")), 6).alias("norm"), F.round(F.col("v")[0], 6).alias("first"))
 
 
