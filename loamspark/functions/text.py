@@ -117,7 +117,7 @@ def cjk_tokens(text: Column) -> Column:
     return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(CJK_RUN), 0), of_run))
 
 
-def expansions(text: Column, groups=TERM_GROUPS, unicode: bool = False) -> Column:
+def expansions(text: Column, groups=TERM_GROUPS) -> Column:
     """All terms of every group of which one occurs, each once, in order of the groups."""
     known = F.array(*[F.array(*map(F.lit, g)) for g in groups])
 
@@ -125,15 +125,16 @@ def expansions(text: Column, groups=TERM_GROUPS, unicode: bool = False) -> Colum
         held = lambda t: F.contains(both["low"], t) | F.contains(both["raw"], t)
         return F.array_distinct(F.flatten(F.filter(known, lambda g: F.exists(g, held))))
 
-    return let(F.struct(lowered(text, unicode).alias("low"), text.alias("raw")), found)
+    return let(F.struct(lowered(text).alias("low"), text.alias("raw")), found)
 
 
-def tokenize(text: Column, groups=TERM_GROUPS, unicode: bool = False) -> Column:
-    """Latin and CJK tokens of the text with its expansions; repeats stay."""
-    more = expansions(text, groups, unicode)
-    merged = F.concat_ws("\n", text, F.nullif(F.array_join(more, " "), F.lit("")))
-    if unicode:  # a Python function cannot stand inside a lambda
-        return F.concat(latin_tokens(merged, True), cjk_tokens(merged))
+def tokenize(text: Column, groups=TERM_GROUPS) -> Column:
+    """Latin and CJK tokens of the text with its expansions; repeats stay.
+
+    Compatibility forms are folded beforehand, by ``nfkc`` in a column of its own: Spark
+    does not run a Python function inside a lambda.
+    """
+    merged = F.concat_ws("\n", text, F.nullif(F.array_join(expansions(text, groups), " "), F.lit("")))
     return F.when(text.isNotNull(), let(merged, lambda m: F.concat(latin_tokens(m), cjk_tokens(m))))
 
 
