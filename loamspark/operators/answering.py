@@ -14,6 +14,7 @@ from loamspark.operators import ranking
 from loamspark.operators.intent import analyzed
 from loamspark.operators.ranking import CODE_TYPES
 from loamspark.operators.scoping import is_code_chunk, named_documents, scoped_chunks
+from loamspark.session import materialized
 
 CITATION = (
     "document_id", "document_title", "chunk_index", "block_id", "block_type", "symbol_name", "doc_type", "chip_family", "section_path",
@@ -113,7 +114,9 @@ def answerable(questions: DataFrame, documents: DataFrame, chunks: DataFrame, ve
     """
     recent = F.col("recent") if "recent" in questions.columns else F.lit(None).cast("array<string>")
     asked = analyzed(questions.select("question_id", "question", query_text(F.col("question"), recent).alias("query")), settings.top_k)
-    scope = scoped_chunks(asked, chunks, named_documents(questions, documents))
+    # Both are read many times below; without a cut every join would plan them anew.
+    asked = materialized(asked)
+    scope = materialized(scoped_chunks(asked, chunks, named_documents(asked, documents)))
     keys = chunks.select(F.col("id").alias("chunk_id"), "document_title", "symbol_name", "chunk_index")
 
     named = scope.where("exact_symbol").select("question_id", F.col("id").alias("chunk_id")).join(keys, "chunk_id")
@@ -123,7 +126,7 @@ def answerable(questions: DataFrame, documents: DataFrame, chunks: DataFrame, ve
 
     answered = exact.select("question_id").distinct()
     open_questions = asked.join(answered, "question_id", "left_anti")
-    found = candidates(open_questions, chunks, vectors, scope.join(answered, "question_id", "left_anti"), settings)
+    found = materialized(candidates(open_questions, chunks, vectors, scope.join(answered, "question_id", "left_anti"), settings))
     best = ranking.top_k(found, settings.top_k).select("question_id", "chunk_id", "rank", "score")
     full = best.join(chunks, best["chunk_id"] == chunks["id"]).join(asked.select("question_id", "plan"), "question_id")
     lifted = F.when(F.col("plan.task_type") == "qa_fact", F.col("score")).otherwise(F.col("score") + task_preference(F.col("plan")))

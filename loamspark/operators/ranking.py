@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from loamspark.functions.text import contains_any, lowered, tokenize, weighted_text
 
@@ -127,23 +129,24 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "c
     asked = queries.select("question_id", F.col("vector").cast("array<double>")).orderBy("question_id")
     total = asked.count()
     found = None
-    id_type = vectors.schema[id_col].dataType.simpleString()
-    question_type = queries.schema["question_id"].dataType.simpleString()
+    question_type = queries.schema["question_id"].dataType
     for start in range(0, max(total, 1), block):
         rows = asked.offset(start).limit(block).collect()
-        part = _block_topk(vectors, [(r[0], r[1]) for r in rows if r[1]], k, id_col, values, f"question_id {question_type}, chunk_id {id_type}, score double")
+        part = _block_topk(vectors, [(r[0], r[1]) for r in rows if r[1]], k, id_col, values, question_type)
         found = part if found is None else found.unionByName(part)
     return top_k(found, k).drop("rank")
 
 
-def _block_topk(vectors: DataFrame, queries: list[tuple], k: int, id_col: str, values: str, schema: str) -> DataFrame:
+def _block_topk(vectors: DataFrame, queries: list[tuple], k: int, id_col: str, values: str, question_type: T.DataType) -> DataFrame:
+    id_type = vectors.schema[id_col].dataType
+    schema = T.StructType([T.StructField("question_id", question_type), T.StructField("chunk_id", id_type), T.StructField("score", T.DoubleType())])
     by_size: dict[int, tuple[list, np.ndarray]] = {}
     for size in {len(v) for _, v in queries}:
         own = [(q, v) for q, v in queries if len(v) == size]
         by_size[size] = ([q for q, _ in own], np.array([v for _, v in own], dtype=np.float64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = None
+        out = to_arrow_type(question_type)
         for batch in batches:
             ids, column = batch.column(0), batch.column(1)
             lengths = np.array(pa.compute.fill_null(pa.compute.list_value_length(column), -1))

@@ -14,6 +14,7 @@ from loamspark.operators.chunking import build_chunks
 from loamspark.operators.intent import INTENT_TERMS, ROUTE_IGNORED, TASK_TERMS, identifier_hints, query_intent, task_plan, task_type
 from loamspark.plans import sql as S
 from loamspark.plans.questions import frame
+from loamspark.session import materialized
 from loamspark.streaming.ingest import prepared
 
 
@@ -321,7 +322,8 @@ def _library(spark, sf_dir):
         "text",
     )
     documents, chunks = build_chunks(*prepared(texts))
-    return documents.persist(), chunks.persist()  # read many times below; lineage stays for lost executors
+    chunks = materialized(chunks)  # both are read many times below
+    return materialized(documents), chunks
 
 
 def ingest_chunks(spark, sf_dir):
@@ -333,7 +335,7 @@ def citations(spark, sf_dir):
     """Cited answers of all benchmark items and inline questions over the ingested chunks."""
     documents, chunks = _library(spark, sf_dir)
     items = table(spark, sf_dir, "benchmark").select((F.col("item_id") + 1000).cast("int").alias("question_id"), F.col("text").alias("question"))
-    found = answering.answerable(frame(spark).unionByName(items), documents, chunks, vector_records(chunks, 64).persist(), answering.Settings(dimension=64))
+    found = answering.answerable(frame(spark).unionByName(items), documents, chunks, materialized(vector_records(chunks, 64)), answering.Settings(dimension=64))
     return found.select("question_id", "rank", "chunk_id", "document_title", "location_label", "snippet", F.round("score", 4).alias("score"))
 
 

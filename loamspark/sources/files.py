@@ -90,7 +90,9 @@ def plausibility(text: str) -> float:
 
 
 def decoded(raw: bytes) -> tuple[str, str]:
-    """Text and encoding: the most plausible of the encodings that fit, earlier ones first."""
+    """Text and encoding: as a byte-order mark says, else the most plausible that fits, earlier ones first."""
+    if raw.startswith(b"\xef\xbb\xbf"):
+        return tidy(raw.decode("utf-8-sig", "replace")), "utf-8-sig"
     found = []
     for encoding in ENCODINGS:
         try:

@@ -32,10 +32,10 @@ class Store:
         return jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm_path
 
     def _current(self, table: str) -> str | None:
-        fs, path = self._fs(f"{self.root}/{table}/_current")
+        fs, path = self._fs(f"{self.root}/{table}/CURRENT")
         if not fs.exists(path):
             return None
-        return self.spark.read.text(f"{self.root}/{table}/_current").first()[0]
+        return self.spark.read.text(f"{self.root}/{table}/CURRENT").first()[0]
 
     def scan(self, table: str) -> DataFrame:
         """The current version; a missing table is empty."""
@@ -51,8 +51,8 @@ class Store:
         if table in PARTITIONS:
             writer = writer.partitionBy(*PARTITIONS[table])
         writer.parquet(f"{self.root}/{table}/{version}")
-        fs, target = self._fs(f"{self.root}/{table}/_current")
-        _, fresh = self._fs(f"{self.root}/{table}/_next-{uuid.uuid4().hex}")
+        fs, target = self._fs(f"{self.root}/{table}/CURRENT")
+        _, fresh = self._fs(f"{self.root}/{table}/NEXT-{uuid.uuid4().hex}")
         stream = fs.create(fresh, True)
         stream.write(bytearray(version.encode()))
         stream.close()
