@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from loamspark.operators.blocks import line_blocks
 from loamspark.operators.chunking import build_chunks
+from loamspark.session import materialized
 from loamspark.sources.store import Store
 
 TEXTS = "id string, title string, filename string, source_path string, source_url string, source_format string, text string"
@@ -34,18 +35,14 @@ def prepared(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def ingest(store: Store, texts: DataFrame) -> int:
     """Documents of ``texts`` that are not stored yet, with chunks and vectors; how many."""
-    new = store.new_only(texts.dropDuplicates(["source_path"])).persist()
-    try:
-        documents, chunks = build_chunks(*prepared(new))
-        documents, chunks = documents.persist(), chunks.persist()
-        n = documents.count()
-        if n:
-            store.add_documents(documents, chunks)
-        documents.unpersist()
-        chunks.unpersist()
-        return n
-    finally:
-        new.unpersist()
+    # Checkpoints, not caches: a cache that read the stored documents is made anew, and then
+    # empty, as soon as these documents are appended.
+    new = materialized(store.new_only(texts.dropDuplicates(["source_path"])))
+    documents, chunks = map(materialized, build_chunks(*prepared(new)))
+    n = documents.count()
+    if n:
+        store.add_documents(documents, chunks)
+    return n
 
 
 def start(store: Store, stream: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
