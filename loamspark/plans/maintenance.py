@@ -170,7 +170,7 @@ k AS (SELECT *, seq % 3 = 1 AS code, seq // 4 AS sec FROM l),
 w AS (SELECT *, lag(line) OVER d AS pl, lag(code) OVER d AS pc, lag(sec) OVER d AS ps, lead(line) OVER d AS nl, lead(code) OVER d AS nc, lead(sec) OVER d AS ns
       FROM k WINDOW d AS (PARTITION BY doc_id ORDER BY seq)),
 c AS (SELECT *, code AND (length(line) < 120 OR regexp_matches(line, '\S')) AS short,
-             trim(regexp_replace(substr(pl, 1, 500), '\s+', ' ', 'g')) AS pt, trim(regexp_replace(substr(nl, 1, 500), '\s+', ' ', 'g')) AS nt FROM w)
+             trim(regexp_replace(substr(pl, 1, 500), '\s+', ' ', 'g')) AS pt, trim(regexp_replace(substr(nl, 1, 500), '\s+', ' ', 'g')) AS nt FROM w),
 n AS (SELECT *, lag(short) OVER d AS p_short, lead(short) OVER d AS n_short, lower(trim(regexp_replace(line, '\s+', ' ', 'g'))) AS t FROM c WINDOW d AS (PARTITION BY doc_id ORDER BY seq)),
 x AS (SELECT *, NOT code AND t <> '' AND length(t) <= 100 AND regexp_matches(t, '(?:is in|implementation is in|content of|file is|following|below)\s*[\w./+-]*:?\s*$')
                 AND ((p_short AND ps = sec) OR (n_short AND ns = sec)) AS dropped FROM n)
