@@ -6,7 +6,9 @@
 2. A suspicious token (letters mixed with look-alike digits or signs, a letter three times
    or more in a row, single letters held apart by blanks or dots) becomes a lattice of the
    characters it may stand for, each with a channel cost. Viterbi picks the likeliest path
-   under the model; equal scores go to the smaller string.
+   under the model; equal scores go to the smaller string. A look-alike three times or more
+   in a row is read twice, as up to three letters and as one; both readings count. Tokens
+   and runs of spaced letters are decoded at any length, in time linear in it.
 3. Words of the restored text, with their prefixes, are hashed into 2**20 buckets. Buckets
    that toxic training rows have far more often than others carry a log-odds weight; a
    text's score is a logistic function of the weights found in it.
@@ -56,6 +58,7 @@ _CODE = {c: i for i, c in enumerate(_SYMBOLS)}
 _SPACED = re.compile(r"(?<!\S)\w(?:[\s._*\-]\w){3,}(?![\w])")
 _EDGE = ".,;:!?\"'#%&*<>[]{}()|$«»“”…"
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
+_SIGN_RUN = re.compile(r"([0-9@$!|+(€£])\1\1")
 _SIGNS = re.compile(r"[0-9@$!|+(€£]")
 _LETTER = re.compile(r"[^\W\d_]")
 _INNER = re.compile(r"^\w(?:[._*\-]\w){2,}$")
@@ -108,9 +111,10 @@ class CharacterModel:
 
     def decode(self, lattice: list[list[tuple[str, float]]]) -> str:
         """The likeliest string; an entry's options are short strings with their channel cost."""
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        # A path is a chain of (path before, text), so a step costs the same however long the path is.
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for options in [*lattice, [(" ", 0.0)]]:
-            following: dict[tuple[int, int], tuple[float, str]] = {}
+            following: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (score, path) in states.items():
                 for text, cost in options:
                     x, y, total = a, b, score + cost
@@ -119,16 +123,37 @@ class CharacterModel:
                         if code or y:  # a boundary after a boundary adds nothing
                             total += self.step(x, y, code)
                             x, y = y, code
-                    got = (total, path + text)
                     old = following.get((x, y))
-                    if old is None or got[0] > old[0] or (got[0] == old[0] and got[1] < old[1]):
-                        following[x, y] = got
+                    if old is None or total > old[0] or (total == old[0] and _is_smaller((path, text), old[1])):
+                        following[x, y] = (total, (path, text))
             states = following
-        return min(states.values(), key=lambda v: (-v[0], v[1]))[1].strip()
+        best = max(score for score, _ in states.values())
+        return min(_spelled(path, None) for score, path in states.values() if score == best).strip()
 
 
-def lattice_of(token: str) -> list[list[tuple[str, float]]]:
-    """What each part of a token in lower case may stand for."""
+def _spelled(path: tuple | None, since: tuple | None) -> str:
+    """The string of a path after the part ``since``."""
+    parts = []
+    while path is not since:
+        path, text = path
+        parts.append(text)
+    return "".join(reversed(parts))
+
+
+def _is_smaller(left: tuple, right: tuple) -> bool:
+    """Whether the string of the left path is the smaller one, compared from where the two part."""
+    a, b = left, right
+    while a is not b:
+        a, b = a[0], b[0]
+    return _spelled(left, a) < _spelled(right, a)
+
+
+def lattice_of(token: str, single: bool = False) -> list[list[tuple[str, float]]]:
+    """What each part of a token in lower case may stand for.
+
+    A run of three or more of one look-alike stands for up to three letters; with
+    ``single`` for one or a double one, as a run of letters does.
+    """
     out: list[list[tuple[str, float]]] = []
     i = 0
     while i < len(token):
@@ -136,7 +161,9 @@ def lattice_of(token: str) -> list[list[tuple[str, float]]]:
         j = i
         while j < len(token) and token[j] == c:
             j += 1
-        if c in LOOKALIKES:
+        if c in LOOKALIKES and single and j - i >= 3:
+            out.append([(x * n, SUBSTITUTION + DOUBLED * (n - 1)) for x in LOOKALIKES[c] for n in (1, 2)])
+        elif c in LOOKALIKES:
             for _ in range(min(j - i, 3)):
                 out.append([(x, SUBSTITUTION) for x in LOOKALIKES[c]])
         elif c in " \t\n\r\x0b\x0c._*-":
@@ -152,8 +179,8 @@ def lattice_of(token: str) -> list[list[tuple[str, float]]]:
 def is_suspicious(core: str) -> bool:
     """Whether a token in lower case may hide a word."""
     if core.isalpha():
-        return bool(_TRIPLE.search(core)) and len(core) <= 64
-    return bool(_LETTER.search(core) and len(core) <= 64 and (_SIGNS.search(core) or _TRIPLE.search(core) or _INNER.match(core)))
+        return bool(_TRIPLE.search(core))
+    return bool(_LETTER.search(core) and (_SIGNS.search(core) or _TRIPLE.search(core) or _INNER.match(core)))
 
 
 def buckets_of(word: str) -> tuple[int, ...]:
@@ -169,14 +196,24 @@ def buckets_of(word: str) -> tuple[int, ...]:
 class Restorer:
     """Tokens to the words they stand for and to a value of these words' buckets.
 
-    ``value`` makes the value from a token's buckets; a bounded table remembers it by token.
+    ``value`` makes the value from a token's buckets; a table remembers it by token, bounded
+    by the number and the characters of its tokens.
     """
 
-    def __init__(self, model: CharacterModel, value=lambda buckets: buckets, limit: int = 300_000):
-        self.model, self.value, self.limit = model, value, limit
+    def __init__(self, model: CharacterModel, value=lambda buckets: buckets, limit: int = 300_000, limit_chars: int = 10_000_000):
+        self.model, self.value, self.limit, self.limit_chars = model, value, limit, limit_chars
         self.known: dict[str, object] = {}
+        self.held = 0
+
+    def readings(self, form: str) -> list[list[str]]:
+        """The words a suspicious token stands for; with a run of look-alikes, also those with the run as one letter."""
+        found = [self.model.decode(lattice_of(form)).split()]
+        if _SIGN_RUN.search(form):
+            found.append(self.model.decode(lattice_of(form, single=True)).split())
+        return found
 
     def words(self, token: str) -> list[str]:
+        """The words of all readings of a token, then the token itself."""
         low = token.lower()
         core = low.strip(_EDGE)
         if core.isalpha() and len(core) == len(low) and not is_suspicious(core):
@@ -184,7 +221,7 @@ class Restorer:
         raw = low.strip(".,;:?\"'«»“”…")
         for form in (core, raw) if raw[:1] not in "@$(|" else (raw, core):
             if is_suspicious(form):
-                return [*self.model.decode(lattice_of(form)).split(), core]
+                return [*(w for reading in self.readings(form) for w in reading), core]
         return [core]
 
     def _value(self, words: list[str]):
@@ -196,14 +233,15 @@ class Restorer:
         tokens = text.split()
         distinct = set(tokens)
         known = self.known
-        if len(known) > self.limit:
+        if len(known) > self.limit or self.held > self.limit_chars:
             known.clear()
+            self.held = 0
         for token in distinct.difference(known):
             known[token] = self._value(self.words(token))
+            self.held += len(token)
         found = list(map(known.__getitem__, distinct))
         for m in _SPACED.finditer(text):
-            if len(m.group()) <= 256:
-                found.append(self._value(self.model.decode(lattice_of(m.group().lower())).split() or [""]))
+            found.append(self._value(self.model.decode(lattice_of(m.group().lower())).split() or [""]))
         return len(tokens), found
 
     def restore(self, text: str) -> str:

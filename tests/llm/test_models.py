@@ -66,6 +66,22 @@ def test_deobfuscation(spark):
     assert restorer.words("plain") == ["plain"] and restorer.words("2024") == ["2024"]
 
 
+def test_long_obfuscated_text_is_scored(spark):
+    """Spaced letters over 256 characters, tokens over 64 and runs of look-alikes."""
+    model = toxicity.character_model(spark.read.parquet(f"{SF}/documents.parquet"))
+    restorer = toxicity.Restorer(model, lambda buckets: set(buckets))
+    found = lambda text: set().union(*restorer.of_text(text)[1])
+    has = lambda word, text: bool(set(toxicity.buckets_of(word)) & found(text))
+    spaced, junk = " ".join("youareanidiotandaclown" * 12), " ".join("xqzvk" * 60)
+    token = ".".join("stupid" + "xqzvk" * 12)
+    assert len(spaced) > 256 and len(junk) > 256 and len(token) > 64
+    assert has("idiot", spaced) and has("clown", spaced)
+    assert has("idiot", f"i d i o t {junk}") and has("stupid", token)
+    assert has("idiot", "idi000t") and has("clown", "cl0000wn")
+    assert has("skill", "sk111")  # a run may still be three letters
+    assert restorer.of_text(" ".join("ab" * 100_000))[0] == 200_000  # linear
+
+
 def test_gram_counts_cover_all_documents(spark):
     docs = spark.createDataFrame([(1, "ab AB"), (2, None), (3, "")], "doc_id long, text string")
     counts = {r["gram"]: r["n"] for r in toxicity.gram_counts(docs).collect()}
