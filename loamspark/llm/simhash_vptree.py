@@ -286,12 +286,20 @@ def hex_fingerprint(col):
 def keep_first_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """The rows of ``df``, with all columns, less all but one document of each class.
 
-    The document with the smallest id stays; of rows with equal ids one stays.
+    The row with the smallest id stays, a null id after all others; of rows of one class with
+    equal ids that with the smallest text hash, and of identical rows one. Rows of different
+    classes never replace each other, whatever their ids.
     """
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("hash"))
     marked = checkpointed(fingerprints(df.select(key.alias("doc_id"), text_col), "doc_id", text_col, words))
-    found = checkpointed(attach_components(marked, F.col("doc_id.id")))
-    gone = found.where(~F.col("doc_id.id").eqNullSafe(F.col("component_id"))).select("doc_id.*").distinct()
-    kept = df.join(gone, df[id_col].eqNullSafe(gone["id"]) & F.xxhash64(df[text_col]).eqNullSafe(gone["hash"]), "left_anti")
-    repeated = found.where(F.col("doc_id.id").eqNullSafe(F.col("component_id"))).groupBy("component_id").count().where("count > 1 and component_id is not null")
-    return kept.dropDuplicates([id_col]) if not repeated.isEmpty() else kept
+    order = F.struct(F.col("doc_id.id").isNull().alias("missing"), F.col("doc_id.id").alias("id"), F.col("doc_id.hash").alias("hash"))
+    found = checkpointed(attach_components(marked, order))
+    first = order.eqNullSafe(F.col("component_id"))
+    same = lambda keys: df[id_col].eqNullSafe(keys["id"]) & F.xxhash64(df[text_col]).eqNullSafe(keys["hash"])
+    gone = found.where(~first).select("doc_id.*").distinct()
+    kept = df.join(gone, same(gone), "left_anti")
+    repeated = checkpointed(found.where(first).groupBy("doc_id").count().where("count > 1").select("doc_id.*"))
+    if repeated.isEmpty():
+        return kept
+    one = kept.join(repeated, same(repeated), "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(repeated, same(repeated), "left_anti").unionByName(one)

@@ -7,7 +7,7 @@ import public_tokenizers
 import tiktoken
 
 import corpus_pipeline
-from loamspark.llm import byte_bpe
+from loamspark.llm import byte_bpe, simhash_vptree
 
 from .test_corpus_ops import brute_components, brute_fingerprint, brute_hits, brute_lines, brute_rules
 
@@ -37,3 +37,16 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     got = {r["doc_id"]: tuple(r)[1:] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert len(got) > 50 and got == want
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "decontaminate", "tokenize"]
+
+
+def test_one_row_of_each_class_stays(spark):
+    """Equal and null ids in different classes do not replace each other."""
+    texts = [" ".join(f"{w}{i}" for i in range(40)) for w in ("red", "green", "blue", "grey", "pink")]
+    rows = [(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[2]), (None, texts[3]), (None, texts[0]), (7, texts[4]), (7, texts[4]), (9, texts[4])]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string")
+    want = [(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (7, texts[4])]
+    key = lambda r: (r[0] or 0, r[1])
+    for given, kept in ((df, want), (df.where("doc_id is null"), [(None, t) for t in (texts[0], texts[2], texts[3])])):
+        got = simhash_vptree.keep_first_of_each(given)
+        assert got.columns == df.columns
+        assert sorted((tuple(r)[:2] for r in got.collect()), key=key) == sorted(kept, key=key)
