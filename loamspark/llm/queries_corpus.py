@@ -18,11 +18,11 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = line_runs.dedup_lines(docs)
+    out = line_runs.dedup_lines(docs, runs_col="runs")
     return out.select(
         "doc_id",
-        F.size("gone").cast("long").alias("n_removed"),
-        line_runs.count_runs(F.col("gone")).cast("long").alias("n_runs"),
+        line_runs.count_lines(F.col("runs")).alias("n_removed"),
+        F.size("runs").cast("long").alias("n_runs"),
         F.length("text").cast("long").alias("kept_chars"),
         F.sha2("text", 256).alias("kept_sha256"),
     )
@@ -30,28 +30,32 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = """
 WITH l AS (
-  SELECT doc_id, text AS full_text, unnest(string_split(text, chr(10))) AS line,
-         generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM documents),
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM documents),
+s AS (
+  SELECT doc_id, ln, line, row_number() OVER (PARTITION BY doc_id ORDER BY ln) AS c,
+         len(list_filter(regexp_split_to_array(line, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')) AS w
+  FROM l WHERE regexp_matches(line, '[\\p{L}\\p{N}]')),
 p AS (
-  SELECT *, length(line) - length(regexp_replace(line, '[^ \\t\\n\\x0B\\f\\r]+', '', 'g')) AS nb,
-         len(list_filter(regexp_split_to_array(line, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')) AS w,
-         lead(line, 1) OVER d AS l2, lead(line, 2) OVER d AS l3,
-         lead(ln, 1) OVER d AS n2, lead(ln, 2) OVER d AS n3
-  FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY ln)),
-q AS (SELECT *, lead(w, 1) OVER d AS w2 FROM p WINDOW d AS (PARTITION BY doc_id ORDER BY ln)),
+  SELECT *, lead(line, 1) OVER d AS l2, lead(line, 2) OVER d AS l3, lead(w, 1) OVER d AS w2
+  FROM s WINDOW d AS (PARTITION BY doc_id ORDER BY c)),
 win AS (
-  SELECT doc_id, ln, 1 AS len, line AS k FROM q WHERE w >= 10
-  UNION ALL SELECT doc_id, ln, 2, line || chr(10) || l2 FROM q WHERE n2 IS NOT NULL AND w + w2 >= 10
-  UNION ALL SELECT doc_id, ln, 3, line || chr(10) || l2 || chr(10) || l3 FROM q WHERE n3 IS NOT NULL),
+  SELECT doc_id, c, 1 AS len, line AS k FROM p WHERE w >= 10
+  UNION ALL SELECT doc_id, c, 2, line || chr(10) || l2 FROM p WHERE l2 IS NOT NULL AND w + w2 >= 10
+  UNION ALL SELECT doc_id, c, 3, line || chr(10) || l2 || chr(10) || l3 FROM p WHERE l3 IS NOT NULL),
 later AS (
-  SELECT doc_id, ln, len FROM (SELECT *, row_number() OVER (PARTITION BY len, k ORDER BY doc_id, ln) AS r FROM win) WHERE r > 1),
-gone AS (SELECT DISTINCT doc_id, ln + j AS ln FROM later, (VALUES (0), (1), (2)) t(j) WHERE j < len),
+  SELECT doc_id, c, len FROM (SELECT *, row_number() OVER (PARTITION BY len, k ORDER BY doc_id, c) AS r FROM win) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, c + j AS c FROM later, (VALUES (0), (1), (2)) t(j) WHERE j < len),
+worded AS (SELECT s.doc_id, s.ln, g.c IS NOT NULL AS gone FROM s LEFT JOIN gone g ON s.doc_id = g.doc_id AND s.c = g.c),
+around AS (
+  SELECT l.doc_id, l.ln, l.line,
+         last_value(w.gone IGNORE NULLS) OVER (PARTITION BY l.doc_id ORDER BY l.ln ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS before,
+         first_value(w.gone IGNORE NULLS) OVER (PARTITION BY l.doc_id ORDER BY l.ln ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS behind
+  FROM l LEFT JOIN worded w ON l.doc_id = w.doc_id AND l.ln = w.ln),
 marked AS (
-  SELECT l.doc_id, l.ln, l.line, g.ln IS NOT NULL AS gone,
-         coalesce(lag(g.ln IS NOT NULL) OVER (PARTITION BY l.doc_id ORDER BY l.ln), false) AS before
-  FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.ln = g.ln),
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY ln), false) AS opens
+  FROM (SELECT *, coalesce(before AND behind, false) AS gone FROM around)),
 per AS (
-  SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (gone AND NOT before) AS n_runs,
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_runs,
          coalesce(string_agg(line, chr(10) ORDER BY ln) FILTER (NOT gone), '') AS kept
   FROM marked GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs,

@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 import xxhash
 
-from loamspark.llm import byte_bpe, decontamination, line_runs, repetition_rules, simhash_vptree
+from loamspark.llm import byte_bpe, decontamination, line_runs, queries_corpus, repetition_rules, simhash_vptree
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 EDGE_TEXTS = [None, "", " ", "\n\n", "a", "a b", "x " * 60, "word\n" * 80, "é 中文 😀 " * 30, "a" * 5000, "# $ % | <b>"]
@@ -171,44 +171,140 @@ def test_bpe_query_shape(spark):
 # --- line dedup -------------------------------------------------------------------------
 
 
+def worded(text):
+    """Numbers of the lines that hold a letter or digit, and these lines."""
+    found = [(k, x) for k, x in enumerate(text.split("\n")) if any(c.isalpha() or c.isnumeric() for c in x)]
+    return [k for k, _ in found], [x for _, x in found]
+
+
+def in_order(rows):
+    """Distinct (doc_id, text), null ids first, equal ids by text hash."""
+    signed = lambda t: int(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64))
+    return sorted({(i, t) for i, t in rows if t is not None}, key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1])))
+
+
 def brute_lines(rows, min_lines=3, min_words=10):
-    """Line numbers to delete of each distinct (doc_id, text)."""
-    docs = sorted({(i, t) for i, t in rows if t is not None}, key=lambda r: (r[0] is not None, r[0] or 0, np.int64(np.uint64(xxhash.xxh64_intdigest(r[1].encode(), 42)).astype(np.int64))))
-    lines = {d: d[1].split("\n") for d in docs}
-    seen, gone = set(), {d: set() for d in docs}
-    for n in range(1, min_lines + 1):
-        for d in docs:
-            for i in range(len(lines[d]) - n + 1):
-                run = tuple(lines[d][i : i + n])
-                words = sum(len([w for w in re.split(r"[\x20\x09-\x0D]+", x) if w]) for x in run)
-                if n == min_lines or words >= min_words:
-                    if run in seen:
-                        gone[d].update(range(i, i + n))
-                    seen.add(run)
-    return {d: sorted(g) for d, g in gone.items()}
+    """Line numbers to delete of each distinct (doc_id, text): every later copy of every run, longest runs first."""
+    docs = in_order(rows)
+    seqs = {d: worded(d[1]) for d in docs}
+    gone = {}
+    seen = set()  # all runs of all earlier places
+    for d in docs:
+        numbers, lines = seqs[d]
+        cut = set()
+        for i in range(len(lines)):
+            for n in range(len(lines) - i, 0, -1):
+                run = tuple(lines[i : i + n])
+                if run in seen:
+                    if n >= min_lines or sum(len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in run) >= min_words:
+                        cut.update(range(i, i + n))
+                    break
+            seen.update(tuple(lines[i : i + n]) for n in range(1, len(lines) - i + 1))
+        lost = {numbers[c] for c in cut}
+        for c in range(len(numbers) - 1):
+            if c in cut and c + 1 in cut:
+                lost.update(range(numbers[c], numbers[c + 1]))
+        gone[d] = sorted(lost)
+    return gone
+
+
+def without(text, lines):
+    return text if text is None or not lines else "\n".join(x for k, x in enumerate(text.split("\n")) if k not in lines)
+
+
+def numbers_of(runs):
+    return [k for r in runs for k in range(r["first"], r["last"] + 1)]
+
+
+POOL = ["short", "", "a line of some ten words that is long enough now", "two words", "x", "    }", "---", "another long line with ten words in it for sure yes"] + [f"unique {i}" for i in range(30)]
 
 
 def test_line_dedup_matches_brute_force(spark):
     rnd = random.Random(8)
-    pool = ["short", "", "a line of some ten words that is long enough now", "two words", "x", "another long line with ten words in it for sure yes"] + [f"unique {i}" for i in range(30)]
-    texts = ["\n".join(rnd.choice(pool) for _ in range(rnd.randint(0, 14))) for _ in range(50)] + EDGE_TEXTS + ["y\n" * 40]
+    texts = ["\n".join(rnd.choice(POOL) for _ in range(rnd.randint(0, 14))) for _ in range(50)] + EDGE_TEXTS + ["y\n" * 40]
+    long_run = "\n".join(f"row {k}" for k in range(50))
+    texts += [long_run, "head\n" + long_run + "\ntail", "\n".join(f"row {k}" for k in range(3, 40)) + "\nother", "p\nrow 7\nq", "p2\nrow 7\nrow 8\nrow 9\nrow 10\nq2"]
     df = docs_of(spark, texts, extra=[(None, texts[3], "en", "s", 1), (None, None, None, None, None), (0, "other\n" + texts[1], "en", "s", 1), (0, "other\n" + texts[1], "en", "s", 1)])
     rows = [(r[0], r[1]) for r in df.collect()]
     want = brute_lines(rows)
-    got = line_runs.dedup_lines(with_clashes(df)).select("doc_id", "text", "gone", "n_words").collect()
-    expected = []
-    for i, t in rows:
-        cut = want.get((i, t), [])
-        expected.append((i, t if t is None or not cut else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in cut), list(cut), "x"))
+    clashing = with_clashes(df).selectExpr("*", "'y' as runs", "'y' as t1", "'y' as d", "'y' as r")
+    out = line_runs.dedup_lines(clashing, runs_col="stretches")
+    assert out.columns == [*clashing.columns, "stretches"]
+    got = [(r["doc_id"], r["text"], numbers_of(r["stretches"]), r["gone"], r["runs"]) for r in out.collect()]
+    expected = [(i, without(t, want.get((i, t), [])), want.get((i, t), []), "x", "y") for i, t in rows]
     key = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or "", r[2])
-    assert sorted(map(tuple, got), key=key) == sorted(expected, key=key)
+    assert sorted(got, key=key) == sorted(expected, key=key)
+    with pytest.raises(ValueError):
+        line_runs.dedup_lines(clashing, runs_col="gone")
+
+
+def test_line_dedup_over_many_ranges(spark, monkeypatch):
+    """Classes and intervals that run over several ranges: one line as most of the table."""
+    monkeypatch.setattr(line_runs, "BLOCK", 16)
+    rnd = random.Random(3)
+    texts = ["\n".join(rnd.choice(["the one common line", "c 1", "c 2", f"own {i}"]) for _ in range(8)) for i in range(60)]
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = [(i, t) for i, t in enumerate(texts)]
+        got = {r["doc_id"]: numbers_of(r["s"]) for r in line_runs.dedup_lines(docs_of(spark, texts), runs_col="s").collect()}
+        want = brute_lines(rows)
+        assert got == {i: want[i, t] for i, t in rows}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_code_and_blank_lines_are_no_runs(spark):
+    code = "int {0}() {{\n  if ({0}) {{\n    go({0});\n    }}\n  }}\n}}\n\n\n"
+    texts = [code.format(n) for n in ("one", "two", "three")]
+    assert sorted(r["text"] for r in line_runs.dedup_lines(docs_of(spark, texts)).collect()) == sorted(texts)
 
 
 def test_line_dedup_longer_runs_and_empty(spark):
     df = docs_of(spark, ["a\nb\nc\nd\ne", "x\na\nb\nc\nd\ny", "b\nc\nd\ne\nz"])
-    five = {r[0]: r[1] for r in line_runs.dedup_lines(df, min_lines=4, min_words=99).select("doc_id", "text").collect()}
-    assert five == {0: "a\nb\nc\nd\ne", 1: "x\ny", 2: "z"}
-    assert line_runs.dedup_lines(df.limit(0)).count() == 0
+    four = {r[0]: r[1] for r in line_runs.dedup_lines(df, min_lines=4, min_words=99).select("doc_id", "text").collect()}
+    assert four == {0: "a\nb\nc\nd\ne", 1: "x\ny", 2: "z"}
+    assert line_runs.dedup_lines(df.limit(0)).count() == 0 and line_runs.dedup_lines(df.limit(0)).columns == df.columns
+    assert line_runs.maximal_runs(df.limit(0)).count() == 0
+    single = spark.createDataFrame([("k", "only text")], "doc_id string, text string")
+    assert [tuple(r) for r in line_runs.dedup_lines(single).collect()] == [("k", "only text")]
+
+
+def brute_maximal(rows):
+    """(doc_id, first, last, lines) of runs that recur and cannot be extended to either side."""
+    docs, seen = [], set()
+    for i, t in in_order(rows):
+        if t not in seen:
+            seen.add(t)
+            docs.append((i, *worded(t)))
+    places = [(k, c) for k, (_, _, lines) in enumerate(docs) for c in range(len(lines))]
+
+    def common(a, b):
+        x, y, n = docs[a[0]][2], docs[b[0]][2], 0
+        while a[1] + n < len(x) and b[1] + n < len(y) and x[a[1] + n] == y[b[1] + n]:
+            n += 1
+        return n
+
+    longest = {p: max((common(p, q) for q in places if q != p), default=0) for p in places}
+    return sorted(
+        (docs[k][0], docs[k][1][c], docs[k][1][c + n - 1], n) for (k, c), n in longest.items() if n and longest.get((k, c - 1), 0) <= n
+    )
+
+
+def test_maximal_runs_match_brute_force(spark):
+    rnd = random.Random(12)
+    texts = ["\n".join(rnd.choice(POOL[:9]) for _ in range(rnd.randint(0, 10))) for _ in range(25)] + ["y\n" * 21]
+    long_run = "\n".join(f"row {k}" for k in range(50))
+    texts += [long_run + "\nend", "head\n" + long_run, "\n".join(f"row {k}" for k in range(5, 42))]
+    got = sorted(tuple(r) for r in line_runs.maximal_runs(docs_of(spark, texts)).collect())
+    assert got == brute_maximal(list(enumerate(texts)))
+    assert {n for *_, n in got} >= {1, 2, 37, 50}
+
+
+def test_line_dedup_plan_is_native(spark, sf_dir):
+    plan = queries_corpus.op5_line_dedup(spark, sf_dir)._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
 
 
 # --- near-dedup ---------------------------------------------------------------------------
