@@ -26,8 +26,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of line runs go; a document of which no word is left goes with them."""
-    out = line_runs.dedup_lines(docs.select(COLUMNS))
-    touched = F.size("gone") > 0
+    out = line_runs.dedup_lines(docs.select(COLUMNS), runs_col="runs")
+    touched = F.size("runs") > 0
     return out.where(~touched | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(
         "doc_id", "text", "lang", "source", F.when(touched, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
     )
