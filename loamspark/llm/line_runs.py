@@ -52,6 +52,8 @@ HOLDS_WORD = r"[\p{L}\p{N}]"
 RUNS = "array<struct<first:int,last:int>>"
 #: Places of the suffix array in a range of the last scan, at least, and ranges at most; a row of each goes to the driver.
 BLOCK, MOST_BLOCKS = 1 << 17, 4096
+#: Rows that a task of a round takes at least, so that late rounds over few rows have few tasks.
+TASK_ROWS = 50_000
 
 
 def _let(value: Column, use) -> Column:
@@ -86,27 +88,34 @@ def _listed(rows: list[dict], schema: str) -> Column:
     return F.from_json(F.lit(json.dumps(filled)), f"array<struct<{schema}>>")
 
 
+def _dense(df: DataFrame, n: int) -> DataFrame:
+    """``df`` of some n rows in no more tasks than they are worth; a narrow step, no shuffle."""
+    return df.coalesce(n // TASK_ROWS + 1)
+
+
 @dataclass
 class Level:
-    """One round: suffixes (d, c, r, open) with their ranks and whether others share them, the cuts it made, whether any rank is shared."""
+    """One round: suffixes (d, c, r, open) with their ranks and whether others share them, the cuts it made, how many suffixes share ranks."""
 
     rows: DataFrame
     cuts: DataFrame
     span: int
-    shared: bool
+    shared: int
 
 
-def _refined(rows: DataFrame, keys: list[str], span: int, keep_alone: bool = True) -> Level:
+def _refined(rows: DataFrame, keys: list[str], span: int, n: int, keep_alone: bool = True) -> Level:
     """Classes of equal (r, keys) among ``rows`` (d, c, r, keys); a null key stands alone.
 
     ``span`` is the number of lines that the two sides of a cut inside a class have in
-    common at least. Without ``keep_alone`` rows that stand alone are left out.
+    common at least, n the number of rows. Without ``keep_alone`` rows that stand alone are
+    left out.
     """
     order = ["r", *keys, "d", "c"]
     by = W.partitionBy("part").orderBy(*order)
     upto = by.rowsBetween(W.unboundedPreceding, 0)
     equal = lambda side, names: F.coalesce(reduce(Column.__and__, [side(n).over(by) == F.col(n) for n in names]), F.lit(False))
-    marked = rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()).select(
+    dealt = rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    marked = _dense(dealt, n).select(
         "part", "d", "c", "r", F.struct(*keys).alias("key"),
         F.row_number().over(by).alias("at"),
         (~equal(F.lag, ["r"])).alias("opens"),
@@ -126,9 +135,10 @@ def _refined(rows: DataFrame, keys: list[str], span: int, keep_alone: bool = Tru
     )
     if not keep_alone:
         placed = placed.where((F.col("s2") < F.col("at")) | F.col("more") | F.col("edge").isNotNull())
-    held = checkpointed(placed)
+    held = checkpointed(_dense(placed, n))
     edge = F.struct("at", "r", "edge", "s1", "s2", "d", "c")
-    edges = held.groupBy("part").agg(F.min(edge).alias("first"), F.max(edge).alias("last"), F.max(F.col("more") | (F.col("s2") < F.col("at"))).alias("shared")).collect()
+    edges = held.groupBy("part").agg(F.min(edge).alias("first"), F.max(edge).alias("last"), F.count_if(F.col("more") | (F.col("s2") < F.col("at"))).alias("shared"))
+    edges = _dense(edges, n).collect()
     carried = _carried(sorted(edges))  # a row a range
     listed = _listed(carried, "`offset` long,c1 long,c2 long,goes boolean,bd long,bc int")
     known = held.select("*", F.get(listed, F.col("part")).alias("x")).select(*held.columns, "x.*")
@@ -140,7 +150,7 @@ def _refined(rows: DataFrame, keys: list[str], span: int, keep_alone: bool = Tru
     final = known.select("d", "c", (F.col("r") + g2 - g1).alias("r"), open_.alias("open"), ((g2 == here) & (g1 != here)).alias("cut"), before.alias("before"))
     kept = final if keep_alone else final.where("open")
     cuts = final.where("cut").select(F.col("r").alias("g"), "d", "c", F.col("before.d").alias("bd"), F.col("before.c").alias("bc"), F.lit(span).alias("lcp"))
-    return Level(kept.select("d", "c", "r", "open"), cuts, span, any(x["shared"] for x in edges) or any(x["goes"] for x in carried))
+    return Level(kept.select("d", "c", "r", "open"), cuts, span, sum(x["shared"] for x in edges) + 2 * sum(x["goes"] for x in carried))
 
 
 def _carried(edges: list) -> list[dict]:
@@ -149,7 +159,7 @@ def _carried(edges: list) -> list[dict]:
     offset, before, start1, start2 = 0, None, 0, 0
     for part, first, last, _ in edges:
         same1 = before is not None and before["r"] == first["r"]
-        same2 = same1 and None not in first["edge"] and tuple(before["edge"]) == tuple(first["edge"])
+        same2 = same1 and None not in tuple(first["edge"]) and tuple(before["edge"]) == tuple(first["edge"])
         if out:
             out[-1]["goes"] = same2
         c1, c2 = start1 if same1 else None, start2 if same2 else None
@@ -163,15 +173,18 @@ def _carried(edges: list) -> list[dict]:
 def prefix_doubling(texts: DataFrame) -> list[Level]:
     """The rounds of sorting all suffixes of ``texts`` (d, h1, h2); lines that occur once are left out."""
     lines = texts.select("d", F.posexplode(F.arrays_zip("h1", "h2")).alias("c", "x")).select("d", "c", F.lit(0).cast("long").alias("r"), "x.h1", "x.h2")
-    levels = [_refined(lines, ["h1", "h2"], 0, keep_alone=False)]
+    n = texts.agg(F.sum(F.size("h1"))).first()[0] or 0
+    levels = [_refined(lines, ["h1", "h2"], 0, n, keep_alone=False)]
     done = levels[0].rows.where("false")
-    while levels[-1].shared:
+    while (n := levels[-1].shared):
         span = 1 << (len(levels) - 1)
         ahead = W.partitionBy("d").orderBy("c").rangeBetween(span, span)
         ranks = levels[-1].rows.unionByName(done)
-        pairs = ranks.withColumn("r2", F.max("r").over(ahead)).where("open").select("d", "c", "r", "r2")
+        pairs = _dense(ranks.withColumn("ahead", F.max("r").over(ahead)).where("open"), n)
+        # Computed above the coalesce, which a repartition right on it would drop.
+        pairs = pairs.select("d", "c", "r", F.when(F.col("ahead") >= 0, F.col("ahead")).alias("r2"))
         done = done.unionByName(levels[-1].rows.where("not open"))
-        levels.append(_refined(pairs, ["r2"], span))
+        levels.append(_refined(pairs, ["r2"], span, n))
     return levels
 
 
@@ -209,16 +222,17 @@ def _advanced(cuts: DataFrame, level: Level) -> DataFrame:
     return looked.select("g", "d", "c", "bd", "bc", (F.col("lcp") + F.when(F.col("ra") == F.col("rb"), width).otherwise(0)).alias("lcp"))
 
 
-def _blocked(array: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """(part, d, c, g, lcp), checkpointed: the array in ranges of places."""
-    held = checkpointed(array.join(prefixes, "g", "left").select("d", "c", "g", F.coalesce("lcp", F.lit(0)).alias("lcp")))
+def _blocked(levels: list[Level], limit: int | None = None) -> DataFrame:
+    """(part, d, c, g, lcp), checkpointed: the array with common prefixes, in ranges of places."""
+    found = suffix_array(levels).join(common_prefixes(levels, limit), "g", "left")
+    held = checkpointed(_dense(found.select("d", "c", "g", F.coalesce("lcp", F.lit(0)).alias("lcp")), levels[0].shared))
     top = held.agg(F.max("g")).first()[0] or 0
     size = max(BLOCK, -(-top // MOST_BLOCKS))
     return held.withColumn("part", F.floor(F.col("g") / size).cast("int"))
 
 
-def later_copies(blocks: DataFrame, lengths: int) -> DataFrame:
-    """(d, c, n): runs of n = 1 to ``lengths`` lines that an earlier place has as well.
+def later_copies(blocks: DataFrame, lengths: int, size: int) -> DataFrame:
+    """(d, c, n): runs of n = 1 to ``lengths`` lines that an earlier place has as well; ``size`` is the array's.
 
     For each n the array falls into intervals, each beginning at a place with a common
     prefix below n; all but the smallest (d, c) of an interval are later copies. An interval
@@ -226,7 +240,8 @@ def later_copies(blocks: DataFrame, lengths: int) -> DataFrame:
     """
     ns = range(1, lengths + 1)
     start = lambda n: F.when(F.col("lcp") < n, F.col("g"))
-    last = blocks.groupBy("part").agg(*[F.max(start(n)).alias(f"e{n}") for n in ns]).orderBy("part").collect()
+    last = blocks.groupBy("part").agg(*[F.max(start(n)).alias(f"e{n}") for n in ns])
+    last = sorted(_dense(last, size).collect(), key=lambda x: x["part"])  # a row a range
     into, carry = [], [None] * lengths
     for row in last:
         into.append({"part": row["part"]} | {f"i{n}": carry[n - 1] for n in ns} | {f"e{n}": row[f"e{n}"] for n in ns})
@@ -238,9 +253,10 @@ def later_copies(blocks: DataFrame, lengths: int) -> DataFrame:
         "part", "d", "c", *[F.coalesce(F.max(start(n)).over(upto), F.col(f"i{n}")).alias(f"k{n}") for n in ns], *[F.coalesce(f"e{n}", f"i{n}").alias(f"e{n}") for n in ns], *[f"i{n}" for n in ns]
     )
     place = F.struct("d", "c")
-    ends = named.groupBy("part").agg(
+    ends = named.groupBy("part").agg(  # a row a range
         *[F.min(F.when(F.col(f"k{n}") == F.col(f"{side}{n}"), F.struct("d", "c", F.col(f"k{n}").alias("k")))).alias(f"{side}{n}") for n in ns for side in "ie"]
-    ).collect()  # one row a range
+    )
+    ends = _dense(ends, size).collect()
     over: dict[tuple[int, int], tuple[int, int]] = {}
     parts: dict[tuple[int, int], set[int]] = {}
     for row in ends:
@@ -258,7 +274,7 @@ def later_copies(blocks: DataFrame, lengths: int) -> DataFrame:
             made = rows.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(crossing)), f"array<struct<k{n}:long,o:struct<d:long,c:int>>>")))
             rows = rows.join(F.broadcast(made), f"k{n}", "left").withColumn(f"m{n}", F.coalesce("o", f"m{n}")).drop("o")
     lens = F.filter(F.array(*[F.when(place > F.col(f"m{n}"), F.lit(n)) for n in ns]), lambda n: n.isNotNull())
-    return rows.select("d", "c", F.explode(lens).alias("n"))
+    return _dense(rows.select("d", "c", F.explode(lens).alias("n")), size)
 
 
 def maximal_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -269,7 +285,7 @@ def maximal_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     texts = distinct_texts(df, id_col, text_col)
     levels = prefix_doubling(texts)
-    rows = _blocked(suffix_array(levels), common_prefixes(levels))
+    rows = _blocked(levels)
     # The longest run at a place recurs beside it in the array: before it, or behind it.
     behind = rows.select((F.col("g") - 1).alias("g"), F.col("lcp").alias("next"))
     longest = rows.join(behind, "g", "left").select("d", "c", F.greatest("lcp", F.coalesce("next", F.lit(0))).alias("n"))
@@ -302,8 +318,7 @@ def _stretches(covered: Column, ln: Column) -> Column:
 def deleted_runs(texts: DataFrame, min_lines: int = 3, min_words: int = 10) -> DataFrame:
     """``texts`` (doc_id, t1, t2) with ``runs``: stretches of line numbers that are later copies."""
     levels = prefix_doubling(texts)
-    blocks = _blocked(suffix_array(levels), common_prefixes(levels, min_lines))
-    copies = later_copies(blocks, min_lines).groupBy("d").agg(F.collect_list(F.struct("c", "n")).alias("copies"))
+    copies = later_copies(_blocked(levels, min_lines), min_lines, levels[0].shared).groupBy("d").agg(F.collect_list(F.struct("c", "n")).alias("copies"))
     known = texts.select("d", "doc_id", "t1", "t2", "ln", "w").join(copies, "d", "left")
     counted = F.filter("copies", lambda x: _counts(F.col("w"), x["c"], x["n"], min_lines, min_words))
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform(counted, lambda x: F.sequence(x["c"], x["c"] + x["n"] - 1)))))

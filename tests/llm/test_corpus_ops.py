@@ -243,7 +243,7 @@ def test_line_dedup_over_many_ranges(spark, monkeypatch):
     monkeypatch.setattr(line_runs, "BLOCK", 16)
     rnd = random.Random(3)
     texts = ["\n".join(rnd.choice(["the one common line", "c 1", "c 2", f"own {i}"]) for _ in range(8)) for i in range(60)]
-    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    spark.conf.set("spark.sql.shuffle.partitions", "61")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         rows = [(i, t) for i, t in enumerate(texts)]
@@ -390,3 +390,17 @@ def test_keep_first_of_each(spark):
     assert kept.columns == df.columns
     assert sorted((r[0] is None, r[0]) for r in kept.collect()) == [(False, 0), (False, 1), (True, None)]
     assert simhash_vptree.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_near_dedup_query_matches_brute_force(spark, sf_dir):
+    """The whole query over the smallest tables."""
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    want = brute_components([(i, brute_fingerprint(t)) for i, t in docs])
+    got = queries_corpus.op9_simhash(spark, sf_dir).collect()
+    assert sorted((r["doc_id"], int(r["fingerprint"], 16), r["component_id"]) for r in got) == sorted(want)
+
+
+def test_one_fingerprint_as_most_of_the_table(spark):
+    texts = [""] * 300 + ["some words that stand alone"] * 3 + [None]
+    got = simhash_vptree.near_duplicates(docs_of(spark, texts)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(i, 0 if i < 300 or i == 303 else 300) for i in range(304)]
