@@ -8,10 +8,15 @@ expression over the statistics.
 
 Labels come only from rows that the caller passes; ids and labels are no inputs of a score.
 
+The chosen labels are broadcast (``max_rows`` ids and labels at most), so no text is shuffled.
+
 Defined cases: a null text counts as an empty one and gets a score like any other. With no
-labelled rows, or labels of one kind, the score is the smoothed share of label 1. Ties of
-equal splits go to the first statistic and the lower threshold. A label given twice counts
-twice; null labels do not count.
+labelled rows, labels of one kind, or no split that tells them apart (constant statistics),
+the score is the smoothed share of label 1. Ties of equal splits go to the first statistic
+and the lower threshold. A label given twice counts twice, and so does a document given
+twice; null labels do not count. An empty table gives an empty result. Very long texts are
+taken whole, one at a time. Columns other than id and text do not matter, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -169,6 +174,8 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, bin
             if path not in inner:
                 margin[held] += 0.3 * step
     keys = list(found)
+    if not keys:  # no split tells the labels apart
+        return RuleModel(intercept, ())
     a = np.stack([found[k] for k in keys], axis=1).astype(np.float64)
     weights, base = _lasso(a, y.astype(np.float64), intercept, penalty)
     real = lambda bounds: tuple((k, above, float(cuts[k][at])) for k, above, at in bounds)
@@ -212,7 +219,7 @@ def classify_quality(
     """doc_id, score, predicted for each row; ``labels`` (doc_id, label) are the training rows only."""
     chosen = labels.where("label is not null").select(F.col("doc_id").alias("__id"), F.col("label").alias("__label")).orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
     narrow = keyed_text(docs, id_col, text_col)
-    sample = narrow.join(chosen, narrow["doc_id"] == chosen["__id"]).select("doc_id", "text", "__label")
+    sample = narrow.join(F.broadcast(chosen), narrow["doc_id"] == chosen["__id"]).select("doc_id", "text", "__label")
     keyed = sample.select(F.struct("doc_id", F.col("__label").alias("label")).alias("doc_id"), "text")
     measured = text_statistics(keyed).select("doc_id.doc_id", F.col("doc_id.label").alias("label"), *STATISTICS)
     rows = measured.orderBy(F.xxhash64("doc_id"), *STATISTICS).select(*STATISTICS, F.col("label").cast("double")).limit(max_rows).collect()
