@@ -17,13 +17,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the session names; one of our own only where none is set (local tests)."""
+    """The shared folder that the session names; one of our own only in a local session without one."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="loamspark-ckpt-")
     spark.sparkContext.setCheckpointDir(folder)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -100,6 +102,19 @@ def filter_texts(
     return df.mapInArrow(run, df.schema)
 
 
+def spread_join(rows: DataFrame, known: DataFrame, key: str, by: str, parts: int = 64) -> DataFrame:
+    """``rows`` with the one row of ``known`` for their ``key``; rows without one go.
+
+    The rows of one key are dealt to ``parts`` tasks by a hash of ``by``: each (key, deal)
+    looks its row up once, so neither side has more than ``parts`` rows of a key in a task
+    that also holds the rows.
+    """
+    deal = F.pmod(F.xxhash64(by), F.lit(parts)).cast("int")
+    dealt = rows.withColumn("deal_", deal)
+    looked = dealt.select(key, "deal_").distinct().join(known, key)
+    return dealt.join(looked, [key, "deal_"]).drop("deal_")
+
+
 def crc32_text(col: Column) -> Column:
     """crc32 of an id written as text, null as the empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary"))

@@ -18,11 +18,14 @@ are exact whatever the sample.
 Equal fingerprints are one row from the start, however many documents have them. A leaf
 returns stars, from each of its linked fingerprints to the smallest of its local class,
 never all pairs. Stars are joined to components by alternating large-star and small-star
-rounds on checkpointed tables; no link or label is collected to the driver.
+rounds on checkpointed tables; no link or label is collected to the driver. The hub of a
+star, and a fingerprint that many documents have, are joined in many tasks (``spread_join``).
 
 Defined cases: a text without words (null, empty, blank) has fingerprint zero and links
 like any other. A class's id is its smallest doc_id; null ids are not counted, a class
-that has none else has a null id. Repeated rows are repeated in the result.
+that has none else has a null id. Repeated rows are repeated in the result. An empty table
+gives an empty result. Very long texts are taken whole. Other columns do not matter,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -37,12 +40,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamspark.llm.common import checkpointed, map_texts
+from loamspark.llm.common import checkpointed, map_texts, spread_join
 
 RADIUS = 3
 SEED = 42
 HALF_RADIUS = RADIUS // 2
-SHORT_RUN = 48
+#: Points of a leaf that are compared with each other.
+SMALL_LEAF = 48
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
 
@@ -148,10 +152,10 @@ class VantageTree:
 def local_classes(points: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Stars of the linked classes among distinct points: (member, smallest member) without the centres.
 
-    Points within the radius agree in one of ``radius + 1`` blocks of bits, so only runs of
-    equal blocks are compared. Short runs are compared at every offset; a long run is
-    searched breadth-first against what it has not reached yet, so a dense group costs
-    little more than its size.
+    The points' own vantage-point trees, one over each half, deal them on to small leaves,
+    each point to every leaf its ball reaches; points of one leaf are compared at every
+    offset. A leaf that no vantage point splits (a dense ball) is searched breadth-first
+    against what has not been reached yet, so it costs little more than its size.
     """
     points = np.unique(points.astype(np.uint64))
     n = len(points)
@@ -173,25 +177,22 @@ def local_classes(points: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray,
             parent[at] = up
             at = up
 
-    blocks = radius + 1
-    width = 64 // blocks
-    for b in range(blocks):
-        shift = np.uint64(b * width)
-        size = np.uint64(64 - b * width if b == blocks - 1 else width)
-        value = (points >> shift) & np.uint64((1 << int(size)) - 1)
-        order = np.argsort(value, kind="stable")
-        value = value[order]
-        starts = np.flatnonzero(np.append(True, value[1:] != value[:-1])) if n else np.zeros(0, dtype=np.int64)
-        sizes = np.diff(np.append(starts, n))
-        long_run = np.repeat(sizes > SHORT_RUN, sizes)
-        for k in range(1, min(SHORT_RUN, int(sizes.max(initial=1)))):
-            left = np.flatnonzero((value[k:] == value[:-k]) & ~long_run[k:])
+    for h in (0, 1) if n > 1 else ():
+        halves = (points >> np.uint64(32 * h)).astype(np.uint32)
+        rows, leaf = VantageTree.fit(halves, SMALL_LEAF).route(halves)
+        order = rows[np.argsort(leaf, kind="stable")]
+        leaf = np.sort(leaf, kind="stable")
+        starts = np.flatnonzero(np.append(True, leaf[1:] != leaf[:-1]))
+        sizes = np.diff(np.append(starts, len(leaf)))
+        dense = np.repeat(sizes > 2 * SMALL_LEAF, sizes)
+        for k in range(1, min(2 * SMALL_LEAF, int(sizes.max()))):
+            left = np.flatnonzero((leaf[k:] == leaf[:-k]) & ~dense[k:])
             if len(left):
                 a, c = order[left], order[left + k]
                 close = np.bitwise_count(points[a] ^ points[c]) <= radius
                 join(a[close], c[close])
-        for start, size_ in zip(starts[sizes > SHORT_RUN], sizes[sizes > SHORT_RUN], strict=True):
-            _search(points, order[start : start + size_], radius, join)
+        for start, size in zip(starts[sizes > 2 * SMALL_LEAF], sizes[sizes > 2 * SMALL_LEAF], strict=True):
+            _search(points, order[start : start + size], radius, join)
     roots = find(np.arange(n))
     linked = roots != np.arange(n)
     return points[linked], points[roots[linked]]
@@ -244,12 +245,12 @@ def components(edges: DataFrame) -> DataFrame:
     def large_star(e: DataFrame) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        return both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        return spread_join(both, least, "u", "v").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
 
     def small_star(e: DataFrame) -> DataFrame:
         down = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
         least = down.groupBy("u").agg(F.min("v").alias("m"))
-        joined = down.join(least, "u")
+        joined = spread_join(down, least, "u", "v")
         return joined.where("v != m").select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select("u", "m")).distinct()
 
     current = checkpointed(edges.where("a != b").distinct())
@@ -275,8 +276,8 @@ def attach_components(marked: DataFrame, number, sample: int = 65_536, leaf_rows
     roots = checkpointed(components(link_stars(distinct, sample, leaf_rows)))
     classes = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = classes.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return marked.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = spread_join(classes.select("fp", "root"), least, "root", "fp").select("fp", "component_id")
+    return spread_join(marked, of, "fp", "doc_id").select("doc_id", "fp", "component_id")
 
 
 def hex_fingerprint(col):
