@@ -43,38 +43,65 @@ FROM c GROUP BY conv_id
 """
 
 
-def damaged(index: DataFrame, pages: DataFrame) -> DataFrame:
-    """A replica's index: some pages changed, some lost, chosen by a hash of their url."""
+#: Pages an archive; the first two digits of a page's mark say what happens to its copy.
+PER_ARCHIVE = 128
+CHANGED, LOST, CUT = ("00", "01", "02"), ("03",), ("04",)
+
+
+def damaged(pages: DataFrame) -> DataFrame:
+    """Pages of the replica: of some a byte is changed, some are lost, of some the second half is lost."""
     mark = F.substring(F.sha2("url", 256), 1, 2)
-    changed = pages.where(mark.isin("00", "01", "02")).withColumn("html", F.concat(F.lit("#"), F.substring("html", F.lit(2), F.length("html"))))
-    other = warc_fixity.digested(warc_fixity.page_records(changed)).select(F.col("page_id").alias("p"), F.col("digest").alias("other")).distinct()
-    kept = index.where(~mark.isin("03", "04"))
-    return kept.join(other, kept["page_id"] == other["p"], "left").withColumn("digest", F.coalesce("other", "digest")).drop("p", "other")
+    html = F.coalesce("html", F.lit(""))
+    changed = F.concat(F.lit("#"), F.substring(html, F.lit(2), F.length(html)))
+    half = F.substring(html, F.lit(1), F.floor(F.length(html) / 2).cast("int"))
+    kept = pages.where(~F.coalesce(mark.isin(*LOST), F.lit(False)))
+    return kept.withColumn("html", F.when(mark.isin(*CHANGED), changed).when(mark.isin(*CUT), half).otherwise(html))
 
 
 def op2_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archives of all pages against a replica written from damaged pages, at the offsets its own bytes have."""
     pages = read_table(spark, sf_dir, "pages")
-    index = warc_fixity.with_offsets(warc_fixity.digested(warc_fixity.page_records(pages)))
-    return warc_fixity.audit(index, damaged(index, pages))
+    index = lambda x: warc_fixity.with_offsets(warc_fixity.digested(warc_fixity.page_records(x, PER_ARCHIVE)))
+    found = warc_fixity.audit(index(pages), index(damaged(pages)), base=1 << 15, fanout=8)
+    return found.fillna(-1, ["found_offset", "expected_length", "found_length"])
 
 
 OP2_SQL = r"""
-WITH r AS (
-  SELECT 'part-' || CAST(floor(page_id / 4096) AS BIGINT) || '.warc' AS archive, page_id, url, html, substr(sha256(url), 1, 2) AS mark,
+WITH m AS (SELECT page_id, url, coalesce(html, '') AS html, substr(sha256(url), 1, 2) AS mark FROM pages),
+v AS (
+  SELECT 'a' AS side, page_id, url, html FROM m
+  UNION ALL
+  SELECT 'b', page_id, url, CASE WHEN mark IN ('00', '01', '02') THEN '#' || substr(html, 2)
+         WHEN mark = '04' THEN substr(html, 1, CAST(floor(length(html) / 2) AS INTEGER)) ELSE html END
+  FROM m WHERE mark <> '03'),
+r AS (
+  SELECT side, 'part-' || CAST(floor(page_id / 128) AS BIGINT) || '.warc' AS archive, page_id, url,
          'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10)
-         || 'Content-Length: ' || octet_length(encode(html)) || chr(13) || chr(10) || chr(13) || chr(10) AS head
-  FROM pages),
-d AS (
-  SELECT *, head || html || chr(13) || chr(10) || chr(13) || chr(10) AS payload,
-         head || '#' || substr(html, 2) || chr(13) || chr(10) || chr(13) || chr(10) AS other FROM r),
+         || 'Content-Length: ' || octet_length(encode(html)) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS payload
+  FROM v),
+d AS (SELECT side, archive, page_id, url, CAST(octet_length(encode(payload)) AS BIGINT) AS length, sha256(payload) AS digest FROM r),
 o AS (
-  SELECT *, CAST(octet_length(encode(payload)) AS BIGINT) AS len, sha256(payload) AS digest FROM d),
-p AS (
-  SELECT *, CAST(sum(len) OVER (PARTITION BY archive ORDER BY page_id, url, digest ROWS UNBOUNDED PRECEDING) - len AS BIGINT) AS offset_ FROM o)
-SELECT archive, offset_ AS "offset", CASE WHEN mark IN ('03', '04') THEN 'missing' ELSE 'corrupt' END AS status, len AS expected_length,
-       CASE WHEN mark IN ('03', '04') THEN NULL ELSE len END AS found_length, digest AS expected,
-       CASE WHEN mark IN ('03', '04') THEN NULL ELSE sha256(other) END AS found
-FROM p WHERE mark IN ('00', '01', '02', '03', '04')
+  SELECT DISTINCT side, archive, length, digest,
+         CAST(sum(length) OVER (PARTITION BY side, archive ORDER BY page_id, url, digest ROWS UNBOUNDED PRECEDING) - length AS BIGINT) AS pos FROM d),
+once AS (SELECT *, count(*) OVER (PARTITION BY archive, pos, length, digest) AS sides FROM o),
+l1 AS (SELECT *, row_number() OVER (PARTITION BY side, archive, length, digest ORDER BY pos) AS n FROM once WHERE sides = 1),
+j1 AS (
+  SELECT coalesce(a.archive, b.archive) AS archive, a.pos, a.length, a.digest, b.pos AS pos2, b.length AS length2, b.digest AS digest2
+  FROM (SELECT * FROM l1 WHERE side = 'a') a FULL JOIN (SELECT * FROM l1 WHERE side = 'b') b
+    ON a.archive = b.archive AND a.length = b.length AND a.digest = b.digest AND a.n = b.n),
+l2 AS (
+  SELECT 'a' AS side, archive, pos, length, digest FROM j1 WHERE pos2 IS NULL
+  UNION ALL SELECT 'b', archive, pos2, length2, digest2 FROM j1 WHERE pos IS NULL),
+n2 AS (SELECT *, row_number() OVER (PARTITION BY side, archive, pos ORDER BY length, digest) AS n FROM l2),
+j2 AS (
+  SELECT coalesce(a.archive, b.archive) AS archive, a.pos, a.length, a.digest, b.pos AS pos2, b.length AS length2, b.digest AS digest2
+  FROM (SELECT * FROM n2 WHERE side = 'a') a FULL JOIN (SELECT * FROM n2 WHERE side = 'b') b ON a.archive = b.archive AND a.pos = b.pos AND a.n = b.n)
+SELECT archive, pos AS "offset", pos2 AS found_offset, 'moved' AS status, length AS expected_length, length2 AS found_length, digest AS expected, digest2 AS found
+FROM j1 WHERE pos IS NOT NULL AND pos2 IS NOT NULL
+UNION ALL
+SELECT archive, coalesce(pos, pos2), coalesce(pos2, -1), CASE WHEN pos2 IS NULL THEN 'missing' WHEN pos IS NULL THEN 'extra' ELSE 'corrupt' END,
+       coalesce(length, -1), coalesce(length2, -1), digest, digest2
+FROM j2
 """
 
 QUERIES = {"op1_chat_format": op1_chat_format, "op2_merkle_audit": op2_merkle_audit}

@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -88,14 +89,66 @@ def test_audit_finds_exactly_the_differences(spark):
 def test_audit_edge_cases(spark):
     rows = [("a", 0, 5, "x"), ("a", 0, 5, "x"), (None, None, None, None), ("b", 7, None, "y")]
     same, none = record_set(spark, rows), record_set(spark, rows).limit(0)
-    assert warc_fixity.audit(same, same.selectExpr("*", "1 as node", "2 as hash")).count() == 0
+    assert warc_fixity.audit(same, same.selectExpr("*", "1 as node", "2 as hash", "3 as at", "4 as l")).count() == 0
     assert warc_fixity.audit(none, none).count() == 0
     assert {r["status"] for r in warc_fixity.audit(same, none).collect()} == {"missing"}
+    assert {r["status"] for r in warc_fixity.audit(none, same).collect()} == {"extra"}
     assert warc_fixity.audit(same, none).count() == 3
     a = {r["archive"]: r["hash"] for r in warc_fixity.roots(same.limit(2)).collect()}
     assert a == {r["archive"]: r["hash"] for r in warc_fixity.roots(same.where("archive = 'a'")).collect()}
 
 
+def test_records_at_one_offset_pair_one_with_one(spark):
+    """Unplaced records, and several at one offset: one of five changes."""
+    for at in (None, -1, 0, 700):
+        rows = [("a", at, 10 + k, f"d{k}") for k in range(5)]
+        other = [*rows[:2], ("a", at, 12, "changed"), *rows[3:]]
+        got = warc_fixity.audit(record_set(spark, rows), record_set(spark, other), base=64, fanout=2).collect()
+        if at is None or at < 0:  # nothing says that the two are one record
+            assert sorted((r["status"], r["offset"], r["found_offset"]) for r in got if r["status"] == "missing") == [("missing", -1, None)] and len(got) == 2
+        else:
+            assert [(r["status"], r["offset"], r["expected"], r["found"]) for r in got] == [("corrupt", at, "d2", "changed")]
+
+
+def test_audit_of_shifted_records(spark):
+    """A lost and a shortened record move what follows; only these two are wrong."""
+    lengths = [300 + 7 * (k % 13) for k in range(200)]
+    place = lambda ls: [sum(ls[:k]) for k in range(len(ls))]
+    rows = [("a", at, n, f"d{k}") for k, (at, n) in enumerate(zip(place(lengths), lengths, strict=True))]
+    kept = [(f"d{k}", n) for k, n in enumerate(lengths) if k != 50]
+    kept[120] = ("cut", 100)
+    other = [("a", at, n, d) for at, (d, n) in zip(place([n for _, n in kept]), kept, strict=True)]
+    got = warc_fixity.audit(record_set(spark, rows), record_set(spark, other), base=1024, fanout=4).collect()
+    wrong = {(r["status"], r["expected"], r["found"]) for r in got if r["status"] != "moved"}
+    assert wrong <= {("missing", "d50", None), ("missing", "d121", None), ("extra", None, "cut"), ("corrupt", "d121", "cut"), ("corrupt", "d50", "cut")}
+    assert {e for _, e, _ in wrong if e} == {"d50", "d121"}
+    moved = {r["expected"]: (r["offset"], r["found_offset"]) for r in got if r["status"] == "moved"}
+    assert moved == {f"d{k}": (rows[k][1], next(o[1] for o in other if o[3] == f"d{k}")) for k in range(51, 200) if k != 121}
+
+
+def warc_record(body):
+    return b"WARC/1.0\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(body), body)
+
+
+def test_reader_is_linear_and_finds_its_place_again():
+    import time
+
+    rnd = random.Random(5)
+    bodies = [rnd.randbytes(60) for _ in range(12_000)]
+    packed = [gzip.compress(warc_record(b), 1) for b in bodies]
+    start = time.time()
+    found = list(warc_fixity.warc_members(b"".join(packed)))
+    assert [d for *_, d in found] == [warc_record(b) for b in bodies] and time.time() - start < 5
+    for pieces in (packed[:100], [warc_record(b) for b in bodies[:100]]):
+        broken = list(pieces)
+        broken[10] = broken[10][: len(broken[10]) // 2]  # cut
+        broken[40] = broken[40][:8] + b"\xff" * 20 + broken[40][28:]  # damaged
+        found = list(warc_fixity.warc_members(b"".join(broken)))
+        good = {d for *_, d in found}
+        assert sum(warc_record(b) in good for b in bodies[:100]) >= 98
+        assert sum(n for _, n, _ in found) == sum(map(len, broken)) and [a for a, *_ in found] == [sum(n for _, n, _ in found[:k]) for k in range(len(found))]
+
+
 def test_read_warc_files(spark, tmp_path):
     record = lambda body: b"WARC/1.0\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(body), body)
     bodies = [b"one", b"two \r\n\r\n inside", b""]
