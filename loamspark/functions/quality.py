@@ -20,20 +20,30 @@ SEPARATOR = r"^\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)+\|?$"
 CELL_TOKEN = r"[A-Za-z0-9.\-/\x{4e00}-\x{9fff}]+"
 
 
+#: Levels that a title's numbering states; the first pattern that fits decides.
+TITLE_LEVELS = (
+    (1, rf"^第\s*[{NUMERAL}]+\s*章\b"),
+    (2, rf"^第\s*[{NUMERAL}]+\s*节\b"),
+    (1, rf"^第\s*[{NUMERAL}]+\s*版\s*前言$"),
+    (1, r"^(?:序|前言|绪论)$"),
+)
+TITLE_NUMBER = r"^(\d+(?:\.\d+)*)\s+\S+"
+NAMED_LEVELS = ((1, r"^chapter\s+\d+\b"), (2, r"^section\s+\d+\b"))
+#: What may not be a section title, by its lower-case form and as it is.
+REFUSED_LOWER = (r"\b(?:srcs|include_dirs|requires|priv_requires)\b", r"\b(?:if|for|while|switch|return)\s*\(")
+REFUSED_TITLES = (r"\|", r"^\s*(?:\$?\{?[\w./+-]+\}?=|[A-Za-z_][\w:.-]*\()", r"^[-=:_./\\\d\s]+$")
+CODE_SIGNS, NUMBERED = "[{};]", r"^\d+(?:\.\d+)*\s+"
+LONGEST_TITLE = 80
+
+
 def heading_level(title: Column) -> Column:
     """Level that a title states by its numbering; null if none."""
 
     def level(t: Column) -> Column:
-        number = F.regexp_extract(t, r"(?U)^(\d+(?:\.\d+)*)\s+\S+", 1)
-        return (
-            F.when(t.rlike(rf"(?U)^第\s*[{NUMERAL}]+\s*章\b"), 1)
-            .when(t.rlike(rf"(?U)^第\s*[{NUMERAL}]+\s*节\b"), 2)
-            .when(t.rlike(rf"(?U)^第\s*[{NUMERAL}]+\s*版\s*前言$"), 1)
-            .when(t.isin("序", "前言", "绪论"), 1)
-            .when(number != "", F.least(F.size(F.split(number, r"\.")), F.lit(6)))
-            .when(t.rlike(r"(?Ui)^chapter\s+\d+\b"), 1)
-            .when(t.rlike(r"(?Ui)^section\s+\d+\b"), 2)
-        )
+        number = F.regexp_extract(t, rf"(?U){TITLE_NUMBER}", 1)
+        named = [F.when(t.rlike(f"(?U){p}"), n) for n, p in TITLE_LEVELS]
+        counted = F.when(number != "", F.least(F.size(F.split(number, r"\.")), F.lit(6)))
+        return F.coalesce(*named, counted, *[F.when(t.rlike(f"(?Ui){p}"), n) for n, p in NAMED_LEVELS])
 
     return let(compact(title), level)
 
@@ -47,17 +57,10 @@ def is_section_title(title: Column) -> Column:
 
     def refused(b: Column) -> Column:
         t, low = b["t"], b["low"]
-        return (
-            (t == "")
-            | (F.length(t) > 80)
-            | F.contains(t, F.lit("|"))
-            | contains_any(low, CODE_MARKS)
-            | low.rlike(r"(?U)\b(?:srcs|include_dirs|requires|priv_requires)\b")
-            | low.rlike(r"(?U)\b(?:if|for|while|switch|return)\s*\(")
-            | t.rlike(r"(?U)^\s*(?:\$?\{?[\w./+-]+\}?=|[A-Za-z_][\w:.-]*\()")
-            | (t.rlike("[{};]") & ~t.rlike(r"(?U)^\d+(?:\.\d+)*\s+"))
-            | t.rlike(r"(?U)^[-=:_./\\\d\s]+$")
-        )
+        found = (t == "") | (F.length(t) > LONGEST_TITLE) | contains_any(low, CODE_MARKS) | (t.rlike(CODE_SIGNS) & ~t.rlike(f"(?U){NUMBERED}"))
+        for column, patterns in ((low, REFUSED_LOWER), (t, REFUSED_TITLES)):
+            found = found | column.rlike(f"(?U){'|'.join(f'(?:{p})' for p in patterns)}")
+        return found
 
     both = let(bare_title(title), lambda t: F.struct(t.alias("t"), F.lower(t).alias("low")))
     return F.coalesce(~let(both, refused), F.lit(False))

@@ -1,15 +1,17 @@
 """Main content of HTML pages as Markdown-like text, and pages as blocks.
 
-Two modes. ``clean`` follows the element tree: void elements hold nothing, an end tag closes
-up to its own start, inline text keeps its blanks. ``compat`` keeps the defects that users of
-the older behaviour may depend on: every start tag is pushed and every end tag pops whatever
-is on top, and pieces of text are stripped and joined without a blank.
+A page becomes a list of events, the events a list of balanced steps, the steps text. The
+two modes differ in how ends are matched to starts and how text is spaced. ``clean`` follows
+the element tree: void elements hold nothing, an end tag closes up to its own start, inline
+text keeps its blanks. ``compat`` keeps the defects that users of the older behaviour may
+depend on: every start tag is pushed and every end tag pops whatever is on top, and pieces
+of text are stripped and joined without a blank.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import urlparse
 
@@ -22,157 +24,128 @@ from loamspark.schemas import BLOCKS
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset(("script", "style", "noscript"))
+#: What an element writes where it begins and where it ends, and what marks the main part.
 BREAKING = frozenset(("p", "div", "section", "article", "li", "tr"))
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+MAIN_TAGS, MAIN_IDS = frozenset(("main", "article")), frozenset(("main-content", "content"))
 MAIN_CLASSES = frozenset(("document", "main", "content", "app-content"))
+FENCE = "\n```\n"
+BEGINS = {"pre": FENCE, "br": "\n"} | dict.fromkeys(BREAKING, "\n") | {h: f"\n{'#' * n} " for n, h in enumerate(HEADINGS, 1)}
+ENDS = dict.fromkeys((*BREAKING, *HEADINGS), "\n")
 #: Elements that an opening tag of the same group ends implicitly.
-IMPLIED = {"p": BREAKING | {"h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "table", "pre", "p"}, "li": {"li"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
+IMPLIED = {"p": BREAKING | {*HEADINGS, "ul", "ol", "table", "pre", "p"}, "li": {"li"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
 
+#: (kind, element or text, whether the element is the main part); kinds: start, end, void, text, hide, show, untitle.
+Step = tuple[str, str, bool]
 
-def is_main(tag: str, attributes: dict[str, str | None]) -> bool:
-    classes = {c.lower() for c in (attributes.get("class") or "").split()}
-    return tag in ("main", "article") or attributes.get("role") == "main" or attributes.get("id") in ("main-content", "content") or bool(classes & MAIN_CLASSES)
 
+class _Events(HTMLParser):
+    """A page's tags and texts in order."""
 
-class _Content(HTMLParser):
-    """Events to text; subclasses say how elements nest."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.out: list[str] = []
-        self.title: list[str] = []
-        self.in_title = False
-        self.hidden = self.captured = self.verbatim = 0
-
-    def write_start(self, tag: str) -> None:
-        if not self.captured:
-            return
-        if tag == "pre":
-            self.verbatim += 1
-            self.out.append("\n```\n")
-        elif tag == "br":
-            self.out.append("\n")
-        else:
-            if tag in BREAKING:
-                self.out.append("\n")
-            if re.fullmatch("h[1-6]", tag):
-                self.out.append(f"\n{'#' * int(tag[1])} ")
-
-    def write_end(self, tag: str) -> None:
-        if self.captured and (tag in BREAKING or re.fullmatch("h[1-6]", tag)):
-            self.out.append("\n")
-
-    def end_verbatim(self) -> None:
-        if self.verbatim:
-            self.verbatim -= 1
-            self.out.append("\n```\n")
-
-    def write_data(self, data: str) -> None:
-        raise NotImplementedError
-
-    def handle_data(self, data: str) -> None:
-        if self.in_title:
-            self.title.append(data)
-        if not self.hidden and self.captured:
-            if self.verbatim:
-                self.out.append(data)
-            else:
-                self.write_data(data)
-
-    def result(self) -> tuple[str, str]:
-        return " ".join(" ".join(self.title).split()), tidy("".join(self.out))
-
-
-class CompatContent(_Content):
-    def __init__(self) -> None:
+    def __init__(self, html: str):
         super().__init__()
-        self.stack: list[bool] = []
+        self.found: list[Step] = []
+        self.feed(html)
+        self.close()
 
     def handle_starttag(self, tag, attrs):
-        if tag in HIDDEN:
-            self.hidden += 1
-            return
-        self.in_title = self.in_title or tag == "title"
-        main = is_main(tag, dict(attrs))
-        self.stack.append(main)
-        self.captured += main
-        self.write_start(tag)
+        given = dict(attrs)
+        classes = set((given.get("class") or "").lower().split())
+        main = tag in MAIN_TAGS or given.get("role") == "main" or given.get("id") in MAIN_IDS or bool(classes & MAIN_CLASSES)
+        self.found.append(("hide" if tag in HIDDEN else "start", tag, main))
 
     def handle_endtag(self, tag):
-        if tag in HIDDEN and self.hidden:
-            self.hidden -= 1
-            return
-        if tag == "title":
-            self.in_title = False
-        if tag == "pre":
-            self.end_verbatim()
-        if self.stack and self.stack.pop() and self.captured:
-            self.captured -= 1
-        self.write_end(tag)
-
-    def write_data(self, data):
-        self.out.append(" ".join(data.split()))
-
-
-class CleanContent(_Content):
-    def __init__(self) -> None:
-        super().__init__()
-        self.open: list[tuple[str, bool]] = []
+        self.found.append(("show" if tag in HIDDEN else "end", tag, False))
+
+    def handle_data(self, data):
+        self.found.append(("text", data, False))
+
+
+def _by_tree(events: Iterable[Step]) -> Iterator[Step]:
+    """Steps in which each end belongs to its own start; implied ends put in, stray ends left out."""
+    open_: list[Step] = []
+
+    def closed_down_to(keep: int) -> Iterator[Step]:
+        while len(open_) > keep:
+            _, name, main = open_.pop()
+            yield "end", name, main
+
+    for kind, name, main in events:
+        if kind == "start" and name in VOID:
+            yield "void", name, False
+        elif kind == "start":
+            while open_ and name in IMPLIED.get(open_[-1][1], ()):
+                yield from closed_down_to(len(open_) - 1)
+            open_.append((kind, name, main))
+            yield kind, name, main
+        elif kind == "end":
+            own = max((i for i, x in enumerate(open_) if x[1] == name), default=len(open_))
+            if name == "title":
+                yield "untitle", name, False
+            yield from closed_down_to(own)
+        else:
+            yield kind, name, main
 
-    def handle_starttag(self, tag, attrs):
-        if tag in HIDDEN:
-            self.hidden += 1
-            return
-        self.in_title = self.in_title or tag == "title"
-        if tag in VOID:
-            self.write_start(tag)
-            return
-        while self.open and tag in IMPLIED.get(self.open[-1][0], ()):
-            self.close()
-        main = is_main(tag, dict(attrs))
-        self.open.append((tag, main))
-        self.captured += main
-        self.write_start(tag)
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.handle_endtag(tag)
-
-    def close(self) -> str:
-        tag, main = self.open.pop()
-        if tag == "pre":
-            self.end_verbatim()
-        self.captured -= main
-        self.write_end(tag)
-        return tag
 
-    def handle_endtag(self, tag):
-        if tag in HIDDEN:
-            self.hidden = max(0, self.hidden - 1)
-            return
-        if tag == "title":
-            self.in_title = False
-        if any(tag == name for name, _ in self.open):
-            while self.close() != tag:
-                pass
-
-    def write_data(self, data):
-        text = re.sub(r"\s+", " ", data)
-        if text == " " and (not self.out or self.out[-1].endswith((" ", "\n"))):
-            return
-        self.out.append(text.lstrip() if not self.out or self.out[-1].endswith((" ", "\n")) else text)
-
-    def result(self):
-        title, text = super().result()
-        return title, tidy("\n".join(line.rstrip() if not line.startswith("```") else line for line in text.split("\n")))
+def _by_count(events: Iterable[Step]) -> Iterator[Step]:
+    """Steps in which any end takes the mark of the last start, whatever its name."""
+    mains: list[bool] = []
+    hidden = 0
+    for kind, name, main in events:
+        if kind == "start":
+            mains.append(main)
+        elif kind == "end" or (kind == "show" and not hidden):
+            kind, main = "end", bool(mains) and mains.pop()
+            if name == "title":
+                yield "untitle", name, False
+        hidden += (kind == "hide") - (kind == "show")
+        yield kind, name, main
+
+
+def _spaced(text: str, out: list[str]) -> str:
+    """Inline text with white space made one blank, none at the begin of a line."""
+    flat = re.sub(r"\s+", " ", text)
+    return flat.lstrip() if not out or out[-1].endswith((" ", "\n")) else flat
+
+
+MODES = {"clean": (_by_tree, _spaced), "compat": (_by_count, lambda text, out: " ".join(text.split()))}
 
 
 def main_content(html: str | None, mode: str = "clean") -> tuple[str, str]:
     """Title and main text of a page."""
-    parser = {"clean": CleanContent, "compat": CompatContent}[mode]()
-    parser.feed(html or "")
-    parser.close() if mode == "compat" else HTMLParser.close(parser)
-    return parser.result()
+    balanced, inline = MODES[mode]
+    title: list[str] = []
+    out: list[str] = []
+    depth = dict.fromkeys(("hidden", "main", "pre", "title"), 0)
+    for kind, name, main in balanced(_Events(html or "").found):
+        if kind in ("hide", "show"):
+            depth["hidden"] = max(0, depth["hidden"] + (1 if kind == "hide" else -1))
+        elif kind == "text":
+            if depth["title"]:
+                title.append(name)
+            if depth["main"] and not depth["hidden"]:
+                piece = name if depth["pre"] else inline(name, out)
+                if piece or mode == "compat":
+                    out.append(piece)
+        elif kind in ("start", "void"):
+            depth["main"] += main
+            depth["title"] = depth["title"] or name == "title"
+            if depth["main"] and name in BEGINS:
+                depth["pre"] += name == "pre"
+                out.append(BEGINS[name])
+        elif kind == "untitle":
+            depth["title"] = 0
+        else:
+            if name == "pre" and depth["pre"]:
+                depth["pre"] -= 1
+                out.append(FENCE)
+            depth["main"] -= main and depth["main"] > 0
+            if depth["main"] and name in ENDS:
+                out.append(ENDS[name])
+    text = tidy("".join(out))
+    if mode == "clean":
+        text = tidy("\n".join(line if line.startswith("```") else line.rstrip() for line in text.split("\n")))
+    return " ".join(" ".join(title).split()), text
 
 
 def cut_page_end(text: str) -> str:
