@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loamspark.functions import pdf_rules as rules
 from loamspark.functions.quality import (
     cells,
     has_two_chapters,
@@ -20,8 +21,7 @@ from loamspark.functions.quality import (
     section_issue,
     table_confidence,
 )
-from loamspark.functions.text import STRINGS, folded, one_line
-from loamspark.operators.pdf import formula_score, heading_score, is_formula
+from loamspark.functions.text import STRINGS, compact, folded, let, one_line
 
 
 def judged(results: DataFrame, expected: DataFrame, top: int = 5) -> DataFrame:
@@ -126,11 +126,10 @@ def first_examples(issues: DataFrame, limit: int = 12, key: str = "issue", order
 def chunk_issues(chunks: DataFrame) -> DataFrame:
     """id, document_id, chunk_index, issue, detail: every defect of every chunk that the report names."""
     text, path = F.col("content"), F.coalesce("section_path", F.array().cast(STRINGS))
-    formula = F.udf(lambda t: bool(t) and is_formula(t), "boolean")
     plain = F.col("block_type") == "text"
     flags = F.array(
         F.when(F.length(text) < 100, F.struct(F.lit("short_chunks_lt_100").alias("issue"), F.concat(F.lit("len="), F.length(text)).alias("detail"))),
-        F.when(plain & formula(text), F.struct(F.lit("formula_leakage_in_text").alias("issue"), one_line(text).alias("detail"))),
+        F.when(plain & rules.is_formula(text), F.struct(F.lit("formula_leakage_in_text").alias("issue"), one_line(text).alias("detail"))),
         F.when(plain & is_bad_start(text), F.struct(F.lit("bad_start_chunks").alias("issue"), F.lit("starts like a continuation").alias("detail"))),
         F.when(has_two_chapters(path), F.struct(F.lit("section_path:chapter_transition_error").alias("issue"), F.array_join(path, " > ").alias("detail"))),
     )
@@ -139,20 +138,22 @@ def chunk_issues(chunks: DataFrame) -> DataFrame:
     return chunks.select("id", "document_id", "chunk_index", F.explode(found).alias("x")).select("id", "document_id", "chunk_index", "x.issue", "x.detail")
 
 
+#: Fixed value: from here on a line is nearly a heading.
+LEAST_CANDIDATE = 0.35
+
+
 def heading_candidate(text: Column, path: Column) -> Column:
     """A line among the first three that is nearly a heading and not in the path."""
 
-    def of(body: str | None, over) -> str | None:
-        known = "\n".join(over or ())
-        lines = [x for x in (" ".join(x.split()) for x in (body or "").splitlines()[:3]) if x]
-        return next((x for x in lines if 0.35 <= heading_score(x) < 0.55 and x not in known), None)
-
-    found = F.udf(of, "string")(text, path)
-    return F.when(is_section_title(found), found)
+    known = F.array_join(F.coalesce(path, F.array().cast(STRINGS)), "\n")
+    lines = F.filter(F.transform(F.slice(rules.split_lines(text), 1, 3), compact), lambda x: x != "")
+    score = lambda x: rules.heading_score(rules.heading_title(x))
+    nearly = F.filter(lines, lambda x: ~F.contains(known, x) & let(score(x), lambda n: (n >= LEAST_CANDIDATE) & (n < rules.HEADING_SCORE)))
+    return let(F.get(nearly, 0), lambda x: F.when(is_section_title(x), x))
 
 
 def formula_scores(texts: DataFrame, text_col: str) -> DataFrame:
-    return texts.withColumn("formula_score", F.udf(lambda t: formula_score(t or ""), "double")(text_col))
+    return texts.withColumn("formula_score", rules.formula_score(F.coalesce(text_col, F.lit(""))))
 
 
 def write_report(path: str, **frames: DataFrame) -> None:

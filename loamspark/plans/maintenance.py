@@ -356,14 +356,47 @@ def _pages_of_lines(spark, sf_dir):
 
 
 def margin_noise(spark, sf_dir):
-    return pdf.margin_noise(_pages_of_lines(spark, sf_dir)).where(F.col("signature").rlike("^(Manual|Issue)")).select(F.col("document_id").alias("doc_id"), "place", "signature")
+    found = pdf.margin_noise(_pages_of_lines(spark, sf_dir))
+    return found.select(F.col("document_id").alias("doc_id"), "place", "signature")
+
+
+MARGIN_NOISE = r"""
+WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ln FROM documents),
+p AS (SELECT doc_id, source, ln // 6 + 1 AS page, list(line ORDER BY ln) AS ls FROM l GROUP BY doc_id, source, ln // 6),
+f AS (SELECT doc_id, page, list_concat(['Manual of ' || source], ls, ['Issue of May ' || page]) AS ls FROM p),
+c AS (
+  SELECT doc_id, page, list_filter(list_transform(ls, lambda x: trim(regexp_replace(x, '[\s\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{3000}]+', ' ', 'g'))), lambda x: x <> '') AS ls FROM f),
+x AS (SELECT doc_id, page, len(ls) AS n, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i FROM c),
+s AS (
+  SELECT *, replace(regexp_replace(regexp_replace(line, '第\s*\d+\s*页', ' ', 'g'), '\b\d{1,3}\b', '#', 'g'), ' ', '') AS signature
+  FROM x WHERE NOT regexp_matches(line, '目录|表格|插图')),
+places AS (
+  SELECT doc_id, 'head' AS place, signature FROM s WHERE i < 2 AND length(signature) >= 4
+  UNION ALL SELECT doc_id, 'foot', signature FROM s WHERE i >= n - 3 AND length(signature) >= 4),
+total AS (SELECT doc_id, count(*) AS pages FROM f GROUP BY doc_id)
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, place, signature
+FROM places JOIN total USING (doc_id) GROUP BY doc_id, place, signature, pages
+HAVING count(*) >= CASE WHEN pages < 20 THEN 3 ELSE greatest(3, pages // 10) END""".replace("\\\\", "\\")
+
+
+def contents_entries(spark, sf_dir):
+    """Contents pages made of the orders' numbers: sections, tables and figures, some over two lines."""
+    lines = table(spark, sf_dir, "orders").select(
+        (F.col("o_orderkey") % 97).cast("string").alias("document_id"),
+        F.col("o_orderkey").alias("k"),
+        F.concat(F.col("o_orderkey").cast("string"), F.lit("."), (F.col("o_orderkey") % 5).cast("string"), F.lit(" "), F.lower("o_orderpriority"), F.lit(" "), (F.col("o_orderkey") % 900 + 1).cast("string")).alias("line"),
+    )
+    pages = lines.groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda r: r["line"]).alias("ls"))
+    pages = pages.select("document_id", F.lit(1).alias("page_number"), F.concat(F.array(F.lit(pdf.rules.CONTENTS)), "ls").alias("lines"))
+    return pdf.contents_table(pages).select(F.col("document_id").alias("doc"), F.col("seq").cast("long").alias("seq"), "title", F.col("target_page").cast("long").alias("target_page"), F.array_join("path", "/").alias("path"), "kind")
 
 
-MARGIN_NOISE = """
-WITH l AS (SELECT doc_id, source, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ln FROM documents),
-p AS (SELECT doc_id, source, count(DISTINCT ln // 6) AS pages FROM l GROUP BY doc_id, source)
-SELECT CAST(doc_id AS VARCHAR) AS doc_id, place, CASE WHEN place = 'head' THEN 'Manualof' || source ELSE 'IssueofMay#' END AS signature
-FROM p, (VALUES ('head'), ('foot')) t(place) WHERE pages >= 3"""
+CONTENTS_ENTRIES = """
+WITH e AS (
+  SELECT CAST(o_orderkey % 97 AS VARCHAR) AS doc, o_orderkey AS k, o_orderkey % 900 + 1 AS target_page,
+         trim(o_orderkey || '.' || (o_orderkey % 5) || ' ' || lower(o_orderpriority)) AS title FROM orders),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY k) - 1 AS seq, first_value(title) OVER (PARTITION BY doc ORDER BY k) AS top FROM e)
+SELECT doc, seq, title, target_page, CASE WHEN seq = 0 THEN title ELSE top || '/' || title END AS path, 'section' AS kind FROM n"""
 
 
 def pdf_block_parse(spark, sf_dir):
@@ -391,6 +424,7 @@ ORACLE_SQL = {
     "language_version": LANGUAGE_VERSION,
     "profile_resolve": PROFILE_RESOLVE,
     "margin_noise": MARGIN_NOISE,
+    "contents_entries": CONTENTS_ENTRIES,
 }
 QUERIES = {
     f.__name__: f
@@ -398,6 +432,6 @@ QUERIES = {
         session_summary, recent_messages, query_with_history, consistency_check, upsert_vectors, delete_document, dedupe_ingest, sentence_split, chunk_pack,
         chunk_fingerprints, context_attach, page_regions, merge_short, neighbor_expand, quality_report, per_source_report, section_issue_counts,
         table_issue_counts, code_issue_counts, bad_start, examples_topn, readability_scores, html_extract, html_extract_compat, web_blocks, text_blocks,
-        metadata_derive, language_version, profile_resolve, margin_noise, pdf_block_parse,
+        metadata_derive, language_version, profile_resolve, margin_noise, contents_entries, pdf_block_parse,
     )
 }

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamspark.operators.blocks import Block, as_frame, block_rows, blocks_of_lines, blocks_of_paragraphs, is_title, tidy
-from loamspark.operators.pdf import readable_share
 from loamspark.schemas import BLOCKS, names
 from loamspark.sources.html import cut_page_end
 
@@ -79,6 +78,17 @@ def frequent_characters() -> frozenset[str]:
     return frozenset("".join(pair.decode("gb2312", "ignore") for pair in rows))
 
 
+#: Signs that readable text has besides letters and digits.
+ORDINARY_SIGNS = ".,;:!?()[]{}<>-_+/\\|@#$%^&*~`'\"，。；：？！、（）《》【】“”‘’·…"
+_ORDINARY = re.compile(f"[0-9A-Za-z一-鿿{re.escape(ORDINARY_SIGNS)}]")
+
+
+def readable_share(text: str) -> float:
+    """Share of ordinary characters among those that are no white space."""
+    visible = "".join(text.split())
+    return len(_ORDINARY.findall(visible)) / len(visible) if visible else 0.0
+
+
 def plausibility(text: str) -> float:
     """How much a decoded text looks like one."""
     chars = [c for c in text if not c.isspace()]

@@ -6,6 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from loamspark.functions import pdf_rules as rules
 from loamspark.functions.embed import embed_tokens, vector_records
 from loamspark.operators import answering, chunking, evaluation, pdf, ranking, scoping, sessions
 from loamspark.operators.blocks import Block, blocks_of_lines, blocks_of_paragraphs
@@ -227,16 +228,25 @@ def test_store_and_stream(spark, tmp_path):
     assert store.scan("vectors").count() == 0 and store.health()["documents"] == 3
 
 
-def test_pdf_predicates():
-    assert pdf.detected_heading("1.2 Power supply") == "1.2 Power supply" and pdf.detected_heading("Table 1-2 x") is None
-    assert pdf.is_formula("F = m * a + (b - c) = 0 (2-1)") and not pdf.is_formula("just words here")
-    assert pdf.is_repeated_row("| a | a |") and not pdf.is_repeated_row("| a | b |")
-    assert pdf.inline_table_title("2.1 Values 表 2-1 Limits") == ("2.1 Values", "表 2-1 Limits")
-    assert pdf.split_rows(["表 1-1 T", "参数 单位", "a 1 2", "b 3 4"]) == ("表 1-1 T", ["参数 单位"], ["a 1 2", "b 3 4"])
-    assert len(list(pdf.table_blocks(["表 1-1 T", "参数 单位", *[f"r{i} 1 2" for i in range(7)]], ["s"], 3))) == 2
-    assert pdf.table_key("表 2.1O. x") == "2-10" and pdf.numeric_key("附录 B.2 x") == "B.2"
+def test_pdf_predicates(spark):
+    x = F.col("x")
+    one = lambda text, column: spark.createDataFrame([(text,)], "x string").select(column).first()[0]
+    assert one("1.2 Power supply", rules.heading(x)) == "1.2 Power supply" and one("Table 1-2 x", rules.heading(x)) is None
+    assert one("F = m * a + (b - c) = 0 (2-1)", rules.is_formula(x)) and not one("just words here", rules.is_formula(x))
+    assert one("| a | a |", rules.is_repeated_row(x)) and not one("| a | b |", rules.is_repeated_row(x))
+    assert tuple(one("2.1 Values 表 2-1 Limits", F.struct(rules.before_title(x), rules.table_title(x)))) == ("2.1 Values", "表 2-1 Limits")
+    assert one("表 2.1O. x", rules.table_key(x)) == "2-10" and one("附录 B.2 x", rules.number_of(x)) == "B.2"
+    assert one("a\n12 汽车理论 word\nSubmit Documentation Feedback", rules.without_noise(x)) == "a\nword"
+    assert one("3 x 7", rules.contents_title(x, F.lit("section"))) == "3 x 7" and one("表 1-1 T ..", rules.contents_title(x, F.lit("table"))) == "表1-1. T"
+
+
+def test_table_rows_and_boxes():
+    row = lambda kind, line, head: {"kind": kind, "line": line, "head": head}
+    rows = [row("title", "表 1-1 T", False), row("plain", "参数 单位", True), *[row("plain", f"r{i} 1 2", False) for i in range(7)]]
+    blocks = list(pdf.rows_to_blocks(rows, ["s"], 3))
+    assert [b.text.split("\n")[:3] for b in blocks] == [["表 1-1 T", "参数 单位", "r0 1 2"], ["表 1-1 T", "参数 单位", "r5 1 2"]]
     assert pdf.ocr_lines([(0, 10, 5, 10, "a"), (60, 70, 6, 10, "b"), (0, 10, 40, 10, "c")]) == ["a b", "c"]
-    assert pdf.markdown_paragraph(["one", "two-", "three"]) == "one two-three"
+    assert pdf.markdown_paragraph(["one", "two-", "three"]) == "one two-three" and pdf.markdown_paragraph(["- a", "- b"]) == "- a\n- b"
 
 
 CONTENTS = ["目录", "1 Intro 2", "1.1 Power 2", "1.2 Radio 3", "表格", "表 1-1 Limits 2"]
@@ -256,5 +266,16 @@ def test_pdf_pages(spark):
     assert sorted(r["canonical"] for r in pdf.canonical_titles(titles, entries).collect()) == ["表1-1. Limits", "表1-1. far"]
     blocks = pdf.pdf_blocks(df).orderBy("seq").collect()
     assert any(sentence in r["text"] for r in blocks) and not any("running head" in r["text"] for r in blocks)
-    route = pdf.markdown_pages([(1, f"# One\n{sentence}\n\n| a | b |\n|---|---|\n| 1 | x |\n| 2 | y |")])
-    assert [b.role for b in route] == ["text", "table"]
+    text = f"# One\n{sentence}\n\n| a | b |\n|---|---|\n| 1 | x |\n| 2 | y |"
+    route = pdf.markdown_pdf_blocks(spark.createDataFrame([("m", 1, text), ("n", 1, None)], "document_id string, page_number int, text string"))
+    assert [(r["document_id"], r["role"], r["section_path"]) for r in route.orderBy("seq").collect()] == [("m", "text", []), ("m", "table", [])]
+
+
+def test_tables_run_over_pages(spark):
+    """A page that begins with rows goes on with the table before it; a lower heading ends it."""
+    pages = [(1, ["第1章 概述", "表 1-1 Limits", "volt 1 2"]), (2, ["amp 3 4", "ohm 5 6", "1.2 Radio", "after"])]
+    df = spark.createDataFrame([("d", n, lines) for n, lines in pages], "document_id string, page_number int, lines array<string>")
+    rows = pdf.per_document(pdf.classified_lines(df, pdf.contents_table(df)), lambda rows: pdf.block_rows("d", pdf._content_blocks(rows)), pdf.BLOCKS, "page_number", "i")
+    got = [(r["role"], r["page_number"], r["text"], r["section_path"]) for r in rows.orderBy("seq").collect()]
+    assert got[0] == ("table", 1, "表1-1. Limits\nvolt 1 2", ["第1章 概述"])
+    assert got[-1][0::3] == ("text", ["第1章 概述", "1.2 Radio"])
