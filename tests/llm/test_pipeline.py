@@ -24,7 +24,7 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     left = [(i, t) for i, t, *_ in rows if brute_rules(t)[-1]]
     gone = brute_lines(left)
     cut = [(i, t if not gone[i, t] else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i, t])) for i, t in left]
-    left = [(i, t) for (i, t), (_, before) in zip(cut, left, strict=True) if t.split() or not gone[i, before]]
+    left = [(i, t) for (i, t), (_, before) in zip(cut, left, strict=True) if len(t.split()) >= 50 or not gone[i, before]]
     first = {i for i, _, least in brute_components([(i, brute_fingerprint(t)) for i, t in left]) if i == least}
     left = [(i, t) for i, t in left if i in first and not brute_hits(t, items)[-1]]
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -50,3 +50,19 @@ def test_one_row_of_each_class_stays(spark):
         got = simhash_vptree.keep_first_of_each(given)
         assert got.columns == df.columns
         assert sorted((tuple(r)[:2] for r in got.collect()), key=key) == sorted(kept, key=key)
+
+
+def test_stages_on_edge_tables(spark, tmp_path):
+    """Null ids and texts, repeated rows, extra columns and empty tables in every stage."""
+    long_text = " ".join(f"w{i}" for i in range(70))
+    rows = [(1, long_text, "en", "s", 1), (1, long_text, "en", "s", 1), (None, None, None, None, None), (None, long_text + " x", "en", "s", 2), (3, "", "en", "s", 0), (4, "\n".join(f"a{i} b{i} c{i}" for i in range(40)), "en", "s", 3)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    full = spark.createDataFrame(rows, schema).selectExpr("*", "'x' as runs", "'y' as fp", "'z' as kept")
+    spark.createDataFrame([(1, "a benchmark item of some ten words that nothing has here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for given in (full, full.limit(0)):
+        docs = given
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs.selectExpr("*", "1 as extra"), str(tmp_path))
+            assert docs.columns == corpus_pipeline.COLUMNS, name
+        last = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+        assert sorted(r["doc_id"] for r in last) == ([] if given is not full else [1, 4])
