@@ -3,6 +3,12 @@
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns a
 DataFrame, which ``run`` writes as Parquet and reads again as the next stage's ``docs``.
 All but the last return the columns of ``documents``.
+
+Defined cases, in every stage: columns other than those of ``documents`` are left out; a
+null text counts as an empty one, which the first stage rejects for want of words; a null
+doc_id stands after all others where one document of a group stays, and rows of one doc_id
+with different texts are different documents; identical rows are one document in
+near_dedup; an empty table gives an empty result; texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -17,6 +23,8 @@ from loamspark.llm import byte_bpe, decontamination, line_runs, repetition_rules
 from loamspark.llm.common import checkpoint_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Words that a text needs, those of the first stage's base rule.
+MIN_WORDS = repetition_rules.RepetitionLimits().min_words
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,10 +33,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of line runs go; a document of which no word is left goes with them."""
+    """Later copies of line runs go; what is left of a document goes too if it is under ``MIN_WORDS`` words.
+
+    A near copy loses all lines but the changed ones, which then resemble nothing that the
+    next stage could find; the first stage would not have kept such a text either.
+    Documents that lose no line stay as they are.
+    """
     out = line_runs.dedup_lines(docs.select(COLUMNS), runs_col="runs")
     touched = F.size("runs") > 0
-    return out.where(~touched | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(
+    words = F.size(F.filter(F.split("text", line_runs.WORD_GAP, -1), lambda w: w != ""))
+    return out.where(~touched | (words >= MIN_WORDS)).select(
         "doc_id", "text", "lang", "source", F.when(touched, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
     )
 
