@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def materialized(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder that the session names; one of our own only where none is set."""
+    """A reliable checkpoint in the shared folder that the session names; one of our own only in a local session without one."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loamspark-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="loamspark-"))
     return df.checkpoint(eager=True)

@@ -1,7 +1,8 @@
 """Stored tables: versioned overwrite, append, upsert, delete, consistency.
 
-A table is a folder of numbered versions with a pointer file that names the current one;
-a version is written whole before the pointer moves, so readers never see half a table.
+A table is a folder of versions with numbered pointer files; the highest names the current
+version. A version is written whole before its pointer is put there by one rename, and no
+pointer is ever taken away, so readers see a whole table at any time, the old or the new.
 Vectors are partitioned by collection, which deletes and scans prune by.
 """
 
@@ -19,6 +20,7 @@ from loamspark.schemas import CHUNKS, DOCUMENTS, TURNS, VECTORS, conform, struct
 
 TABLES = {"documents": DOCUMENTS, "chunks": CHUNKS, "vectors": VECTORS, "turns": TURNS}
 PARTITIONS = {"vectors": ["collection_id"]}
+POINTER = "pointer-"
 
 
 class Store:
@@ -31,11 +33,16 @@ class Store:
         jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm_path
 
+    def _pointers(self, table: str) -> list[str]:
+        """Names of the pointer files, the latest last."""
+        fs, folder = self._fs(f"{self.root}/{table}")
+        if not fs.exists(folder):
+            return []
+        return sorted(n for n in (x.getPath().getName() for x in fs.listStatus(folder)) if n.startswith(POINTER))
+
     def _current(self, table: str) -> str | None:
-        fs, path = self._fs(f"{self.root}/{table}/CURRENT")
-        if not fs.exists(path):
-            return None
-        return self.spark.read.text(f"{self.root}/{table}/CURRENT").first()[0]
+        pointers = self._pointers(table)
+        return self.spark.read.text(f"{self.root}/{table}/{pointers[-1]}").first()[0] if pointers else None
 
     def scan(self, table: str) -> DataFrame:
         """The current version; a missing table is empty."""
@@ -51,13 +58,15 @@ class Store:
         if table in PARTITIONS:
             writer = writer.partitionBy(*PARTITIONS[table])
         writer.parquet(f"{self.root}/{table}/{version}")
-        fs, target = self._fs(f"{self.root}/{table}/CURRENT")
-        _, fresh = self._fs(f"{self.root}/{table}/NEXT-{uuid.uuid4().hex}")
+        fs, fresh = self._fs(f"{self.root}/{table}/.{version}")
         stream = fs.create(fresh, True)
         stream.write(bytearray(version.encode()))
         stream.close()
-        fs.delete(target, False)
-        fs.rename(fresh, target)
+        pointers = self._pointers(table)
+        number = int(pointers[-1].removeprefix(POINTER)) + 1 if pointers else 0
+        _, target = self._fs(f"{self.root}/{table}/{POINTER}{number:012d}")
+        if not fs.rename(fresh, target):
+            raise OSError(f"another writer moved {table} to version {number}")
 
     def append(self, table: str, rows: DataFrame) -> None:
         """New files in the current version; the table is made if it is missing."""
@@ -84,10 +93,15 @@ class Store:
         return rows.where("is_active") if active_only else rows
 
     def add_documents(self, documents: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None) -> None:
-        """Documents, their chunks and vectors; vectors are made if not given."""
-        self.append("documents", documents)
-        self.append("chunks", chunks)
+        """Documents, their chunks and vectors; vectors are made if not given.
+
+        Documents come last, since they say what is stored: a call that fails before leaves
+        chunks and vectors that its repetition finds by their ids and does not write again.
+        """
+        stored = self.scan("chunks").select("id")
+        self.append("chunks", chunks.join(stored, "id", "left_anti"))
         self.upsert_vectors(vectors if vectors is not None else vector_records(chunks))
+        self.append("documents", documents)
 
     def rebuild(self, documents: DataFrame, chunks: DataFrame, rebuild_vectors: bool = True) -> None:
         """All tables anew; without ``rebuild_vectors`` the vectors of every collection are cleared."""
@@ -123,9 +137,12 @@ class Store:
     def find_by_path(self, path: str) -> DataFrame:
         return self.scan("documents").where(F.col("source_path") == path).orderBy("created_at", "id").limit(1)
 
-    def new_only(self, rows: DataFrame, key: str = "source_path") -> DataFrame:
-        """Rows whose address or path no stored document has."""
-        return not_stored(rows, self.scan("documents"), key)
+    def new_only(self, rows: DataFrame, key: str | None = None) -> DataFrame:
+        """Rows whose origin, or whose ``key``, no stored document has."""
+        documents = self.scan("documents")
+        if key is not None:
+            return not_stored(rows, documents, key)
+        return not_stored(rows.withColumn("origin_", origin()), documents.withColumn("origin_", origin()), "origin_").drop("origin_")
 
     def consistency(self, collection_id: str | None = None) -> DataFrame:
         return consistency(self.scan("chunks"), self.list_vectors(collection_id))
@@ -150,6 +167,11 @@ def without_document(vectors: DataFrame, document_id: str, collection_id: str |
     return vectors.where(~F.coalesce(hit, F.lit(False)))
 
 
+def origin():
+    """Where a document comes from: its address, else its path, else its id."""
+    return F.coalesce("source_url", "source_path", "id")
+
+
 def not_stored(rows: DataFrame, documents: DataFrame, key: str) -> DataFrame:
     return rows.join(documents.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
 

@@ -1,19 +1,21 @@
 """Incremental ingestion: a stream of files or rows into the stored tables.
 
-Each micro-batch is guarded by an anti-join on what is stored and writes vectors by
-upsert, so a batch that is replayed after a failure changes nothing.
+Each micro-batch is guarded by an anti-join on the origins of stored documents (address, else
+path, else id); chunks and vectors are written by id and documents last, so a batch that is
+replayed after a failure at any point completes what is missing and repeats nothing.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loamspark.operators.blocks import line_blocks
 from loamspark.operators.chunking import build_chunks
 from loamspark.session import materialized
-from loamspark.sources.store import Store
+from loamspark.sources.store import Store, origin
 
 TEXTS = "id string, title string, filename string, source_path string, source_url string, source_format string, text string"
 
@@ -33,11 +35,17 @@ def prepared(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return documents, blocks
 
 
+def first_of_each(texts: DataFrame) -> DataFrame:
+    """One row of each origin, that with the smallest id, so that a replay takes the same."""
+    order = W.partitionBy(origin()).orderBy("id", "title", "text")
+    return texts.withColumn("n_", F.row_number().over(order)).where("n_ = 1").drop("n_")
+
+
 def ingest(store: Store, texts: DataFrame) -> int:
     """Documents of ``texts`` that are not stored yet, with chunks and vectors; how many."""
     # Checkpoints, not caches: a cache that read the stored documents is made anew, and then
     # empty, as soon as these documents are appended.
-    new = materialized(store.new_only(texts.dropDuplicates(["source_path"])))
+    new = materialized(store.new_only(first_of_each(texts)))
     documents, chunks = map(materialized, build_chunks(*prepared(new)))
     n = documents.count()
     if n:

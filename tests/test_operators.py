@@ -279,3 +279,32 @@ def test_tables_run_over_pages(spark):
     got = [(r["role"], r["page_number"], r["text"], r["section_path"]) for r in rows.orderBy("seq").collect()]
     assert got[0] == ("table", 1, "表1-1. Limits\nvolt 1 2", ["第1章 概述"])
     assert got[-1][0::3] == ("text", ["第1章 概述", "1.2 Radio"])
+
+
+def test_replay_after_a_failure_at_each_write(spark, tmp_path, monkeypatch):
+    """A batch killed after any write, replayed, leaves each document, chunk and vector once; null paths are no key."""
+    texts = spark.createDataFrame([(f"i{k}", f"T{k}", "f.md", p, u, "web", f"# A\nwords of text {k}") for k, (p, u) in enumerate([("/a", None), (None, "http://a"), (None, "http://b"), (None, None), (None, "http://a")])], ingest.TEXTS)
+    for step in ("append:chunks", "upsert_vectors", "append:documents", None):
+        store = Store(spark, f"{tmp_path}/{step}")
+
+        def broken(name, kept=None, step=step):
+            def call(self, *args, **kwargs):
+                out = kept(self, *args, **kwargs)
+                if step == (f"{name}:{args[0]}" if name == "append" else name):
+                    raise RuntimeError("killed")
+                return out
+
+            return call
+
+        with monkeypatch.context() as patch:
+            patch.setattr(Store, "append", broken("append", Store.append))
+            patch.setattr(Store, "upsert_vectors", broken("upsert_vectors", Store.upsert_vectors))
+            if step:
+                with pytest.raises(RuntimeError):
+                    ingest.ingest(store, texts)
+            else:
+                ingest.ingest(store, texts)
+        ingest.ingest(store, texts)
+        documents, chunks, vectors = (store.scan(t) for t in ("documents", "chunks", "vectors"))
+        assert documents.count() == 4 and sorted(r[0] for r in documents.select("source_url").distinct().collect() if r[0]) == ["http://a", "http://b"]
+        assert chunks.count() == chunks.select("id").distinct().count() == vectors.count() == vectors.select("chunk_id").distinct().count() == 4
