@@ -11,7 +11,8 @@ array, and every round takes each row's root. Pieces over ``LONG`` bytes have a
 their own in plain lists. Encoded pieces are kept in a table of bounded size per worker.
 
 Defined cases: a null or empty text has no ids. Bytes are merged whatever they are; a
-text of one endless word costs n log n. Repeated rows give repeated results.
+text of one endless word costs n log n. Repeated rows give repeated results, an empty table an
+empty one. Columns other than id and text do not matter, whatever their names.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@ output: three segments a turn (header, text, end mark), set for texts of ``assis
 Defined cases: a null text or role is empty. Turns are ordered by (turn, role, text), nulls
 first; repeated rows stay. A record whose fingerprint no layout has gets null turns and null
 output. Fields that no layout knows, whatever their names, do not count. An empty array of
-turns gives an empty output.
+turns gives an empty output, a null element of one an empty turn, an empty table an empty
+result. A null conv_id is a conversation like any other. Texts of any length are taken whole;
+a conversation is one row of the output and is held in one task.
 """
 
 from __future__ import annotations

@@ -10,9 +10,12 @@ Defined cases: a null text or item has no words. An item without words has no wi
 item with a null id still marks words, but is not listed or counted. Repeated items count
 once, repeated documents give repeated rows. An empty benchmark hits nothing.
 
-The automaton is broadcast with the tasks, so its text is bounded: ``block_chars``
-characters of items at most. A larger benchmark is dealt into blocks of items that are
-scanned one after another over a checkpointed table, which stays exact.
+The automaton is built in every Python worker, at some 500 bytes for a character of items
+(each word lies in up to ten windows), so its items are bounded: ``block_chars`` characters,
+which is about 250 MB a worker. A larger benchmark is dealt into blocks of items that are
+scanned one after another over a checkpointed table, which stays exact. An empty table gives
+an empty result; very long texts are taken whole; columns other than id and text do not
+matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,6 +38,9 @@ _FOLD = bytes(
 )
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
+#: Characters of items in one automaton.
+BLOCK_CHARS = 500_000
+
 SCAN = T.StructType(
     [
         T.StructField("n_words", T.LongType()),
@@ -129,7 +135,7 @@ def decontaminate(
     item_col: str = "item_id",
     item_text_col: str = "text",
     window: int = 10,
-    block_chars: int = 16_000_000,
+    block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """One row per document: doc_id, n_words, hit_runs, char_spans, items. No shuffle."""
     state = keyed_text(df, id_col, text_col)
@@ -175,7 +181,7 @@ def contamination_report(scanned: DataFrame) -> DataFrame:
     )
 
 
-def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = 10, block_chars: int = 16_000_000) -> DataFrame:
+def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = 10, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``df``, with all columns, that no benchmark window occurs in."""
     for block, last in _blocks(benchmark, "item_id", "text", block_chars):
         windows = windows_of(block, window)

@@ -8,8 +8,9 @@ characters. Repeated lines are measured the same way. A text is rejected when a
 exceeds its limit.
 
 Defined cases: a null text counts as an empty one; it has no words, so it fails the base
-rule. Repeated rows give repeated results. Ties cannot occur. Very long texts are taken
-whole, one at a time.
+rule. Repeated rows give repeated results, an empty table an empty one. Ties cannot occur.
+Very long texts are taken whole, one at a time. Columns other than id and text do not
+matter, whatever their names.
 """
 
 from __future__ import annotations

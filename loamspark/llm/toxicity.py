@@ -21,7 +21,10 @@ heaviest first, ties by bucket.
 
 Defined cases: a null text counts as an empty one and gets a score. Without training rows,
 or with rows of one kind, the score is the smoothed share of label 1. Repeated rows count
-as often as they are given. Very long texts are taken whole.
+as often as they are given. An empty table gives an empty result. Very long texts are taken
+whole. Columns other than id and text do not matter, whatever their names. Look-alikes are
+those of ``LOOKALIKES``; letters beyond U+02FF are one symbol to the character model, so
+look-alike letters of other scripts are not restored.
 """
 
 from __future__ import annotations

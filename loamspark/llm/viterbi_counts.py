@@ -9,7 +9,8 @@ piece of its own may be unknown at 10 below the smallest score, and then counts
 bytes where the vocabulary has byte pieces (one for a run of unknowns where not).
 
 Defined cases: a null or empty text has no tokens. Repeated rows give repeated results. A
-text of one endless stretch is counted in linear time and constant memory a character.
+text of one endless stretch is counted in linear time and constant memory a character. An
+empty table gives an empty result. Columns other than id and text do not matter.
 """
 
 from __future__ import annotations
