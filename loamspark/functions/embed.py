@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamspark.functions.text import chunk_fingerprint, text_hash, tokenize, weighted_text
+from loamspark.functions.text import chunk_fingerprint, nfkc, text_hash, tokenize, weighted_text
 from loamspark.schemas import VECTORS, VERSIONS, conform
 
 #: The two keys.
@@ -43,21 +43,46 @@ def embed_tokens(tokens: list[str], dimension: int) -> np.ndarray:
     return vector / norm if norm > 0 else vector
 
 
+def embed_batch(tokens: pa.ListArray, dimension: int) -> np.ndarray:
+    """``embed_tokens`` of every row as one matrix: distinct tokens are hashed once and all sums are one count.
+
+    Entries are added in the order of first occurrence, so that rows are equal to the last bit.
+    """
+    rows, width = len(tokens), max(dimension, 0)
+    lengths = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(tokens), 0))
+    words = tokens.flatten().dictionary_encode()
+    if not width or not len(words):
+        return np.zeros((rows, width))
+    owner, codes, size = np.repeat(np.arange(rows), lengths), np.asarray(words.indices), len(words.dictionary)
+    keys, first, counts = np.unique(owner * size + codes, return_index=True, return_counts=True)
+    order = np.argsort(first)
+    keys, weights = keys[order], 1.0 + np.log1p(counts[order])
+    places = [_places(w) for w in words.dictionary.to_pylist()]
+    index = np.array([[i % width for i, _ in p] for p in places])[keys % size]
+    signs = np.array([[s for _, s in p] for p in places])[keys % size]
+    at = (keys // size)[:, None] * width + index
+    summed = np.bincount(at.ravel(), (signs * weights[:, None]).ravel(), rows * width).reshape(rows, width)
+    norms = np.sqrt((summed * summed).sum(axis=1))
+    return summed / np.where(norms > 0, norms, 1.0)[:, None]
+
+
 def with_hashed_vectors(rows: DataFrame, tokens: Column, dimension: int, name: str = "values") -> DataFrame:
     """rows with the embedding of a column of tokens, an Arrow batch at a time."""
     schema = T.StructType([*rows.drop(name).schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = [embed_tokens(t or [], dimension) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            made = pa.array(vectors, type=pa.list_(pa.float64()))
+            made = embed_batch(batch.column(batch.num_columns - 1), dimension)
+            starts = np.arange(len(made) + 1, dtype=np.int32) * made.shape[1]
+            made = pa.ListArray.from_arrays(pa.array(starts), pa.array(made.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=schema.names)
 
     return rows.drop(name).withColumn("__tokens", tokens).mapInArrow(run, schema)
 
 
-def with_hash_provider(rows: DataFrame, text: Column, dimension: int) -> DataFrame:
-    return with_hashed_vectors(rows, tokenize(text), dimension)
+def with_hash_provider(rows: DataFrame, text: Column, dimension: int, name: str = "values") -> DataFrame:
+    """Hashed embeddings of a text's tokens, compatibility forms folded first."""
+    return with_hashed_vectors(rows.withColumn("__folded", nfkc(text)), tokenize(F.col("__folded")), dimension, name).drop("__folded")
 
 
 #: A provider adds a column ``values`` of vectors to rows, from a text column; others may be registered.

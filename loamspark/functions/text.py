@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,10 +99,14 @@ def stem(token: Column) -> Column:
     return out
 
 
+def latin_words(text: Column, unicode: bool = False) -> Column:
+    """Latin tokens without their stems; none is empty."""
+    return F.regexp_extract_all(lowered(text, unicode), F.lit(LATIN_TOKEN), 0)
+
+
 def latin_tokens(text: Column, unicode: bool = False) -> Column:
-    """Every token followed by its stem; both count."""
-    found = F.regexp_extract_all(lowered(text, unicode), F.lit(LATIN_TOKEN), 0)
-    return F.filter(F.flatten(F.transform(found, lambda t: F.array(t, stem(t)))), lambda t: t != "")
+    """Every token followed by its stem; both count. A stem is never empty, as its suffix is the shorter part."""
+    return F.flatten(F.transform(latin_words(text, unicode), lambda t: F.array(t, stem(t))))
 
 
 def cjk_tokens(text: Column) -> Column:
@@ -138,6 +142,11 @@ def tokenize(text: Column, groups=TERM_GROUPS) -> Column:
     return F.when(text.isNotNull(), let(merged, lambda m: F.concat(latin_tokens(m), cjk_tokens(m))))
 
 
+def with_tokens(rows: DataFrame, text: Column, name: str = "tokens") -> DataFrame:
+    """rows with the tokens of a text, compatibility forms folded in a column of its own first."""
+    return rows.withColumn("__folded", nfkc(text)).withColumn(name, tokenize(F.col("__folded"))).drop("__folded")
+
+
 def metadata_text(c=F.col) -> Column:
     parts = [F.replace(c("doc_type"), F.lit("_"), F.lit(" ")), *[c(n) for n in ("content_domain", "chip_family", "version", "language", "symbol_name")]]
     return F.concat_ws(" ", *[F.nullif(p, F.lit("")) for p in parts])

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loamspark.functions.embed import with_hashed_vectors
-from loamspark.functions.text import dot, lowered, snippet, strip, tokenize, weighted_text
+from loamspark.functions.embed import with_hash_provider
+from loamspark.functions.text import dot, lowered, snippet, strip, weighted_text
 from loamspark.operators import ranking
 from loamspark.operators.intent import analyzed
 from loamspark.operators.ranking import CODE_TYPES
@@ -81,7 +84,7 @@ def expanded_content(scope: DataFrame, chunks: DataFrame) -> DataFrame:
 def candidates(questions: DataFrame, chunks: DataFrame, vectors: DataFrame | None, scope: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(question_id, chunk_id, bm25, vector, score): both legs over-fetched, normalised, fused and adjusted."""
     index = ranking.build_index(chunks)
-    asked = ranking.question_tokens(questions, tokenize(F.col("query")))
+    asked = ranking.question_tokens(questions.select("question_id", F.col("query").alias("question")))
     limit = F.greatest(8 * F.greatest(F.lit(settings.candidate_limit), F.lit(settings.top_k), F.col("plan.candidate_limit")), F.lit(30))
     limits = questions.select("question_id", limit.alias("limit"))
     pairs = scope.select("question_id", F.col("id").alias("chunk_id"))
@@ -94,12 +97,12 @@ def candidates(questions: DataFrame, chunks: DataFrame, vectors: DataFrame | Non
         semantic = lexical.limit(0)
     else:
         chosen = ranking.select_vectors(vectors, settings.provider, settings.model, settings.dimension, settings.collection_id)
-        embedded = with_hashed_vectors(questions.select("question_id", "query"), tokenize(F.col("query")), settings.dimension, "vector").drop("query")
+        embedded = with_hash_provider(questions.select("question_id", "query"), F.col("query"), settings.dimension, "vector").drop("query")
         reach = chosen.select("chunk_id", "values").join(pairs, "chunk_id").join(embedded, "question_id")
         semantic = cut(reach.select("question_id", "chunk_id", F.round(dot(F.col("values"), F.col("vector")), ranking.DIGITS).alias("score")).where("score > 0"))
     fused = ranking.fuse(lexical, semantic, settings.bm25_weight, settings.vector_weight)
     full = fused.join(chunks, fused["chunk_id"] == chunks["id"]).join(questions.select("question_id", "question", "intent"), "question_id")
-    full = full.withColumns({"__low": lowered(F.col("question")), "__text": lowered(weighted_text()), "__title": lowered(F.coalesce("document_title", F.lit("")))})
+    full = full.withColumns({"__low": lowered(F.col("question"), True), "__text": lowered(weighted_text(), True), "__title": lowered(F.coalesce("document_title", F.lit("")), True)})
     heuristic = ranking.adjustment(F.col("question"), F.col("intent"), F.col("__low"), F.col("__text"), F.col("__title"))
     total = F.round(F.col("score") + heuristic, ranking.DIGITS)
     return full.select("question_id", "chunk_id", "bm25", "vector", total.alias("score")).where("score > 0")
@@ -158,12 +161,17 @@ def prompt(citations: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def rerank(candidates_: DataFrame, k: int, reranker=None) -> DataFrame:
-    """The reranker's order cut to k; without one, or if it fails, the order of the input."""
+    """The reranker's order cut to k; without one, or if it fails at run time, the order of the input.
+
+    Its answer is computed here, as a failing service would not show in a plan; errors in
+    building the plan are the caller's and are raised.
+    """
     if reranker is not None:
+        answer = ranking.top_k(reranker(candidates_), k)
         try:
-            return ranking.top_k(reranker(candidates_), k)
-        except Exception:  # noqa: BLE001  a failing service must not lose the answer
-            pass
+            return materialized(answer)
+        except (PySparkException, Py4JJavaError) as e:
+            logging.getLogger(__name__).warning("reranker failed, order kept: %s", str(e)[:200])
     return ranking.top_k(candidates_, k)
 
 

@@ -113,9 +113,9 @@ def _plan(kind: Column, top_k: int) -> Column:
     )
 
 
-def query_intent(question: Column, unicode: bool = False) -> Column:
-    """Struct of flags and sets that ranking uses."""
-    low = lowered(question, unicode)
+def query_intent(question: Column, low: Column | None = None) -> Column:
+    """Struct of flags and sets that ranking uses; ``low`` is the question in lower case, as a column if it is folded."""
+    low = lowered(question) if low is None else low
     flags = F.struct(*[contains_any(low, terms).alias(name) for name, terms in INTENT_TERMS.items()])
 
     def types(asked: Column, table: dict[str, tuple[str, ...]]) -> Column:
@@ -150,13 +150,13 @@ def analyzed(questions: DataFrame, top_k: int) -> DataFrame:
     """Questions with plan, intent, hints and scope flags."""
     q = F.col("question")
     folded = lookup(q)
-    return questions.withColumns(
+    return questions.withColumn("__low", lowered(q, True)).withColumns(
         {
             "plan": task_plan(q, top_k),
-            "intent": query_intent(q),
+            "intent": query_intent(q, F.col("__low")),
             "hints": identifier_hints(q),
             "wants_catalog": contains_any(folded, SCOPE_CATALOG),
             "wants_bluetooth": contains_any(folded, SCOPE_BLUETOOTH),
             "wants_code": contains_any(folded, SCOPE_CODE),
         }
-    )
+    ).drop("__low")

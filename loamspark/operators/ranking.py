@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from loamspark.functions.text import contains_any, lowered, tokenize, weighted_text
+from loamspark.functions.text import LATIN_TOKEN, contains_any, latin_words, lowered, stem, weighted_text, with_tokens
+from loamspark.session import materialized
 
 K1, B = 1.5, 0.75
 #: Scores are rounded so that equal texts tie whatever the order in which parts are summed.
@@ -43,13 +44,33 @@ class InvertedIndex:
 
 
 def build_index(chunks: DataFrame, id_col: str = "id", tokens: Column | None = None) -> InvertedIndex:
-    """Term frequencies and lengths; repeated tokens count."""
-    tokens = tokenize(weighted_text()) if tokens is None else tokens
-    per = chunks.select(F.col(id_col).alias("chunk_id"), tokens.alias("tokens"))
+    """Term frequencies and lengths; repeated tokens count. Without ``tokens``, those of the weighted text, folded."""
+    if tokens is None:
+        texts = chunks.select(F.col(id_col).alias("chunk_id"), weighted_text().alias("text"))
+        per = with_tokens(texts, F.col("text")).select("chunk_id", "tokens")
+    else:
+        per = chunks.select(F.col(id_col).alias("chunk_id"), tokens.alias("tokens"))
     postings = per.select("chunk_id", F.explode("tokens").alias("token")).groupBy("token", "chunk_id").agg(F.count("*").alias("tf"))
     return InvertedIndex(postings, per.select("chunk_id", F.size("tokens").cast("long").alias("dl")))
 
 
+def build_latin_index(chunks: DataFrame, id_col: str, text: Column) -> InvertedIndex:
+    """``build_index`` of the Latin tokens of a text, stems made row by row in generated code.
+
+    Lengths count matches and hold no tokens, so a plan that needs both does the costly part once.
+    """
+    words = chunks.select(F.col(id_col).alias("chunk_id"), F.explode(latin_words(text)).alias("word"))
+    pairs = words.select("chunk_id", F.explode(F.array("word", stem(F.col("word")))).alias("token"))
+    lengths = chunks.select(F.col(id_col).alias("chunk_id"), (2 * F.regexp_count(lowered(text), F.lit(LATIN_TOKEN))).cast("long").alias("dl"))
+    return InvertedIndex(pairs.groupBy("token", "chunk_id").agg(F.count("*").alias("tf")), lengths)
+
+
+def narrowed(index: InvertedIndex, asked: DataFrame) -> InvertedIndex:
+    """The index with the postings of asked tokens only, both tables computed once and kept in the checkpoint folder."""
+    found = index.postings.join(asked.select("token").distinct(), "token", "left_semi")
+    return InvertedIndex(materialized(found), materialized(index.lengths))
+
+
 def document_frequency(index: InvertedIndex) -> DataFrame:
     return index.postings.groupBy("token").agg(F.count("*").alias("df"))
 
@@ -59,8 +80,9 @@ def corpus_statistics(index: InvertedIndex) -> DataFrame:
 
 
 def question_tokens(questions: DataFrame, tokens: Column | None = None) -> DataFrame:
-    """question_id, token, qtf: multiplicity counts."""
-    tokens = tokenize(F.col("question")) if tokens is None else tokens
+    """question_id, token, qtf: multiplicity counts. Without ``tokens``, those of the question, folded."""
+    if tokens is None:
+        questions, tokens = with_tokens(questions.select("question_id", "question"), F.col("question")), F.col("tokens")
     return questions.select("question_id", F.explode(tokens).alias("token")).groupBy("question_id", "token").agg(F.count("*").alias("qtf"))
 
 
@@ -203,7 +225,7 @@ CODE_TYPES = ("source_code", "build_config", "project_config", "project_doc")
 
 
 def adjustment(question: Column, intent: Column, low: Column, text: Column, title: Column, c=F.col, unicode: bool = False) -> Column:
-    """The heuristic part of a chunk's score for a question; additive rules.
+    """The heuristic part of a chunk's score for a question; additive rules, whose weights are fixed values.
 
     ``low``, ``text`` and ``title`` are the question, the weighted text and the title in
     lower case; they are named often, so they should be columns and not expressions.

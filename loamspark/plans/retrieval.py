@@ -23,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _index(spark, sf_dir) -> ranking.InvertedIndex:
-    return ranking.build_index(table(spark, sf_dir, "documents"), "doc_id", X.latin_tokens(F.coalesce("text", F.lit(""))))
+    return ranking.build_latin_index(table(spark, sf_dir, "documents"), "doc_id", F.coalesce("text", F.lit("")))
 
 
 def _items(spark, sf_dir) -> DataFrame:
@@ -64,7 +64,8 @@ CORPUS_STATS = f"WITH {S.INDEX} SELECT count(*) AS n, round(avg(dl), 6) AS avgdl
 
 
 def bm25_topk(spark, sf_dir):
-    best = ranking.top_k(ranking.bm25(_items(spark, sf_dir), _index(spark, sf_dir)), 5)
+    asked = _items(spark, sf_dir)
+    best = ranking.top_k(ranking.bm25(asked, ranking.narrowed(_index(spark, sf_dir), asked)), 5)
     return best.select(F.col("question_id").alias("item_id"), F.col("chunk_id").alias("doc_id"), "rank", F.round("score", 6).alias("score"))
 
 
@@ -94,7 +95,7 @@ FROM (SELECT question_id, {S.tokens('question', 'e')} AS t FROM (SELECT *, {S.ex
 def query_expand_bm25(spark, sf_dir):
     asked = ranking.question_tokens(frame(spark))
     docs = table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
-    index = ranking.build_index(docs, "doc_id", X.tokenize(F.col("text")))
+    index = ranking.narrowed(ranking.build_index(docs, "doc_id", X.tokenize(F.col("text"))), asked)
     return ranking.top_k(ranking.bm25(asked, index), 5).select("question_id", F.col("chunk_id").alias("doc_id"), "rank", F.round("score", 6).alias("score"))
 
 
@@ -116,7 +117,8 @@ def _scope_pairs(spark, sf_dir):
 
 def bm25_scoped(spark, sf_dir):
     """Statistics of each question's own chunks: here those of one language."""
-    scored = ranking.bm25(_items(spark, sf_dir), _index(spark, sf_dir), _scope_pairs(spark, sf_dir))
+    asked = _items(spark, sf_dir)
+    scored = ranking.bm25(asked, ranking.narrowed(_index(spark, sf_dir), asked), _scope_pairs(spark, sf_dir))
     return ranking.top_k(scored, 5).select(F.col("question_id").alias("item_id"), F.col("chunk_id").alias("doc_id"), "rank", F.round("score", 6).alias("score"))
 
 
@@ -183,7 +185,8 @@ WHERE label % 3 <> 0 AND vec_id % 5 <> 0 AND vec_id % 4 <> 1 AND len(embedding)
 
 
 def _legs(spark, sf_dir):
-    index, asked = _index(spark, sf_dir), _items(spark, sf_dir)
+    asked = _items(spark, sf_dir)
+    index = ranking.narrowed(_index(spark, sf_dir), asked)
     lexical = ranking.top_k(ranking.bm25(asked, index), 30).select("question_id", "chunk_id", "score")
     shared = index.postings.join(asked, "token").groupBy("question_id", "chunk_id").agg(F.count("*").cast("double").alias("score"))
     return lexical, ranking.top_k(shared, 30).select("question_id", "chunk_id", "score")
@@ -377,7 +380,8 @@ def retrieval_eval(spark, sf_dir):
         F.coalesce("expected_documents", F.array().cast("array<string>")).alias("expected_documents"),
         F.slice(F.split("text", " "), 1, 3).alias("expected_terms"),
     )
-    best = ranking.top_k(ranking.bm25(_items(spark, sf_dir), _index(spark, sf_dir)), 5)
+    asked = _items(spark, sf_dir)
+    best = ranking.top_k(ranking.bm25(asked, ranking.narrowed(_index(spark, sf_dir), asked)), 5)
     results = best.join(docs, best["chunk_id"] == docs["doc_id"]).select("question_id", "rank", F.col("source").alias("document_title"), F.col("text").alias("content"))
     total = evaluation.summary(evaluation.judged(results, expected))
     return total.select("questions", *[F.round(c, 6).alias(c) for c in ("hit_at_1", "hit_at_3", "hit_at_5", "mrr", "term_coverage_at_5")])

@@ -1,11 +1,15 @@
 """Column functions on hand-written cases."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from loamspark.functions import embed
 from loamspark.functions import metadata as M
 from loamspark.functions import quality as Q
 from loamspark.functions import text as X
+from loamspark.operators import ranking
+from loamspark.schemas import CHUNKS, conform
 
 
 def one(spark, column, **values):
@@ -120,3 +124,30 @@ def test_metadata(spark):
     assert one(spark, M.language(F.col("t")), t="手册") == "zh-CN" and one(spark, M.language(F.col("t")), t="/en/x") == "en"
     assert one(spark, M.chip_family(F.col("t")), t="ESP32C61 board") == "esp32c61" and one(spark, M.chip_family(F.col("t")), t="esp32-c3") == "esp32"
     assert one(spark, F.array_sort(M.lookup_variants(F.col("t"))), t="/in/20240101120000_My File.PDF") == ["/in/20240101120000_my file", "/in/20240101120000_my file.pdf", "20240101120000_my file", "20240101120000_my file.pdf", "my file", "my file.pdf"]
+
+
+def test_batches_of_embeddings_equal_single_ones():
+    rows = [["b", "a", "b", "c" * 40], [], None, ["é", "a"], ["a"] * 1000]
+    made = embed.embed_batch(pa.array(rows, type=pa.list_(pa.string())), 16)
+    assert made.shape == (5, 16)
+    for row, vector in zip(rows, made):
+        assert (vector == embed.embed_tokens(row or [], 16)).all()
+    assert embed.embed_batch(pa.array([], type=pa.list_(pa.string())), 16).shape == (0, 16)
+    assert embed.embed_batch(pa.array([["a"]]), 0).shape == (1, 0)
+
+
+def test_compatibility_forms_are_folded_before_tokens(spark):
+    asked = spark.createDataFrame([(1, "ＡＰＩ ﬁle"), (2, None), (3, "")], "question_id int, question string")
+    found = {r["token"] for r in ranking.question_tokens(asked).collect()}
+    assert {"api", "file"} <= found
+    chunks = conform(spark.createDataFrame([("c", "ＮｉｍＢＬＥ")], "id string, content string"), CHUNKS)
+    assert "nimble" in {r["token"] for r in ranking.build_index(chunks).postings.collect()}
+
+
+def test_latin_index_equals_index_of_tokens(spark):
+    docs = spark.createDataFrame([(1, "Running services, running it's"), (2, ""), (3, "es s ing")], "id int, t string")
+    one_by_one = ranking.build_index(docs, "id", X.latin_tokens(F.col("t")))
+    made = ranking.build_latin_index(docs, "id", F.col("t"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(made.postings) == rows(one_by_one.postings)
+    assert rows(made.lengths) == rows(one_by_one.lengths)
