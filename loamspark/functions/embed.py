@@ -8,6 +8,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,7 +50,7 @@ def embed_batch(tokens: pa.ListArray, dimension: int) -> np.ndarray:
     Entries are added in the order of first occurrence, so that rows are equal to the last bit.
     """
     rows, width = len(tokens), max(dimension, 0)
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(tokens), 0))
+    lengths = np.asarray(pc.fill_null(pc.list_value_length(tokens), 0))
     words = tokens.flatten().dictionary_encode()
     if not width or not len(words):
         return np.zeros((rows, width))

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -171,13 +172,13 @@ def _block_topk(vectors: DataFrame, queries: list[tuple], k: int, id_col: str, v
         out = to_arrow_type(question_type)
         for batch in batches:
             ids, column = batch.column(0), batch.column(1)
-            lengths = np.array(pa.compute.fill_null(pa.compute.list_value_length(column), -1))
+            lengths = np.array(pc.fill_null(pc.list_value_length(column), -1))
             for size, (names, matrix) in by_size.items():
                 at = np.flatnonzero(lengths == size)
                 if not len(at):
                     continue
                 picked = column.take(pa.array(at))
-                table = np.asarray(pa.compute.list_flatten(picked).to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(at), size)
+                table = np.asarray(pc.list_flatten(picked).to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(at), size)
                 scores = np.round(table @ matrix.T, DIGITS)
                 for j, name in enumerate(names):
                     own = scores[:, j]
