@@ -32,7 +32,8 @@ from loamspark.llm.common import map_texts
 LONG = 128
 _SHIFT = 2**20  # positions in a packed key of a batched tree
 _NONE = np.int64(2**62)
-CACHE = 400_000
+CACHE = 100_000  # pieces whose ids a worker keeps; workers live on, so what they keep counts in every later stage
+CHUNK_CHARS = 1_000_000
 PIECES = 400_000  # characters of a text, or matches of a longer one, that are held at once
 
 ENCODED = T.StructType(
@@ -275,7 +276,7 @@ def encode_documents(df: DataFrame, vocabulary: str, pattern: str, id_col: str =
         bpe = encoder(vocabulary, pattern)
         return lambda texts: {"ids": [np.frombuffer(x, dtype="<u4").astype(np.int32) for x in bpe.encode_all(texts)]}
 
-    return map_texts(df, make, IDS, id_col, text_col)
+    return map_texts(df, make, IDS, id_col, text_col, CHUNK_CHARS)
 
 
 def round_trip(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -294,4 +295,4 @@ def round_trip(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_
 
         return apply
 
-    return map_texts(df, make, ENCODED, id_col, text_col)
+    return map_texts(df, make, ENCODED, id_col, text_col, CHUNK_CHARS)

@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,13 +46,30 @@ def keyed_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+#: Characters that a Python worker holds as texts at a time, one text at least.
+CHUNK_CHARS = 4_000_000
+
+
+def text_runs(texts: pa.Array, chunk_chars: int = CHUNK_CHARS) -> Iterator[tuple[int, list[str | None]]]:
+    """The texts of a batch as lists of at most ``chunk_chars`` characters (one text at least), each with its first position."""
+    lengths = [0 if v is None else v for v in pc.utf8_length(texts).to_pylist()]
+    start = 0
+    while start < len(lengths):
+        stop, chars = start, 0
+        while stop < len(lengths) and (stop == start or chars + lengths[stop] <= chunk_chars):
+            chars += lengths[stop]
+            stop += 1
+        yield start, texts.slice(start, stop - start).to_pylist()
+        start = stop
+
+
 def map_texts(
     df: DataFrame,
     make: Callable[[], Callable[[list[str | None]], dict[str, list]]],
     schema: T.StructType,
     id_col: str = "doc_id",
     text_col: str = "text",
-    chunk_chars: int = 4_000_000,
+    chunk_chars: int = CHUNK_CHARS,
 ) -> DataFrame:
     """doc_id plus what ``make()(texts)`` returns, Arrow batch by Arrow batch.
 
@@ -70,18 +88,10 @@ def map_texts(
         types = [to_arrow_type(f.dataType) for f in schema.fields]
         names = ["doc_id", *[f.name for f in schema.fields]]
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            lengths = [0 if v is None else v for v in pa.compute.utf8_length(texts).to_pylist()]
-            start = 0
-            while start < len(lengths):
-                stop, chars = start, 0
-                while stop < len(lengths) and (stop == start or chars + lengths[stop] <= chunk_chars):
-                    chars += lengths[stop]
-                    stop += 1
-                got = apply(texts.slice(start, stop - start).to_pylist())
+            for start, texts in text_runs(batch.column(1), chunk_chars):
+                got = apply(texts)
                 arrays = [pa.array(got[f.name], type=t) for f, t in zip(schema.fields, types, strict=True)]
-                yield pa.RecordBatch.from_arrays([ids.slice(start, stop - start), *arrays], names=names)
-                start = stop
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), *arrays], names=names)
 
     return narrow.mapInArrow(run, out)
 
@@ -91,13 +101,14 @@ def filter_texts(
     make: Callable[[], Callable[[list[str | None]], list[bool]]],
     text_col: str = "text",
 ) -> DataFrame:
-    """Rows of ``df`` with all their columns for which the function says True."""
+    """Rows of ``df`` with all their columns for which the function says True; memory is bounded as in ``map_texts``."""
     position = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = make()
         for batch in batches:
-            yield batch.filter(pa.array(keep(batch.column(position).to_pylist()), type=pa.bool_()))
+            for start, texts in text_runs(batch.column(position)):
+                yield batch.slice(start, len(texts)).filter(pa.array(keep(texts), type=pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 

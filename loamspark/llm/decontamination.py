@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamspark.llm.common import checkpointed, filter_texts, keyed_text
+from loamspark.llm.common import checkpointed, filter_texts, keyed_text, text_runs
 
 #: Byte to byte: upper case folded, everything that is no word character made a blank.
 _FOLD = bytes(
@@ -155,7 +155,7 @@ def _scan(state: DataFrame, windows: dict[bytes, set[str]]) -> DataFrame:
         scanner = WindowScanner(windows)
         types = [pa.int64(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.list_(pa.int64())), pa.list_(pa.string())]
         for batch in batches:
-            rows = [scanner.scan(t) for t in batch.column(1).to_pylist()]
+            rows = [scanner.scan(t) for _, texts in text_runs(batch.column(1)) for t in texts]
             if earlier:
                 old = [c.to_pylist() for c in batch.columns[3:]]
                 rows = [
