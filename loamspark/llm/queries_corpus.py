@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamspark.llm import byte_bpe, decontamination, line_runs, repetition_rules, simhash_vptree
+from loamspark.llm import byte_bpe, decontamination, jaccard_join, line_runs, repetition_rules, simhash_vptree
 from loamspark.llm.common import read_table
 
 
@@ -141,11 +141,16 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM f
 """
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_classes(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op5_line_dedup": op5_line_dedup,
     "op6_decontamination": op6_decontamination,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
+    "op11_jaccard_join": op11_jaccard_join,
 }
 ORACLE_SQL = {"op5_line_dedup": OP5_SQL, "op6_decontamination": OP6_SQL, "op10_quality_rules": OP10_SQL}
