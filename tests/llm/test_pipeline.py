@@ -12,19 +12,63 @@ from loamspark.llm import byte_bpe, simhash_vptree
 from .test_corpus_ops import brute_components, brute_fingerprint, brute_hits, brute_lines, brute_rules
 
 
+def brute_line_stage(rows):
+    """(id, text) after line dedup; remnants go if another document of their class over whole texts stays."""
+    gone = brute_lines(rows)
+    cut = ["\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i, t]) if gone[i, t] else t for i, t in rows]
+    remnant = [bool(gone[i, t]) and len(c.split()) < 50 and 2 * len(c.split()) < len(t.split()) for (i, t), c in zip(rows, cut, strict=True)]
+    classes = {i: least for i, _, least in brute_components([(i, brute_fingerprint(t)) for i, t in rows])}
+    kept = {}
+    for (i, _), r in zip(rows, remnant, strict=True):
+        kept[classes[i]] = min(kept.get(classes[i], (True, i)), (r, i))
+    return [(i, c) for (i, _), c, r in zip(rows, cut, remnant, strict=True) if not r or kept[classes[i]] == (r, i)]
+
+
+def lines_of(name, n, width=12):
+    return [" ".join(f"{name}{k}w{j}" for j in range(width)) for k in range(n)]
+
+
+def test_line_stage_keeps_unique_remnants(spark):
+    licence = lines_of("licence", 1, 12)
+    a, b = "\n".join(licence + lines_of("a", 5)), "\n".join(licence + lines_of("b", 4, 11))
+    base = lines_of("base", 30)
+    near = "\n".join([*base[:29], base[29] + " changed"])
+    passage = lines_of("passage", 10)  # most of c and d, whose own words resemble nothing
+    c, d = "\n".join(passage + lines_of("c", 1)), "\n".join(passage + ["other words of d", *lines_of("d", 2, 9)])
+    only = "\n".join(passage[:5] + base[:5])
+    rows = [(1, a), (2, b), (3, "\n".join(base)), (4, near), (5, c), (6, d), (7, only), (8, "\n".join(base)), (9, "\n".join(base))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert {i: r["text"] for i, r in got.items()} == dict(brute_line_stage(rows))
+    assert got[2]["text"] == "\n".join(lines_of("b", 4, 11)) and got[2]["n_chars"] == len(got[2]["text"])
+    assert got[6]["text"].startswith("other words") and 4 not in got and 8 not in got and 9 not in got
+
+
+def test_every_class_keeps_one(spark):
+    """On given tables: no class of documents over whole texts is without a survivor of the stage."""
+    source = "/root/testdata/sf0.01"
+    docs = corpus_pipeline.quality_rules(spark, spark.read.parquet(f"{source}/documents.parquet"), source).cache()
+    left = {r[0] for r in corpus_pipeline.line_dedup(spark, docs, source).select("doc_id").collect()}
+    classes = simhash_vptree.near_duplicates(docs).collect()
+    members = {}
+    for r in classes:
+        members.setdefault(r["component_id"], set()).add(r["doc_id"])
+    alone = {i for m in members.values() if len(m) == 1 for i in m}
+    assert all(m & left for m in members.values()) and alone <= left and {56, 255, 464, 875} <= left
+    docs.unpersist()
+
+
 def test_pipeline_matches_brute_force(spark, tmp_path):
     source = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{source}/documents.parquet").orderBy("doc_id").collect()
-    rows = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in docs if r["n_chars"] < 6000]
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in docs if r["n_chars"] < 6000 or r["doc_id"] % 3 == 0]  # long ones too
     rows += [(10_001, rows[0][1], "en", "s", 1), (10_002, None, "en", "s", None), (10_003, rows[1][1] + " more", "en", "s", 1)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{source}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     items = [tuple(r) for r in spark.read.parquet(f"{source}/benchmark.parquet").collect()]
 
     left = [(i, t) for i, t, *_ in rows if brute_rules(t)[-1]]
-    gone = brute_lines(left)
-    cut = [(i, t if not gone[i, t] else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i, t])) for i, t in left]
-    left = [(i, t) for (i, t), (_, before) in zip(cut, left, strict=True) if len(t.split()) >= 50 or not gone[i, before]]
+    left = brute_line_stage(left)
     first = {i for i, _, least in brute_components([(i, brute_fingerprint(t)) for i, t in left]) if i == least}
     left = [(i, t) for i, t in left if i in first and not brute_hits(t, items)[-1]]
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
