@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
@@ -15,8 +16,9 @@ from loamspark.functions.embed import with_hash_provider
 from loamspark.functions.text import dot, lowered, snippet, strip, weighted_text
 from loamspark.operators import ranking
 from loamspark.operators.intent import analyzed
+from loamspark.operators.postings import BlockIndex, pruned_topk
 from loamspark.operators.ranking import CODE_TYPES
-from loamspark.operators.scoping import is_code_chunk, named_documents, scoped_chunks
+from loamspark.operators.scoping import Scope, Symbols, is_code_chunk, named_documents, question_scope
 from loamspark.session import materialized
 
 CITATION = (
@@ -67,39 +69,55 @@ def query_text(question: Column, recent: Column) -> Column:
     return F.array_join(F.filter(parts, lambda p: strip(p) != ""), "\n")
 
 
-def expanded_content(scope: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(question_id, id, expanded): code chunks with their neighbours of the same kind inside the question's scope."""
-    rows = scope.select("question_id", "id").join(chunks.select("id", "document_id", "chunk_index", "block_type", "doc_type", strip(F.col("content")).alias("content")), "id")
-    around = W.partitionBy("question_id", "document_id").orderBy("chunk_index")
-    out = rows
-    for name, step in (("before", -1), ("after", 1)):
-        move = F.lag if step < 0 else F.lead
-        next_to = move("chunk_index").over(around) == F.col("chunk_index") + step
-        out = out.withColumn(name, F.when(next_to & (move("block_type").over(around) == F.col("block_type")), move("content").over(around)))
+def expanded_content(results: DataFrame, chunks: DataFrame, within: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(question_id, id, expanded): results (question_id, id), code with its neighbours of the same kind that the question searches too.
+
+    Neighbours are looked up by document and index for the results alone.
+    """
+    kinds = chunks.select("id", "document_id", "chunk_index", "block_type", "doc_type", strip(F.col("content")).alias("content"))
+    rows = results.select("question_id", "id").join(kinds, "id")
     alone = ~F.coalesce(F.col("doc_type").isin(*CODE_TYPES), F.lit(False)) & ~F.coalesce(F.col("block_type") == "code", F.lit(False))
-    merged = F.concat_ws("\n\n", *[F.nullif(F.col(x), F.lit("")) for x in ("before", "content", "after")])
-    return out.select("question_id", "id", F.when(alone | (F.col("content") == ""), F.col("content")).otherwise(merged).alias("expanded"))
+    wanted = rows.where(~alone & (F.col("content") != "")).select("question_id", F.col("id").alias("of"), "document_id", "block_type", F.explode(F.array(F.lit(-1), F.lit(1))).alias("step"), "chunk_index")
+    beside = wanted.withColumn("chunk_index", (F.col("chunk_index") + F.col("step")).cast(chunks.schema["chunk_index"].dataType)).join(
+        kinds.select("document_id", "chunk_index", "block_type", F.col("id").alias("chunk_id"), F.col("content").alias("text")), ["document_id", "chunk_index", "block_type"]
+    )
+    side = lambda step: F.first(F.when(F.col("step") == step, F.nullif(F.col("text"), F.lit(""))), ignorenulls=True)
+    sides = within(beside.select("question_id", "chunk_id", "of", "step", "text")).groupBy("question_id", "of").agg(side(-1).alias("before"), side(1).alias("after")).withColumnRenamed("of", "id")
+    merged = F.concat_ws("\n\n", "before", F.nullif(F.col("content"), F.lit("")), "after")
+    return rows.join(sides, ["question_id", "id"], "left").select("question_id", "id", F.when(alone | (F.col("content") == ""), F.col("content")).otherwise(merged).alias("expanded"))
+
+
+def scoped_statistics(asked: DataFrame, index: BlockIndex, scope: Scope) -> DataFrame:
+    """``asked`` (question_id, token, qtf) with df, n and avgdl of the chunks that each question searches."""
+    sizes = scope.sums({"n": F.lit(1), "total": F.col("dl")}, index.lengths.withColumnRenamed("chunk_id", "id"))
+    tokens = asked.select("token").distinct()
+    posted = index.blocks.join(tokens, "token", "left_semi").select("token", F.explode("entries.chunk_id").alias("id"))
+    by_profile = posted.join(scope.chunks, "id").groupBy("token", "profile").agg(F.count("*").alias("df"))
+    whole = by_profile.join(scope.allowed, "profile").join(asked.select("question_id", "token"), ["question_id", "token"]).select("question_id", "token", "df")
+    single = posted.join(scope.listed, "id").join(asked.select("question_id", "token"), ["question_id", "token"]).groupBy("question_id", "token").agg(F.count("*").alias("df"))
+    df = whole.unionByName(single).groupBy("question_id", "token").agg(F.sum("df").alias("df"))
+    return asked.join(df, ["question_id", "token"]).join(sizes, "question_id").select("question_id", "token", "qtf", "df", "n", (F.col("total") / F.col("n")).alias("avgdl"))
 
 
-def candidates(questions: DataFrame, chunks: DataFrame, vectors: DataFrame | None, scope: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(question_id, chunk_id, bm25, vector, score): both legs over-fetched, normalised, fused and adjusted."""
-    index = ranking.build_index(chunks)
+def candidates(questions: DataFrame, chunks: DataFrame, vectors: DataFrame | None, scope: Scope, settings: Settings = Settings(), index: BlockIndex | None = None) -> DataFrame:
+    """(question_id, chunk_id, bm25, vector, score): both legs over-fetched, normalised, fused and adjusted.
+
+    Questions with a column ``vector`` bring their own; else they are embedded as the hash
+    provider does.
+    """
+    index = index or BlockIndex.of(ranking.build_index(chunks))
     asked = ranking.question_tokens(questions.select("question_id", F.col("query").alias("question")))
     limit = F.greatest(8 * F.greatest(F.lit(settings.candidate_limit), F.lit(settings.top_k), F.col("plan.candidate_limit")), F.lit(30))
     limits = questions.select("question_id", limit.alias("limit"))
-    pairs = scope.select("question_id", F.col("id").alias("chunk_id"))
-    scored = ranking.bm25(asked, index, pairs if settings.stats == "scoped" else None)
-    if settings.stats != "scoped":
-        scored = scored.join(pairs, ["question_id", "chunk_id"], "left_semi")
-    cut = lambda rows: ranking.top_k(rows.join(limits, "question_id"), F.col("limit")).select("question_id", "chunk_id", "score")
-    lexical = cut(scored)
+    counted = scoped_statistics(asked, index, scope) if settings.stats == "scoped" else index.statistics(asked)
+    lexical = pruned_topk(counted.join(limits, "question_id"), index, F.col("limit"), scope.within).select("question_id", "chunk_id", "score")
     if vectors is None:
         semantic = lexical.limit(0)
     else:
         chosen = ranking.select_vectors(vectors, settings.provider, settings.model, settings.dimension, settings.collection_id)
-        embedded = with_hash_provider(questions.select("question_id", "query"), F.col("query"), settings.dimension, "vector").drop("query")
-        reach = chosen.select("chunk_id", "values").join(pairs, "chunk_id").join(embedded, "question_id")
-        semantic = cut(reach.select("question_id", "chunk_id", F.round(dot(F.col("values"), F.col("vector")), ranking.DIGITS).alias("score")).where("score > 0"))
+        own = "vector" in questions.columns
+        embedded = questions.select("question_id", "vector") if own else with_hash_provider(questions.select("question_id", "query"), F.col("query"), settings.dimension, "vector").drop("query")
+        semantic = vector_leg(embedded, chosen, scope, limits)
     fused = ranking.fuse(lexical, semantic, settings.bm25_weight, settings.vector_weight)
     full = fused.join(chunks, fused["chunk_id"] == chunks["id"]).join(questions.select("question_id", "question", "intent"), "question_id")
     full = full.withColumns({"__low": lowered(F.col("question"), True), "__text": lowered(weighted_text(), True), "__title": lowered(F.coalesce("document_title", F.lit("")), True)})
@@ -108,37 +126,49 @@ def candidates(questions: DataFrame, chunks: DataFrame, vectors: DataFrame | Non
     return full.select("question_id", "chunk_id", "bm25", "vector", total.alias("score")).where("score > 0")
 
 
-def answerable(questions: DataFrame, documents: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, settings: Settings = Settings()) -> DataFrame:
-    """Citations of each question (question_id, question, optional recent user turns ``recent``): rank, columns of CITATION, snippet, content, score.
+def vector_leg(embedded: DataFrame, vectors: DataFrame, scope: Scope, limits: DataFrame) -> DataFrame:
+    """The best dot products above zero of each question among the chunks it searches.
+
+    Questions that search whole profiles are matched block-wise, each profile's vectors with
+    its own questions' matrix; those with a list of chunks by a join.
+    """
+    most = limits.agg(F.max("limit")).first()[0] or 1
+    placed = vectors.select("chunk_id", "values").join(scope.chunks.select(F.col("id").alias("chunk_id"), "profile"), "chunk_id")
+    whole = ranking.vector_topk(embedded.join(scope.allowed.select("question_id").distinct(), "question_id", "left_semi"), placed, most, allowed=scope.allowed)
+    reach = vectors.select("chunk_id", "values").join(scope.listed.withColumnRenamed("id", "chunk_id"), "chunk_id").join(embedded, "question_id")
+    single = reach.select("question_id", "chunk_id", F.round(dot(F.col("values"), F.col("vector")), ranking.DIGITS).alias("score")).where("score > 0")
+    return ranking.top_k(whole.unionByName(single).join(limits, "question_id"), F.col("limit")).select("question_id", "chunk_id", "score")
+
+
+def answerable(
+    questions: DataFrame, documents: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, settings: Settings = Settings(),
+    index: BlockIndex | None = None, symbols: Symbols | None = None,
+) -> DataFrame:
+    """Citations of each question (question_id, question, optional ``recent`` user turns and ``vector``): rank, columns of CITATION, snippet, content, score.
 
     Scope, both legs, fusion and heuristics, the cut to top_k, task rescoring of what is
     left, and neighbour expansion; questions that name a symbol of the scoped code get the
-    chunks of that symbol instead.
+    chunks of that symbol instead. ``index`` and ``symbols`` are made at ingestion, or here.
     """
     recent = F.col("recent") if "recent" in questions.columns else F.lit(None).cast("array<string>")
-    asked = analyzed(questions.select("question_id", "question", query_text(F.col("question"), recent).alias("query")), settings.top_k)
-    # Both are read many times below; without a cut every join would plan them anew.
-    asked = materialized(asked)
-    scope = materialized(scoped_chunks(asked, chunks, named_documents(asked, documents)))
-    keys = chunks.select(F.col("id").alias("chunk_id"), "document_title", "symbol_name", "chunk_index")
-
-    named = scope.where("exact_symbol").select("question_id", F.col("id").alias("chunk_id")).join(keys, "chunk_id")
-    order = W.partitionBy("question_id").orderBy("document_title", "symbol_name", "chunk_index", "chunk_id")
-    exact = named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= settings.top_k)
-    exact = exact.select("question_id", "chunk_id", "rank", (1.0 - F.col("rank") * 0.01).alias("score"))
+    own = [c for c in ("vector",) if c in questions.columns]
+    # Read many times below; without a cut every join would plan it anew.
+    asked = materialized(analyzed(questions.select("question_id", "question", query_text(F.col("question"), recent).alias("query"), *own), settings.top_k))
+    scope = question_scope(asked, chunks, named_documents(asked, documents), symbols)
+    exact = exact_symbols(scope, chunks, settings.top_k)
 
     answered = exact.select("question_id").distinct()
-    open_questions = asked.join(answered, "question_id", "left_anti")
-    found = materialized(candidates(open_questions, chunks, vectors, scope.join(answered, "question_id", "left_anti"), settings))
+    open_questions = materialized(asked.join(answered, "question_id", "left_anti"))
+    found = materialized(candidates(open_questions, chunks, vectors, scope.without(answered), settings, index))
     best = ranking.top_k(found, settings.top_k).select("question_id", "chunk_id", "rank", "score")
     full = best.join(chunks, best["chunk_id"] == chunks["id"]).join(asked.select("question_id", "plan"), "question_id")
     lifted = F.when(F.col("plan.task_type") == "qa_fact", F.col("score")).otherwise(F.col("score") + task_preference(F.col("plan")))
     again = W.partitionBy("question_id").orderBy(F.desc("lifted"), "rank")
-    ranked = full.select("question_id", "chunk_id", "rank", lifted.alias("lifted")).withColumn("new_rank", F.row_number().over(again))
+    ranked = full.select("question_id", "chunk_id", "rank", F.round(lifted, ranking.DIGITS).alias("lifted")).withColumn("new_rank", F.row_number().over(again))
     ranked = ranked.select("question_id", "chunk_id", F.col("new_rank").alias("rank"), F.col("lifted").alias("score"))
 
-    results = exact.unionByName(ranked)
-    expanded = expanded_content(scope.join(results.select("question_id").distinct(), "question_id", "left_semi"), chunks).withColumnRenamed("id", "chunk_id")
+    results = materialized(exact.unionByName(ranked))
+    expanded = expanded_content(results.withColumnRenamed("chunk_id", "id"), chunks, scope.within).withColumnRenamed("id", "chunk_id")
     return (
         results.join(expanded, ["question_id", "chunk_id"])
         .join(chunks.withColumnRenamed("id", "chunk_id"), "chunk_id")
@@ -146,6 +176,15 @@ def answerable(questions: DataFrame, documents: DataFrame, chunks: DataFrame, ve
     )
 
 
+def exact_symbols(scope: Scope, chunks: DataFrame, k: int) -> DataFrame:
+    """(question_id, chunk_id, rank, score): the chunks that define a symbol the question names, in order of title, symbol and place."""
+    keys = chunks.select(F.col("id").alias("chunk_id"), "document_title", "symbol_name", "chunk_index")
+    order = W.partitionBy("question_id").orderBy("document_title", "symbol_name", "chunk_index", "chunk_id")
+    named = scope.exact.withColumnRenamed("id", "chunk_id").join(keys, "chunk_id")
+    cut = named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return cut.select("question_id", "chunk_id", "rank", (1.0 - F.col("rank") * 0.01).alias("score"))
+
+
 def prompt(citations: DataFrame, questions: DataFrame) -> DataFrame:
     """(question_id, prompt): numbered context in order of rank, then the question."""
     blank = lambda c: F.nullif(F.col(c), F.lit(""))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loamspark.functions.metadata import document_metadata
 from loamspark.functions.quality import clean_section_path, is_bad_table, table_confidence
 from loamspark.functions.text import STRINGS, compact, empty_to_null, let, sentences, strip
+from loamspark.session import materialized
 from loamspark.schemas import CHUNKS, DOCUMENTS, conform
 
 #: Built-in profiles, then files' profiles in order of name; (id, formats, keywords, strategy).
@@ -220,7 +221,8 @@ def build_chunks(documents: DataFrame, blocks: DataFrame) -> tuple[DataFrame, Da
     ir = ir.join(chosen.withColumnRenamed("id", "document_id"), "document_id")
     code = attach_code_context(ir.where("chunk_strategy = 'source_code'"))
     rows = finalized(merge_short(code.unionByName(ir.where("chunk_strategy <> 'source_code'"))))
-    indexed = rows.withColumn("chunk_index", F.row_number().over(W.partitionBy("document_id").orderBy("seq")) - 1)
+    # Read for the counts, the documents and the chunks; without a cut the blocks would be made for each.
+    indexed = materialized(rows.withColumn("chunk_index", F.row_number().over(W.partitionBy("document_id").orderBy("seq")) - 1))
     counts = indexed.groupBy("document_id").agg(F.count("*").cast("int").alias("chunk_count"))
     known = documents.drop("chunk_count").join(counts.withColumnRenamed("document_id", "id"), "id")
     meta = document_metadata(*[F.col(c) for c in ("filename", "title", "source_path", "source_url", "source_format")], F.col("chunk_count"))

@@ -142,9 +142,12 @@ def select_vectors(
     return vectors
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "chunk_id", values: str = "values", block: int = 1024) -> DataFrame:
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "chunk_id", values: str = "values", block: int = 1024, allowed: DataFrame | None = None) -> DataFrame:
     """question_id, chunk_id, score > 0: the k largest dot products of each query (question_id, vector).
 
+    With ``allowed`` (question_id, profile), vectors have a column ``profile`` and meet the
+    queries that have theirs.
+
     Exact. Queries go out in blocks of a bounded number; each batch of vectors is one
     matrix product, and only its own k best of each query move on to the final cut.
     Vectors of another length score nothing, as do empty ones.
@@ -155,12 +158,18 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "c
     question_type = queries.schema["question_id"].dataType
     for start in range(0, max(total, 1), block):
         rows = asked.offset(start).limit(block).collect()
-        part = _block_topk(vectors, [(r[0], r[1]) for r in rows if r[1]], k, id_col, values, question_type)
+        asking = {r[0] for r in rows}
+        profiles: dict | None = None
+        if allowed is not None:  # a block's questions times few profiles
+            profiles = {}
+            for q, p in allowed.where(F.col("question_id").isin(*asking)).distinct().collect() if asking else ():
+                profiles.setdefault(p, set()).add(q)
+        part = _block_topk(vectors, [(r[0], r[1]) for r in rows if r[1]], k, id_col, values, question_type, profiles)
         found = part if found is None else found.unionByName(part)
     return top_k(found, k).drop("rank")
 
 
-def _block_topk(vectors: DataFrame, queries: list[tuple], k: int, id_col: str, values: str, question_type: T.DataType) -> DataFrame:
+def _block_topk(vectors: DataFrame, queries: list[tuple], k: int, id_col: str, values: str, question_type: T.DataType, profiles: dict | None = None) -> DataFrame:
     id_type = vectors.schema[id_col].dataType
     schema = T.StructType([T.StructField("question_id", question_type), T.StructField("chunk_id", id_type), T.StructField("score", T.DoubleType())])
     by_size: dict[int, tuple[list, np.ndarray]] = {}
@@ -180,9 +189,10 @@ def _block_topk(vectors: DataFrame, queries: list[tuple], k: int, id_col: str, v
                 picked = column.take(pa.array(at))
                 table = np.asarray(pc.list_flatten(picked).to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(at), size)
                 scores = np.round(table @ matrix.T, DIGITS)
+                groups = [profiles.get(p, ()) for p in batch.column(2).take(pa.array(at)).to_pylist()] if profiles is not None else None
                 for j, name in enumerate(names):
                     own = scores[:, j]
-                    kept = np.flatnonzero(own > 0)
+                    kept = np.flatnonzero(own > 0 if groups is None else (own > 0) & np.fromiter((name in g for g in groups), dtype=bool, count=len(groups)))
                     if len(kept) > k:  # all that tie with the k-th stay for the final cut
                         kept = kept[own[kept] >= np.partition(own[kept], len(kept) - k)[len(kept) - k]]
                     if len(kept):
@@ -190,7 +200,8 @@ def _block_topk(vectors: DataFrame, queries: list[tuple], k: int, id_col: str, v
                             [pa.array([name] * len(kept), type=out), ids.take(pa.array(at[kept])), pa.array(own[kept])], names=["question_id", "chunk_id", "score"]
                         )
 
-    return vectors.select(id_col, F.col(values).cast("array<double>")).mapInArrow(run, schema)
+    extra = ["profile"] if profiles is not None else []
+    return vectors.select(id_col, F.col(values).cast("array<double>"), *extra).mapInArrow(run, schema)
 
 
 def max_normalized(scored: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,10 @@ from loamspark.functions.metadata import lookup, lookup_variants
 from loamspark.functions.text import contains_any
 from loamspark.operators.intent import SCOPE_BLUETOOTH
 from loamspark.operators.ranking import CODE_TYPES
+from loamspark.session import materialized
 
+#: Words that a hint can lie inside, in folded text.
+HINT_WORD = "[a-z0-9_]{3,}"
 LOW_SIGNAL = ("catalog", "product_catalog")
 #: Text that marks a chunk as code.
 CODE_TEXT = ("app_main", "cmakelists", "kconfig", "sdkconfig", "idf_component_register", "#include", "void ", "static ", "def ", "class ")
@@ -71,44 +75,124 @@ def cascade(presence: Column, flags: int, used: list[Column]) -> Column:
     return kept
 
 
-def scoped_chunks(analyzed: DataFrame, chunks: DataFrame, named: DataFrame) -> DataFrame:
-    """(question_id, id, exact_symbol): the chunks that each analysed question searches.
+@dataclass(frozen=True)
+class Symbols:
+    """Dictionaries made at ingestion: words(word, id) of the heads of chunks, symbols(symbol, id) that chunks define."""
 
-    The question set is small and stated; chunks carry only flags and keys into the pairing,
-    and one pass of combined bits replaces a chain of existence tests.
+    words: DataFrame
+    symbols: DataFrame
+
+    @staticmethod
+    def of(chunks: DataFrame) -> Symbols:
+        words = chunks.select("id", F.explode(F.array_distinct(F.regexp_extract_all(_head(F.col, 1000, symbol=True), F.lit(HINT_WORD), 0))).alias("word"))
+        symbols = chunks.select(F.lower("symbol_name").alias("symbol"), "id").where("symbol != ''")
+        return Symbols(words, symbols)
+
+    def write(self, path: str, mode: str = "overwrite") -> None:
+        """Dealt and sorted by word, so that a scan prunes row groups."""
+        self.words.repartitionByRange("word").sortWithinPartitions("word").write.mode(mode).parquet(f"{path}/words")
+        self.symbols.repartitionByRange("symbol").sortWithinPartitions("symbol").write.mode(mode).parquet(f"{path}/symbols")
+
+    @staticmethod
+    def read(spark, path: str) -> Symbols:
+        return Symbols(spark.read.parquet(f"{path}/words"), spark.read.parquet(f"{path}/symbols"))
+
+    def holding(self, hints: DataFrame) -> DataFrame:
+        """(question_id, id): chunks whose head holds a hint (question_id, hint) anywhere, inside a longer word too.
+
+        A hint has word characters only, so it lies inside one word of the dictionary; the
+        words are reached by the hint's first three letters, never by all pairs.
+        """
+        grams = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3)))
+        asked = hints.select("hint").distinct().withColumn("gram", F.substring("hint", 1, 3))
+        opened = self.words.select("word").distinct().select("word", F.explode(F.array_distinct(grams(F.col("word")))).alias("gram"))
+        found = opened.join(asked, "gram").where(F.contains("word", F.col("hint"))).select("hint", "word")
+        return self.words.join(found, "word").join(hints, "hint").select("question_id", "id").distinct()
+
+
+@dataclass(frozen=True)
+class Scope:
+    """What each question searches, without a row for every question and chunk.
+
+    chunks(id, document_id, profile): a profile is what the filters tell chunks apart by
+    (low signal, bluetooth, code, block type), of which there are few. allowed(question_id,
+    profile) are whole profiles that a question searches; listed(question_id, id) are chunks
+    it searches one by one, found through a document's name or an identifier. A question has
+    rows in one of the two. exact(question_id, id): chunks that define a symbol it names.
     """
-    text = F.concat_ws("\n", F.coalesce("symbol_name", F.lit("")), F.coalesce("document_title", F.lit("")), F.coalesce(F.array_join("section_path", " > "), F.lit("")), F.substring(F.coalesce("content", F.lit("")), 1, 1000))
-    slim = chunks.select(
-        "id",
-        "document_id",
-        "doc_type",
-        "block_type",
-        F.lower(F.coalesce("symbol_name", F.lit(""))).alias("symbol"),
-        is_bluetooth_chunk().alias("b"),
-        is_code_chunk().alias("c"),
-        lookup(text).alias("hint_text"),
-    )
+
+    chunks: DataFrame
+    allowed: DataFrame
+    listed: DataFrame
+    exact: DataFrame
+
+    def within(self, rows: DataFrame, id_col: str = "chunk_id") -> DataFrame:
+        """The rows (question_id, ``id_col``, ...) whose chunk the question searches."""
+        profiles = self.chunks.select(F.col("id").alias(id_col), "profile")
+        open_ = rows.join(profiles, id_col).join(self.allowed, ["question_id", "profile"]).select(rows.columns)
+        return open_.unionByName(rows.join(self.listed.withColumnRenamed("id", id_col), ["question_id", id_col], "left_semi").select(rows.columns))
+
+    def without(self, questions: DataFrame) -> Scope:
+        """The scope of all questions but these."""
+        left = lambda rows: rows.join(questions.select("question_id"), "question_id", "left_anti")
+        return replace(self, allowed=left(self.allowed), listed=left(self.listed))
+
+    def sums(self, values: dict[str, Column], per_chunk: DataFrame | None = None) -> DataFrame:
+        """question_id and sums over the searched chunks, added up by profile before questions meet them."""
+        rows = self.chunks if per_chunk is None else self.chunks.join(per_chunk, "id")
+        each = [F.sum(v).alias(n) for n, v in values.items()]
+        again = [F.sum(n).alias(n) for n in values]
+        by_profile = rows.groupBy("profile").agg(*each).join(self.allowed, "profile").groupBy("question_id").agg(*again)
+        return by_profile.unionByName(rows.join(self.listed, "id").groupBy("question_id").agg(*each))
+
+    def pairs(self) -> DataFrame:
+        """(question_id, id) written out, for small tables and tests."""
+        return self.chunks.join(self.allowed, "profile").select("question_id", "id").unionByName(self.listed)
+
+
+def question_scope(analyzed: DataFrame, chunks: DataFrame, named: DataFrame, symbols: Symbols | None = None) -> Scope:
+    """The scope of analysed questions: named documents, else the catalogue, else filters that hold only if something passes them.
+
+    Presence of filter combinations comes from counts by profile and, for questions with
+    identifiers, counts of the chunks that hold them; the decision is one mask a question.
+    """
+    symbols = symbols or Symbols.of(chunks)
+    kind = F.coalesce("block_type", F.lit("-"))
+    marks = [F.coalesce(F.col("doc_type").isin(*LOW_SIGNAL), F.lit(False)), is_bluetooth_chunk(), is_code_chunk()]
+    profile = F.concat(*[F.when(m, "1").otherwise("0") for m in marks], kind)
+    slim = materialized(chunks.select("id", "document_id", profile.alias("profile")))
+    # A row for each combination of three flags and a block type.
+    known = [(r["profile"], r["n"]) for r in slim.groupBy("profile").agg(F.count("*").alias("n")).collect()]
+
     has_named = named.select("question_id").distinct().withColumn("names_some", F.lit(True))
     asked = analyzed.select("question_id", "plan", "hints", "wants_catalog", "wants_bluetooth", "wants_code").join(has_named, "question_id", "left").na.fill(False, ["names_some"])
-    by_name = slim.join(named, "document_id").select("question_id", "id", F.lit(False).alias("exact_symbol"))
-    everything = asked.where("not names_some and wants_catalog").select("question_id").join(slim.select("id")).select("question_id", "id", F.lit(False).alias("exact_symbol"))
-
-    narrowed = asked.where("not names_some and not wants_catalog")
-    base = slim.where(~F.coalesce(F.col("doc_type").isin(*LOW_SIGNAL), F.lit(False)))
-    hinted = F.exists("hints", lambda h: F.contains(F.col("hint_text"), h))
-    listed = F.array_contains(F.col("plan.preferred_block_types"), F.col("block_type"))
-    flags = [F.col("b"), F.coalesce(listed, F.lit(False)), F.col("c"), F.coalesce(hinted, F.lit(False))]
-    combo = sum((F.when(f, 1 << k).otherwise(0) for k, f in enumerate(flags)), F.lit(0))
-    exact = F.array_contains("hints", F.col("symbol")) & (F.col("symbol") != "")
-    paired = narrowed.join(base).select("question_id", "plan", "hints", "wants_bluetooth", "wants_code", "id", combo.alias("combo"), exact.alias("named_symbol"))
-    presence = paired.groupBy("question_id").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("combo"))).alias("presence"))
+    cells = [F.struct(F.lit(p).alias("profile"), F.lit(n).alias("n")) for p, n in known] or [F.struct(F.lit("").alias("profile"), F.lit(0).alias("n"))]
+    dealt = asked.where("not names_some").withColumn("cell", F.explode(F.array(*cells))).select("*", "cell.*").drop("cell").where("n > 0")
+    low = F.substring("profile", 1, 1) == "1"
+    narrowed = dealt.where(~F.col("wants_catalog") & ~low)
+
     code = F.col("plan.prefer_code") | F.col("wants_code")
     some_hints = F.size("hints") > 0
-    kept = cascade(
-        F.col("presence"),
-        4,
-        [F.col("wants_bluetooth") & ~some_hints & (F.col("plan.task_type") != "book_index"), F.size("plan.preferred_block_types") > 0, code, code & some_hints],
-    )
-    stay = paired.join(presence, "question_id").where(F.call_function("shiftright", kept.cast("long"), F.col("combo")).bitwiseAND(F.lit(1).cast("long")) == 1)
-    scoped = stay.select("question_id", "id", (F.col("named_symbol") & code & some_hints).alias("exact_symbol"))
-    return by_name.unionByName(everything).unionByName(scoped)
+    hints = asked.where(~F.col("names_some") & ~F.col("wants_catalog") & code).select("question_id", F.explode("hints").alias("hint"))
+    held = materialized(symbols.holding(hints).join(slim.where(~low), "id").select("question_id", "id", "profile"))
+    counted = narrowed.join(held.groupBy("question_id", "profile").agg(F.count("*").alias("n_held")), ["question_id", "profile"], "left").na.fill(0, ["n_held"])
+
+    block_type = F.substring(F.col("profile"), 4, 100)
+    listed_type = F.array_contains(F.col("plan.preferred_block_types"), block_type)
+    flags = [F.substring("profile", 2, 1) == "1", F.coalesce(listed_type, F.lit(False)), F.substring("profile", 3, 1) == "1"]
+    plain = sum((F.when(f, 1 << k).otherwise(0) for k, f in enumerate(flags)), F.lit(0))
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at)
+    here = F.when(F.col("n_held") < F.col("n"), bit(plain)).otherwise(F.lit(0)).bitwiseOR(F.when(F.col("n_held") > 0, bit(plain + 8)).otherwise(F.lit(0)))
+    marked = counted.select("*", plain.alias("plain"), here.alias("here"))
+    presence = marked.groupBy("question_id").agg(F.bit_or("here").alias("presence"))
+    used = [F.col("wants_bluetooth") & ~some_hints & (F.col("plan.task_type") != "book_index"), F.size("plan.preferred_block_types") > 0, code, code & some_hints]
+    kept = marked.join(presence, "question_id").withColumn("kept", cascade(F.col("presence"), 4, used))
+    has = lambda at: F.call_function("shiftright", F.col("kept").cast("long"), at).bitwiseAND(F.lit(1).cast("long")) == 1
+    decided = materialized(kept.select("question_id", "profile", has(F.col("plain")).alias("whole"), has(F.col("plain") + 8).alias("held")))
+
+    allowed = decided.where("whole").select("question_id", "profile").unionByName(dealt.where("wants_catalog").select("question_id", "profile"))
+    hinted = held.join(decided.where("held and not whole"), ["question_id", "profile"]).select("question_id", "id")
+    listed = hinted.unionByName(slim.join(named, "document_id").select("question_id", "id"))
+    scope = Scope(slim, materialized(allowed), materialized(listed), listed.limit(0))
+    defining = hints.join(symbols.symbols, F.col("hint") == F.col("symbol")).select("question_id", "id").distinct()
+    return replace(scope, exact=materialized(scope.within(defining, "id")))

@@ -141,6 +141,57 @@ def chunk_pack(spark, sf_dir):
     return chunking.packed_chunks(texts).select("document_id", "chunk_index", F.length("content").alias("n_chars"), F.sha2("content", 256).alias("content_sha256"))
 
 
+_BLANK = r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def _stripped(text: str) -> str:
+    return f"regexp_replace({text}, '^{_BLANK}+|{_BLANK}+$', '', 'g')"
+
+
+#: Units are packed one by one, so the packer is a recursion over their numbers.
+CHUNK_PACK = rf"""
+WITH RECURSIVE c AS (
+  SELECT doc_id, {_stripped("regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g')")} AS t FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, list_filter(list_transform(string_split_regex(t, '\n{_BLANK}*\n'), lambda x: {_stripped('x')}), lambda x: x <> '') AS ps FROM c),
+f AS (
+  SELECT doc_id, flatten(list_transform(ps, lambda x: CASE WHEN length(x) <= 700 THEN [x] ELSE
+         list_filter(list_transform(string_split(regexp_replace(x, '([。！？；.!?;]){_BLANK}*', '\1' || chr(1), 'g'), chr(1)), lambda y: {_stripped('y')}), lambda y: y <> '') END)) AS us FROM p),
+u AS (SELECT doc_id, unnest(us) AS unit, generate_subscripts(us, 1) AS i FROM f),
+st AS (
+  SELECT doc_id, i, unit AS cur, CAST(NULL AS VARCHAR) AS done FROM u WHERE i = 1
+  UNION ALL
+  SELECT st.doc_id, u.i, CASE WHEN length(cur) + 2 + length(unit) <= 700 THEN cur || chr(10) || chr(10) || unit ELSE {_stripped('right(cur, 120) || chr(10) || unit')} END,
+         CASE WHEN length(cur) + 2 + length(unit) <= 700 THEN NULL ELSE cur END
+  FROM st JOIN u ON u.doc_id = st.doc_id AND u.i = st.i + 1),
+o AS (
+  SELECT doc_id, i, {_stripped('done')} AS content FROM st WHERE done IS NOT NULL
+  UNION ALL SELECT doc_id, i + 1, {_stripped('cur')} FROM (SELECT *, max(i) OVER (PARTITION BY doc_id) AS top FROM st) WHERE i = top)
+SELECT doc_id AS document_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS chunk_index, length(content) AS n_chars, sha256(content) AS content_sha256 FROM o WHERE content <> ''"""
+
+#: Each decision changes the next, so merging is a recursion over the rows: the last row kept, and a text carried into the next one.
+MERGE_SHORT = rf"""
+WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seq FROM documents),
+k AS (
+  SELECT doc_id, seq, line, seq % 3 <> 1 AS txt, seq // 4 AS sec, lead(line) OVER d AS n_line, lead(seq % 3 <> 1) OVER d AS n_txt, lead(seq // 4) OVER d AS n_sec
+  FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY seq)),
+st AS (
+  SELECT doc_id, CAST(-1 AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS p_seq, CAST(NULL AS VARCHAR) AS p_text, CAST(NULL AS BIGINT) AS p_sec, false AS p_txt,
+         CAST(NULL AS VARCHAR) AS carried, CAST(NULL AS BIGINT) AS o_seq, CAST(NULL AS VARCHAR) AS o_text FROM k WHERE seq = 0
+  UNION ALL
+  SELECT doc_id, seq, CASE WHEN act = 'keep' THEN seq ELSE p_seq END, CASE act WHEN 'keep' THEN c WHEN 'back' THEN {_stripped("p_text || chr(10) || chr(10) || c")} ELSE p_text END,
+         CASE WHEN act = 'keep' THEN sec ELSE p_sec END, CASE WHEN act = 'keep' THEN txt ELSE p_txt END, CASE WHEN act = 'on' THEN c END,
+         CASE WHEN act = 'keep' THEN p_seq END, CASE WHEN act = 'keep' THEN p_text END
+  FROM (
+    SELECT *, CASE WHEN NOT txt OR length(c) >= 50 THEN 'keep' WHEN p_txt AND p_sec = sec AND length(p_text) + length(c) <= 1800 THEN 'back'
+                   WHEN coalesce(n_txt, false) AND n_sec = sec AND length(c) + length(n_line) <= 1800 THEN 'on' ELSE 'keep' END AS act
+    FROM (SELECT k.*, p_seq, p_text, p_sec, p_txt, CASE WHEN carried IS NULL THEN line ELSE {_stripped("carried || chr(10) || chr(10) || line")} END AS c
+          FROM st JOIN k ON k.doc_id = st.doc_id AND k.seq = st.seq + 1))),
+o AS (
+  SELECT doc_id, o_seq AS seq, o_text AS content FROM st WHERE o_seq IS NOT NULL
+  UNION ALL SELECT doc_id, p_seq, p_text FROM (SELECT *, max(seq) OVER (PARTITION BY doc_id) AS top FROM st) WHERE seq = top AND p_seq IS NOT NULL)
+SELECT doc_id, CAST(seq AS INT) AS seq, sha256(content) AS content_sha256 FROM o"""
+
+
 def chunk_fingerprints(spark, sf_dir):
     columns = {"content": F.col("text"), "section_path": F.array("lang", "source"), "page_label": F.lit(None).cast("string"), "location_label": F.col("source")}
     return table(spark, sf_dir, "documents").select("doc_id", X.chunk_fingerprint(columns.__getitem__).alias("chunk_hash"))
@@ -201,7 +252,8 @@ def neighbor_expand(spark, sf_dir):
 
     rows = _line_rows(spark, sf_dir).select(F.concat_ws(":", "document_id", "seq").alias("id"), F.col("document_id").cast("string").alias("document_id"), F.col("seq").alias("chunk_index"), F.lit("code").alias("block_type"), F.lit("guide").alias("doc_type"), "content")
     scope = rows.where(F.col("chunk_index") % 5 != 0).select(F.lit(1).alias("question_id"), "id")
-    return expanded_content(scope, rows).select("id", F.sha2("expanded", 256).alias("expanded_sha256"))
+    within = lambda found: found.join(scope.withColumnRenamed("id", "chunk_id"), ["question_id", "chunk_id"], "left_semi")
+    return expanded_content(scope, rows, within).select("id", F.sha2("expanded", 256).alias("expanded_sha256"))
 
 
 NEIGHBORS = r"""
@@ -413,6 +465,8 @@ ORACLE_SQL = {
     "delete_document": DELETE,
     "dedupe_ingest": DEDUPE,
     "sentence_split": SENTENCES,
+    "chunk_pack": CHUNK_PACK,
+    "merge_short": MERGE_SHORT,
     "chunk_fingerprints": FINGERPRINTS,
     "context_attach": CONTEXT_ATTACH,
     "page_regions": PAGE_REGIONS,

@@ -12,6 +12,7 @@ from loamspark.functions.embed import vector_records, with_hashed_vectors
 from loamspark.operators import answering, evaluation, ranking, scoping
 from loamspark.operators.chunking import build_chunks
 from loamspark.operators.intent import INTENT_TERMS, ROUTE_IGNORED, TASK_TERMS, identifier_hints, query_intent, task_plan, task_type
+from loamspark.operators.postings import BlockIndex, pruned_topk
 from loamspark.plans import sql as S
 from loamspark.plans.questions import frame
 from loamspark.session import materialized
@@ -63,9 +64,16 @@ def corpus_stats(spark, sf_dir):
 CORPUS_STATS = f"WITH {S.INDEX} SELECT count(*) AS n, round(avg(dl), 6) AS avgdl FROM lengths"
 
 
+def _block_index(spark, sf_dir, asked: DataFrame) -> BlockIndex:
+    """Blocks of the asked tokens."""
+    index = _index(spark, sf_dir)
+    return BlockIndex.of(ranking.InvertedIndex(index.postings.join(asked.select("token").distinct(), "token", "left_semi"), index.lengths))
+
+
 def bm25_topk(spark, sf_dir):
     asked = _items(spark, sf_dir)
-    best = ranking.top_k(ranking.bm25(asked, ranking.narrowed(_index(spark, sf_dir), asked)), 5)
+    index = _block_index(spark, sf_dir, asked)
+    best = pruned_topk(index.statistics(asked), index, 5)
     return best.select(F.col("question_id").alias("item_id"), F.col("chunk_id").alias("doc_id"), "rank", F.round("score", 6).alias("score"))
 
 
@@ -109,17 +117,21 @@ r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC,
 SELECT question_id, chunk_id AS doc_id, CAST(rank AS INT) AS rank, round(score, 6) AS score FROM r WHERE rank <= 5"""
 
 
-def _scope_pairs(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "lang")
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.element_at(F.array(*map(F.lit, ("en", "de", "fr", "es"))), (F.col("item_id") % 4 + 1).cast("int")).alias("lang"))
-    return items.join(docs, "lang").select("question_id", "chunk_id")
+def _language_scope(spark, sf_dir) -> scoping.Scope:
+    """Each item searches the documents of one language."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("document_id"), F.col("lang").alias("profile"))
+    language = F.element_at(F.array(*map(F.lit, ("en", "de", "fr", "es"))), (F.col("item_id") % 4 + 1).cast("int"))
+    allowed = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), language.alias("profile"))
+    none = spark.createDataFrame([], "question_id long, id long")
+    return scoping.Scope(docs, allowed, none, none)
 
 
 def bm25_scoped(spark, sf_dir):
     """Statistics of each question's own chunks: here those of one language."""
-    asked = _items(spark, sf_dir)
-    scored = ranking.bm25(asked, ranking.narrowed(_index(spark, sf_dir), asked), _scope_pairs(spark, sf_dir))
-    return ranking.top_k(scored, 5).select(F.col("question_id").alias("item_id"), F.col("chunk_id").alias("doc_id"), "rank", F.round("score", 6).alias("score"))
+    asked, scope = _items(spark, sf_dir), _language_scope(spark, sf_dir)
+    index = _block_index(spark, sf_dir, asked)
+    best = pruned_topk(answering.scoped_statistics(asked, index, scope), index, 5, scope.within)
+    return best.select(F.col("question_id").alias("item_id"), F.col("chunk_id").alias("doc_id"), "rank", F.round("score", 6).alias("score"))
 
 
 BM25_SCOPED = f"""

@@ -39,7 +39,7 @@ def _lit(value) -> str:
     return "NULL" if value is None else S.text(value)
 
 
-def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as chunks of all kinds."""
     n = F.col("doc_id")
     turn = lambda values: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
@@ -80,12 +80,13 @@ d AS (
 def heuristic_adjust(spark, sf_dir):
     """The additive rules for every inline question and every row."""
     asked = frame(spark).withColumn("intent", query_intent(F.col("question"))).withColumn("__low", X.lowered(F.col("question")))
-    rows = _rows(spark, sf_dir).withColumns({"__text": X.lowered(F.col("content")), "__title": X.lowered(F.coalesce("document_title", F.lit("")))})
+    made = rows(spark, sf_dir).withColumns({"__text": X.lowered(F.col("content")), "__title": X.lowered(F.coalesce("document_title", F.lit("")))})
     value = ranking.adjustment(F.col("question"), F.col("intent"), F.col("__low"), F.col("__text"), F.col("__title"))
-    return rows.join(F.broadcast(asked)).select("question_id", "doc_id", F.round(value, 6).alias("adjustment"))
+    return made.join(F.broadcast(asked)).select("question_id", "doc_id", F.round(value, 6).alias("adjustment"))
 
 
-def _adjust_sql() -> str:
+def adjust_sql(asked: str, chunks: str) -> str:
+    """SELECT of question_id, doc_id and the heuristics, from questions and from chunks with their ``weighted`` text."""
     flag = {name: S.any_of("low", terms) for name, terms in INTENT_TERMS.items()}
     words = r"list_distinct(regexp_extract_all(question, '\b[a-zA-Z_][a-zA-Z0-9_]{2,}\b'))"
     hints = f"list_filter({words}, lambda w: contains(w, '_') OR regexp_matches(substr(w, 2), '[A-Z]') OR NOT lower(w) IN ({', '.join(map(S.text, INTENT_IGNORED))}))"
@@ -138,33 +139,41 @@ def _adjust_sql() -> str:
         "retrieval_priority * 0.03",
     ]
     flags = ", ".join(f"{flag[n]} AS f_{n}" for n in ("code", "build", "bluetooth", "locations", "exchange", "catalog"))
-    return f"""
-WITH {ROWS}, q0 AS (SELECT question_id, question, {S.low('question')} AS low FROM {S.ASKED}),
-q AS (SELECT *, {flags}, {flag['pdf']} OR {flag['figures']} AS f_pdf, {hints} AS hints, {kinds(PREFERRED)} AS preferred, {kinds(DISCOURAGED)} AS discouraged, {chips} AS chips FROM q0),
-p AS (SELECT *, {S.low('content')} AS body, {S.low("coalesce(document_title, '')")} AS title FROM d)
-SELECT question_id, doc_id, round(CAST({' + '.join(rules)} AS DOUBLE), 6) AS adjustment FROM q, p"""
+    questions = f"SELECT question_id, question, {S.low('question')} AS low FROM {asked}"
+    intents = f"SELECT *, {flags}, {flag['pdf']} OR {flag['figures']} AS f_pdf, {hints} AS hints, {kinds(PREFERRED)} AS preferred, {kinds(DISCOURAGED)} AS discouraged, {chips} AS chips FROM ({questions})"
+    texts = f"""SELECT *, {S.low('weighted')} AS body, {S.low("coalesce(document_title, '')")} AS title FROM {chunks}"""
+    return f"SELECT question_id, doc_id, CAST({' + '.join(rules)} AS DOUBLE) AS adjustment FROM ({intents}), ({texts})"
+
+
+def _adjust_query() -> str:
+    inner = adjust_sql(f"(SELECT question_id, question FROM {S.ASKED})", "(SELECT *, content AS weighted FROM d)")
+    return f"WITH {ROWS} SELECT question_id, doc_id, round(adjustment, 6) AS adjustment FROM ({inner})"
 
 
 def task_rescore(spark, sf_dir):
     """What the task of every inline question adds to the score of every row."""
     asked = frame(spark).select("question_id", task_plan(F.col("question"), 5).alias("plan"))
-    return _rows(spark, sf_dir).join(F.broadcast(asked)).select("question_id", "doc_id", F.round(answering.task_preference(F.col("plan")), 6).alias("preference"))
+    return rows(spark, sf_dir).join(F.broadcast(asked)).select("question_id", "doc_id", F.round(answering.task_preference(F.col("plan")), 6).alias("preference"))
 
 
-def _rescore_sql() -> str:
+def preference_sql(asked: str) -> str:
+    """SELECT of question_id, doc_id and the task's preference, from questions with their task and the rows d."""
     head = "concat_ws(' ', document_title, array_to_string(section_path, ' > '), substr(content, 1, 800))"
     head = f"regexp_replace(replace(lower({head}), '\\', '/'), '{SPACE}+', ' ', 'g')"
     coded = f"(coalesce(doc_type IN ({', '.join(map(S.text, ranking.CODE_TYPES))}), false) OR coalesce(block_type = 'code', false) OR coalesce(symbol_name, '') <> '' OR line_start IS NOT NULL OR {S.any_of('head', CODE_TEXT)})"
     return f"""
-{TASK_ROUTE[: TASK_ROUTE.index('SELECT question_id, task_type, CASE')].rstrip()},
-{ROWS}, h AS (SELECT *, coalesce(len(section_path), 0) AS depth, {head} AS head FROM d)
-SELECT question_id, doc_id, round(CAST(
+SELECT question_id, doc_id, CAST(
          CASE WHEN task_type <> 'table_lookup' THEN 0 WHEN block_type = 'table' THEN 0.35 WHEN table_parse_confidence = 'low' THEN -0.05 ELSE 0 END
        + CASE WHEN task_type <> 'book_index' THEN 0 WHEN block_type = 'toc' THEN 0.40 WHEN depth BETWEEN 1 AND 2 THEN 0.08 ELSE 0 END
        + CASE WHEN task_type = 'code_symbol_lookup' AND {coded} THEN 0.25 ELSE 0 END
        + CASE WHEN task_type IN ('book_index', 'table_lookup') AND page_number IS NOT NULL THEN 0.08 ELSE 0 END
        + CASE WHEN task_type IN ('book_index', 'table_lookup', 'code_symbol_lookup') AND (coalesce(location_label, '') <> '' OR depth > 0 OR coalesce(source_uri, '') <> '') THEN 0.06 ELSE 0 END
-       AS DOUBLE), 6) AS preference FROM q, h"""
+       AS DOUBLE) AS preference FROM {asked}, (SELECT *, coalesce(len(section_path), 0) AS depth, {head} AS head FROM d)"""
+
+
+def _rescore_query() -> str:
+    routed = TASK_ROUTE[: TASK_ROUTE.index("SELECT question_id, task_type, CASE")].rstrip()
+    return f"{routed}, {ROWS} SELECT question_id, doc_id, round(preference, 6) AS preference FROM ({preference_sql('q')})"
 
 
 # --- text forms -----------------------------------------------------------------------------------
@@ -172,17 +181,19 @@ SELECT question_id, doc_id, round(CAST(
 
 def chunk_texts(spark, sf_dir):
     """Metadata text, weighted text and its hash, and the input of a remote embedding."""
-    rows = _rows(spark, sf_dir)
-    return rows.select("doc_id", X.metadata_text().alias("metadata"), X.text_hash(X.weighted_text()).alias("weighted_sha256"), F.sha2(X.remote_input(F.col("content")), 256).alias("remote_sha256"))
+    made = rows(spark, sf_dir)
+    return made.select("doc_id", X.metadata_text().alias("metadata"), X.text_hash(X.weighted_text()).alias("weighted_sha256"), F.sha2(X.remote_input(F.col("content")), 256).alias("remote_sha256"))
 
 
+METADATA = "concat_ws(' ', replace(doc_type, '_', ' '), content_domain, nullif(chip_family, ''), version, 'en', nullif(symbol_name, ''))"
+WEIGHTED = f"""concat_ws(chr(10), coalesce(document_title, ''), coalesce(document_title, ''), {METADATA}, coalesce(array_to_string(section_path, ' > '), ''),
+              concat_ws(' ', page_label, nullif(location_label, ''), source_uri), coalesce(context_after, ''), content)"""
 CHUNK_TEXTS = rf"""
 WITH {ROWS},
-m AS (SELECT *, concat_ws(' ', replace(doc_type, '_', ' '), content_domain, nullif(chip_family, ''), version, 'en', nullif(symbol_name, '')) AS metadata,
+m AS (SELECT *, {METADATA} AS metadata,
              regexp_replace(regexp_replace(content, '{SPACE}+', ' ', 'g'), '^ | $', '', 'g') AS flat FROM d)
 SELECT doc_id, metadata,
-       sha256(concat_ws(chr(10), coalesce(document_title, ''), coalesce(document_title, ''), metadata, coalesce(array_to_string(section_path, ' > '), ''),
-              concat_ws(' ', page_label, nullif(location_label, ''), source_uri), coalesce(context_after, ''), content)) AS weighted_sha256,
+       sha256({WEIGHTED}) AS weighted_sha256,
        sha256(CASE WHEN length(flat) > 7500 THEN substr(flat, 1, 5625) || ' ... ' || right(flat, 1855) WHEN flat = '' THEN ' ' ELSE flat END) AS remote_sha256
 FROM m"""
 
@@ -306,8 +317,8 @@ SELECT doc_id, bad, CASE WHEN bad OR len(ls) < 2 OR len(widths) > 2 OR packed TH
 
 QUERIES = {f.__name__: f for f in (heuristic_adjust, task_rescore, chunk_texts, text_forms, section_titles, table_confidence)}
 ORACLE_SQL = {
-    "heuristic_adjust": _adjust_sql(),
-    "task_rescore": _rescore_sql(),
+    "heuristic_adjust": _adjust_query(),
+    "task_rescore": _rescore_query(),
     "chunk_texts": CHUNK_TEXTS,
     "text_forms": _text_forms_sql(),
     "readability_scores": READABILITY,

@@ -11,9 +11,9 @@ from loamspark.functions.embed import embed_tokens, vector_records
 from loamspark.operators import answering, chunking, evaluation, pdf, ranking, scoping, sessions
 from loamspark.operators.blocks import Block, blocks_of_lines, blocks_of_paragraphs
 from loamspark.operators.intent import analyzed
-from loamspark.schemas import CHUNKS, conform
+from loamspark.schemas import CHUNKS, VECTORS, conform
 from loamspark.sources import files, html
-from loamspark.sources.store import Store, upserted
+from loamspark.sources.store import Conflict, Store, collection_key, upserted
 from loamspark.streaming import ingest
 
 MARKDOWN = "# Top\nintro\n### Deep\na\n### Deeper\n```c\nint x;\n```\nafter\n# bad|title\nend"
@@ -137,7 +137,7 @@ def test_scope_and_answers(spark):
     documents = spark.createDataFrame([("a", "Guide A", "guide_a.md", "/in/guide_a.md"), ("b", "Manual B", "manual_b.md", "/in/manual_b.md"), ("c", "All products", "all.md", "/in/all.md")], "id string, title string, filename string, source_path string")
     asked = spark.createDataFrame([(1, "wheel speed"), (2, "function ble_start"), (3, "what does manual b say"), (4, "catalog of wheel"), (5, "蓝牙"), (6, "zzz")], "question_id int, question string")
     ready = analyzed(asked, 5)
-    scope = scoping.scoped_chunks(ready, chunks, scoping.named_documents(ready, documents))
+    scope = scoping.question_scope(ready, chunks, scoping.named_documents(ready, documents)).pairs()
     by = {q: sorted(r["id"] for r in scope.where(F.col("question_id") == q).collect()) for q in range(1, 7)}
     assert by[1] == ["a:0", "a:1", "a:2", "b:0"] and by[2] == ["a:1"] and by[3] == ["b:0"] and by[4] == [r[0] for r in LIBRARY] and by[5] == ["a:0", "a:1", "a:2"]
     answers = answering.answerable(asked, documents, chunks, vector_records(chunks, 32), answering.Settings(top_k=2, dimension=32))
@@ -228,6 +228,72 @@ def test_store_and_stream(spark, tmp_path):
     assert store.scan("vectors").count() == 0 and store.health()["documents"] == 3
 
 
+def vector_rows(spark, rows):
+    """(chunk_id, collection_id, chunk_hash)"""
+    return conform(spark.createDataFrame(rows, "chunk_id string, collection_id string, chunk_hash string"), VECTORS)
+
+
+def test_changes_write_only_their_parts(spark, tmp_path):
+    """An upsert rewrites the buckets of its keys, a collection's overwrite that collection; the rest is carried over."""
+    store = Store(spark, str(tmp_path / "s"), buckets=4)
+    store.write_vectors(vector_rows(spark, [(f"d{i}:{k}", c, "old") for i in range(40) for k in range(3) for c in ("a", "b/ c=")]))
+    before = store.version("vectors")
+    store.upsert_vectors(vector_rows(spark, [("d7:0", "a", "new"), ("d7:9", "a", "new"), ("d7:9", "a", "new")]))
+    after = store.version("vectors")
+    assert len(before.parts) == 8 and len({*after.parts} - {*before.parts}) == 1 and len({*before.parts} - {*after.parts}) == 1
+    rows = {(r.chunk_id, r.collection_id): r.chunk_hash for r in store.scan("vectors").collect()}
+    assert len(rows) == 241 and [k for k, v in rows.items() if v == "new"] and rows["d7:0", "b/ c="] == "old" and rows["d7:9", "a"] == "new"
+    store.write_vectors(vector_rows(spark, [("x:0", None, "only")]), "b/ c=")
+    assert {p for p in store.version("vectors").parts if p in after.parts} == {p for p in after.parts if p.key.startswith(collection_key("a"))}
+    assert store.list_vectors("b/ c=").count() == 1 and store.list_vectors("a").count() == 121
+    assert store.scan("vectors", number=before.number).count() == 240  # versions stay readable
+    assert store.vacuum("vectors", keep=1) == 0  # within the grace
+    assert store.vacuum("vectors", keep=1, grace_s=-60) > 0 and store.versions("vectors") == [store.version("vectors").number]
+    assert store.scan("vectors").count() == 122
+
+
+def test_two_writers(spark, tmp_path):
+    """Appends of two writers both stay; a change of replaced parts is refused and leaves the table as it is."""
+    one, two = Store(spark, str(tmp_path / "s"), buckets=2), Store(spark, str(tmp_path / "s"), buckets=2)
+    one.write_vectors(vector_rows(spark, [("d:0", "a", "0"), ("e:0", "b", "0")]))
+    base = one.version("vectors")
+    added = one._write("vectors", vector_rows(spark, [("f:0", "a", "1")]))
+    two.append("vectors", vector_rows(spark, [("g:0", "b", "2")]))
+    one.commit("vectors", base, (), added)  # overtaken, put on top
+    assert sorted(r[0] for r in two.scan("vectors").select("chunk_id").collect()) == ["d:0", "e:0", "f:0", "g:0"]
+
+    base = one.version("vectors")
+    old = [p for p in base.parts if p.key.startswith(collection_key("b"))]
+    added = one._write("vectors", vector_rows(spark, [("e:0", "b", "mine")]))
+    two.upsert_vectors(vector_rows(spark, [("e:0", "b", "theirs"), ("g:0", "b", "theirs")]))
+    with pytest.raises(Conflict):
+        one.commit("vectors", base, old, added)
+    assert {r.chunk_id: r.chunk_hash for r in one.scan("vectors").collect()} == {"d:0": "0", "e:0": "theirs", "f:0": "1", "g:0": "theirs"}
+    step = ("stream", 3)
+    one.append("vectors", vector_rows(spark, [("h:0", "a", "3")]), step)
+    n = one.version("vectors").number
+    two.append("vectors", vector_rows(spark, [("h:0", "a", "3")]), step)  # a replay
+    assert one.version("vectors").number == n
+
+
+def test_stream_passes_each_origin_once(spark, tmp_path):
+    """Origins repeated inside a batch, in later batches, in later runs and in stored documents; null origins fall back to ids."""
+    store = Store(spark, str(tmp_path / "s"))
+    text = "# A\nwords enough to make a chunk of text {}"
+    row = lambda i, p, u=None, t=None: (f"i{i}", f"T{i}", "f.md", p, u, "web", text.format(i) if t is None else t)
+    write = lambda rows: spark.createDataFrame(rows, ingest.TEXTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run = lambda: ingest.start(store, ingest.text_stream(spark, str(tmp_path / "in")), str(tmp_path / "cp")).awaitTermination(300)
+    ingest.ingest(store, spark.createDataFrame([row(0, "/stored")], ingest.TEXTS))
+    write([row(2, "/a"), row(1, "/a"), row(3, "/stored"), row(4, None, "http://x"), row(5, "/blank", t=" ")])
+    write([row(6, "/a"), row(7, None), row(7, None), row(8, "/blank")])
+    run()
+    assert sorted(r[0] for r in store.scan("documents").select("id").collect()) == ["i0", "i1", "i4", "i7", "i8"]
+    write([row(9, "/a"), row(10, "/new"), row(11, None, "http://x")])
+    run()
+    assert sorted(r[0] for r in store.scan("documents").select("id").collect()) == ["i0", "i1", "i10", "i4", "i7", "i8"]
+    assert tuple(store.consistency().first())[2:] == (0, 0, 0)
+
+
 def test_pdf_predicates(spark):
     x = F.col("x")
     one = lambda text, column: spark.createDataFrame([(text,)], "x string").select(column).first()[0]
@@ -237,6 +303,10 @@ def test_pdf_predicates(spark):
     assert tuple(one("2.1 Values 表 2-1 Limits", F.struct(rules.before_title(x), rules.table_title(x)))) == ("2.1 Values", "表 2-1 Limits")
     assert one("表 2.1O. x", rules.table_key(x)) == "2-10" and one("附录 B.2 x", rules.number_of(x)) == "B.2"
     assert one("a\n12 汽车理论 word\nSubmit Documentation Feedback", rules.without_noise(x)) == "a\nword"
+    foot = "乐鑫信息科技 12 {} 系列芯片技术规格书 v1.2"
+    for name in ("ESP32", "esp32", "Esp32-C3"):
+        assert one(f"abc {foot.format(name)} def", rules.without_noise(x)) == "abc def" and one(foot.format(name), rules.without_noise(x)) == ""
+    assert one("abc I 乐鑫信息科技 12 i esp32 v2 def", rules.without_noise(x)) == "abc def" == one("abc esp32 v2 乐鑫信息科技 7 def", rules.without_noise(x))
     assert one("3 x 7", rules.contents_title(x, F.lit("section"))) == "3 x 7" and one("表 1-1 T ..", rules.contents_title(x, F.lit("table"))) == "表1-1. T"
 
 
