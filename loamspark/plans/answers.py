@@ -74,7 +74,7 @@ def answers(spark, sf_dir):
 
 _ASKED = f"(SELECT question_id, question FROM {S.ASKED} UNION ALL SELECT CAST(item_id + {ITEM} AS INT), coalesce(text, '') FROM benchmark) AS t"
 _FOLDED = f"regexp_replace(replace(lower(regexp_replace(question, '^{scoring.SPACE}+|{scoring.SPACE}+$', '', 'g')), '\\', '/'), '{scoring.SPACE}+', ' ', 'g')"
-_WORDS = r"list_distinct(regexp_extract_all(question, '\b[a-zA-Z_][a-zA-Z0-9_]{2,}\b'))"
+_WORDS = r"list_distinct(list_filter(regexp_extract_all(question, '[\pL\pM\p{Nd}\p{Pc}]+'), lambda w: regexp_full_match(w, '[a-zA-Z_][a-zA-Z0-9_]{2,}')))"
 _HINTS = f"list_distinct(list_transform(list_filter({_WORDS}, lambda w: contains(w, '_') OR regexp_matches(substr(w, 2), '[A-Z]') OR NOT lower(w) IN ({', '.join(map(S.text, HINT_IGNORED))})), lambda w: lower(w)))"
 
 

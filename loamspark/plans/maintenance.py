@@ -361,12 +361,6 @@ def text_blocks(spark, sf_dir):
     return out.select("document_id", "seq", "line_start", "line_end", F.sha2("text", 256).alias("text_sha256"))
 
 
-def metadata_derive(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
-    m = metadata.document_metadata(metadata.basename(F.col("url")), metadata.basename(F.col("url")), F.col("url"), F.col("url"), F.lit("web"), F.lit(3))
-    return pages.select("page_id", m.alias("m")).select("page_id", "m.*")
-
-
 def language_version(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", metadata.language(F.col("url")).alias("language"), metadata.version(F.col("url")).alias("version"), X.slug(F.col("url")).alias("slug"))
 
@@ -486,6 +480,6 @@ QUERIES = {
         session_summary, recent_messages, query_with_history, consistency_check, upsert_vectors, delete_document, dedupe_ingest, sentence_split, chunk_pack,
         chunk_fingerprints, context_attach, page_regions, merge_short, neighbor_expand, quality_report, per_source_report, section_issue_counts,
         table_issue_counts, code_issue_counts, bad_start, examples_topn, readability_scores, html_extract, html_extract_compat, web_blocks, text_blocks,
-        metadata_derive, language_version, profile_resolve, margin_noise, contents_entries, pdf_block_parse,
+        language_version, profile_resolve, margin_noise, contents_entries, pdf_block_parse,
     )
 }

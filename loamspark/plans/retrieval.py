@@ -241,7 +241,7 @@ def task_route(spark, sf_dir):
 
 
 _FLAT = r"lower(trim(regexp_replace(question, '\s+', ' ', 'g')))"
-_WORDS = r"list_distinct(regexp_extract_all(question, '\b[a-zA-Z_][a-zA-Z0-9_]{2,}\b'))"
+_WORDS = r"list_distinct(list_filter(regexp_extract_all(question, '[\pL\pM\p{Nd}\p{Pc}]+'), lambda w: regexp_full_match(w, '[a-zA-Z_][a-zA-Z0-9_]{2,}')))"
 _MARKED = "(contains(w, '_') OR regexp_matches(substr(w, 2), '[A-Z]'))"
 TASK_ROUTE = f"""
 WITH q AS (

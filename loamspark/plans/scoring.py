@@ -88,7 +88,7 @@ def heuristic_adjust(spark, sf_dir):
 def adjust_sql(asked: str, chunks: str) -> str:
     """SELECT of question_id, doc_id and the heuristics, from questions and from chunks with their ``weighted`` text."""
     flag = {name: S.any_of("low", terms) for name, terms in INTENT_TERMS.items()}
-    words = r"list_distinct(regexp_extract_all(question, '\b[a-zA-Z_][a-zA-Z0-9_]{2,}\b'))"
+    words = r"list_distinct(list_filter(regexp_extract_all(question, '[\pL\pM\p{Nd}\p{Pc}]+'), lambda w: regexp_full_match(w, '[a-zA-Z_][a-zA-Z0-9_]{2,}')))"
     hints = f"list_filter({words}, lambda w: contains(w, '_') OR regexp_matches(substr(w, 2), '[A-Z]') OR NOT lower(w) IN ({', '.join(map(S.text, INTENT_IGNORED))}))"
     kinds = lambda of: "flatten([" + ", ".join(f"CASE WHEN {flag[n]} THEN [{', '.join(map(S.text, k))}] ELSE [] END" for n, k in of.items()) + "])"
     chips = f"list_filter([{', '.join(map(S.text, INTENT_CHIPS))}], lambda c: contains(low, c))"

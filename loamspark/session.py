@@ -7,9 +7,15 @@ import tempfile
 from pyspark.sql import DataFrame
 
 
+#: A union of tables that were kept after adaptive planning may have sides of other sizes than
+#: planned; Spark must not pair their partitions.
+UNION_PARTITIONING = "spark.sql.unionOutputPartitioning"
+
+
 def materialized(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder that the session names; one of our own only in a local session without one."""
     sc = df.sparkSession.sparkContext
+    df.sparkSession.conf.set(UNION_PARTITIONING, "false")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not shared and not sc.master.startswith("local"):
