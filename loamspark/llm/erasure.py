@@ -23,7 +23,7 @@ erased with their row and link nothing. Where rows of ``sales`` share a sale_id,
 sort under the smallest of their clients, and go if any of these sales goes. A client_id
 in several rows of ``clients`` goes only in the rows with a victim master, but its clicks
 and sales go. Repeated rows are kept, in any order, which cannot be told. NaN sorts last, and
-counts 0 cents, as infinities do. An empty table makes no file; without any master there is
+counts 0 cents, as infinities do; -0.0 sorts before 0.0. An empty table makes no file; without any master there is
 no victim. Texts of any length are whole. Columns of atomic types are written as they are, whatever
 their names; nested ones raise an error.
 """
@@ -51,8 +51,8 @@ from loamspark.llm.common import checkpoint_folder, checkpointed, crc32_text
 #: Files of a table: 1 + rows // FILES consecutive rows each.
 FILES = 150
 #: Rows of a sort task, of a writing task (one file at least), of a travelling batch, of a written row group.
-SORT_ROWS, WRITE_ROWS, BATCH_ROWS, GROUP_ROWS = 100_000, 25_000, 4096, 65_536
-_RECORD = "kind string, key long, place int, file_no long, n_rows long, n_erased long, cents long, ids_sha256 string, path string"
+SORT_ROWS, WRITE_ROWS, BATCH_ROWS, GROUP_ROWS = 50_000, 25_000, 4096, 65_536
+_RECORD = "keys array<long>, place int, file_no long, n_rows long, n_erased long, cents long, ids_sha256 string, path string"
 
 
 @dataclass(frozen=True)
@@ -117,44 +117,57 @@ def _batches(body: bytes) -> list[pa.RecordBatch]:
     return pa.ipc.open_stream(body).read_all().to_batches()
 
 
-def _plain(column: pa.Array) -> pa.Array:
-    """Times as numbers, which compare and pickle quickly."""
+#: Stands for null where numbers are compared, below all of them.
+NULL = float("-inf")
+
+
+def _comparable(column: pa.Array) -> list:
+    """Values that compare as the column's, nulls first, NaN last: times and floats as whole numbers, texts behind a mark."""
     kind = column.type
     if pa.types.is_timestamp(kind) or pa.types.is_time64(kind):
-        return column.cast(pa.int64())
-    return column.cast(pa.int32()) if pa.types.is_date32(kind) else column
+        column = column.cast(pa.int64())
+    elif pa.types.is_date32(kind):
+        column = column.cast(pa.int32())
+    elif pa.types.is_floating(kind):
+        bits = pc.fill_null(column, 0.0).to_numpy(zero_copy_only=False).astype(np.float64).view(np.int64)
+        column = pa.array(bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF)), mask=column.is_null().to_numpy(zero_copy_only=False))
+    elif _texts(kind):
+        mark = pa.scalar("1" if not pa.types.is_binary(kind) else b"1", kind)
+        return pc.fill_null(pc.binary_join_element_wise(mark, column, pa.scalar("" if not pa.types.is_binary(kind) else b"", kind)), pa.scalar("" if not pa.types.is_binary(kind) else b"", kind)).to_pylist()
+    values = column.to_pylist()
+    return values if not column.null_count else [NULL if v is None else v for v in values]
+
+
+def _texts(kind: pa.DataType) -> bool:
+    return pa.types.is_string(kind) or pa.types.is_large_string(kind) or pa.types.is_binary(kind)
+
+
+def _column(values: tuple, kind: pa.DataType) -> pa.Array:
+    """What ``_comparable`` was made from."""
+    if _texts(kind):
+        if pa.types.is_binary(kind):
+            return pa.array([v[1:] if v else None for v in values], kind)
+        marked = pa.array(values, kind)
+        return pc.if_else(pc.equal(marked, ""), pa.scalar(None, kind), pc.utf8_slice_codeunits(marked, 1))
+    if NULL in values:
+        values = [None if v == NULL else v for v in values]
+    if pa.types.is_floating(kind):
+        held = pa.array(values, pa.int64())
+        bits = pc.fill_null(held, 0).to_numpy(zero_copy_only=False)
+        return pa.array((bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))).view(np.float64), mask=held.is_null().to_numpy(zero_copy_only=False)).cast(kind)
+    whole = pa.int64() if pa.types.is_timestamp(kind) or pa.types.is_time64(kind) else pa.int32() if pa.types.is_date32(kind) else kind
+    return pa.array(values, type=whole).cast(kind)
 
 
 def _tuples(body: bytes) -> Iterator[tuple]:
-    """(checksum, flag, value, flag, value, ...): flag 0 for null, 2 for NaN, else 1."""
+    """(checksum, value, value, ...), comparable."""
     for batch in _batches(body):
-        lists = [batch.column(0).to_pylist()]
-        for column in batch.columns[1:]:
-            column = _plain(column)
-            values = column.to_pylist()
-            flags = [1] * len(values)
-            floating = pa.types.is_floating(column.type)
-            if column.null_count or floating:
-                blank = "" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"" if pa.types.is_binary(column.type) else 0
-                for i, v in enumerate(values):
-                    if v is None:
-                        flags[i], values[i] = 0, blank
-                    elif floating and v != v:
-                        flags[i], values[i] = 2, 0.0
-            lists += [flags, values]
-        yield from zip(*lists, strict=True)
+        yield from zip(batch.column(0).to_pylist(), *map(_comparable, batch.columns[1:]), strict=True)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    lists, arrays = list(zip(*rows, strict=True)), []
-    for i, field in enumerate(schema):
-        flags, values = lists[1 + 2 * i], lists[2 + 2 * i]
-        if min(flags) != 1 or max(flags) != 1:
-            values = [v if f == 1 else math.nan if f else None for f, v in zip(flags, values, strict=True)]
-        kind = field.type
-        raw = pa.int64() if pa.types.is_timestamp(kind) or pa.types.is_time64(kind) else pa.int32() if pa.types.is_date32(kind) else kind
-        arrays.append(pa.array(values, type=raw).cast(kind))
-    return pa.RecordBatch.from_arrays(arrays, schema=schema)
+    columns = list(zip(*rows, strict=True))[1:]
+    return pa.RecordBatch.from_arrays([_column(v, f.type) for v, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def _runs(ranked: Iterator[tuple[tuple, int]], layout: Layout) -> Iterator[tuple[tuple, bytes]]:
@@ -228,7 +241,7 @@ class FileWriter:
         self.fs.move(self.temporary, self.target)
 
     def record(self, file_no: int, n_erased: int) -> tuple:
-        return ("file", None, self.layout.place, file_no, self.n_rows, n_erased, self.cents, self.digest.hexdigest(), self.path if self.n_rows else None)
+        return (None, self.layout.place, file_no, self.n_rows, n_erased, self.cents, self.digest.hexdigest(), self.path if self.n_rows else None)
 
 
 def _link_keys(batches: list[pa.RecordBatch], name: str) -> list[int]:
@@ -249,8 +262,7 @@ def _write(runs: Iterator[tuple[tuple, bytes]], layouts: list[Layout]) -> Iterat
         batches = _batches(body)
         for batch in batches:
             writer.add(batch)
-        for key in _link_keys(batches, layouts[place].table.key):
-            yield ("link", key, place, file_no, None, None, None, None, None)
+        yield (_link_keys(batches, layouts[place].table.key), place, file_no, None, None, None, None, None)
     if writer is not None:
         writer.close()
         yield writer.record(at[1], 0)
@@ -277,8 +289,7 @@ def _rewrite(victims: Iterator[tuple[tuple[int, int], int]], layouts: list[Layou
                 n_erased += erased.num_rows
                 writer.add(batch.filter(pc.invert(hit)))
                 if layout.table.passes_on and erased.num_rows:
-                    for key in _link_keys([erased], layout.table.passes_on):
-                        yield ("link", key, place, file_no, None, None, None, None, None)
+                    yield (_link_keys([erased], layout.table.passes_on), place, file_no, None, None, None, None, None)
         writer.close()
         yield writer.record(file_no, n_erased)
 
@@ -331,6 +342,11 @@ def _placed(df: DataFrame) -> list:
     return [df[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(df.columns)]
 
 
+def _links(kept: DataFrame) -> DataFrame:
+    """(key, place, file_no), repeated where row groups of a file repeat it."""
+    return kept.select(F.explode("keys").alias("key"), "place", "file_no")
+
+
 def _hits(links: DataFrame, victims: RDD, parts: int) -> RDD:
     """((place, file number), key) of each victim key in each file that holds it."""
     held = links.select("key", "place", "file_no").distinct().rdd.map(lambda r: (r[0], (r[1], r[2])))
@@ -363,7 +379,7 @@ def erase(
     sorted_runs = runs.repartitionAndSortWithinPartitions(files.parts, files)
     written = _kept(sorted_runs.mapPartitions(lambda it: _write(it, layouts)), spark, f"{work}/written")
 
-    links = written.where("kind = 'link'")
+    links = _links(written)
     busiest = busiest_master(tables["clients"], tables["clicks"]) if with_busiest else None
     masters = links.where(F.col("place") == 0).select("key").distinct().rdd.map(lambda r: r[0])
     victims = masters.filter(lambda m: m == busiest or is_victim(m))
@@ -372,8 +388,8 @@ def erase(
         files = Files([layouts[p] for p in places])
         hits = _hits(links.where(F.col("place").isin(*places)), victims, files.parts)
         level = _kept(hits.partitionBy(files.parts, files).mapPartitions(lambda it: _rewrite(it, layouts)), spark, f"{work}/level-{n}")
-        victims = level.where("kind = 'link'").select("key").distinct().rdd.map(lambda r: r[0])
-        levels.append(level.where("kind = 'file'").drop("kind", "key"))
+        victims = _links(level).select("key").distinct().rdd.map(lambda r: r[0])
+        levels.append(level.where("keys IS NULL").drop("keys"))
     rewritten = levels[0].unionByName(levels[1]).unionByName(levels[2])
 
     # File numbers are bounded by the layout, so the replaced files are removed by the driver.
@@ -381,7 +397,7 @@ def erase(
         fs, old = pafs.FileSystem.from_uri(layouts[place].path(file_no))
         if fs.get_file_info(old).type != pafs.FileType.NotFound:
             fs.delete_file(old)
-    stayed = written.where("kind = 'file'").drop("kind", "key").join(rewritten.select("place", "file_no"), ["place", "file_no"], "left_anti")
+    stayed = written.where("keys IS NULL").drop("keys").join(rewritten.select("place", "file_no"), ["place", "file_no"], "left_anti")
     final = stayed.withColumn("rewritten", F.lit(False)).unionByName(rewritten.where("n_rows > 0").withColumn("rewritten", F.lit(True)))
     said = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("place") + 1)
     return final.select(
