@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loamspark.functions.metadata import document_metadata
 from loamspark.functions.quality import clean_section_path, is_bad_table, table_confidence
 from loamspark.functions.text import STRINGS, compact, empty_to_null, let, sentences, strip
-from loamspark.session import materialized
 from loamspark.schemas import CHUNKS, DOCUMENTS, conform
+from loamspark.session import materialized
 
 #: Built-in profiles, then files' profiles in order of name; (id, formats, keywords, strategy).
 PROFILES = (
@@ -23,7 +25,8 @@ PROFILES = (
     ("espidf", ("markdown", "web"), ("esp-idf", "espressif", "esp32"), "markdown_guide"),
     ("vehicle_textbook", ("pdf", "pdf+ocr", "pdf+pymupdf4llm"), ("汽车理论", "textbook", "chapter"), "pdf_document"),
 )
-STRATEGIES = ("generic_text", "markdown_guide", "web_article", "pdf_document", "source_code")
+#: What a format's documents have where no profile fits.
+KINDS = {"code": "source_code", "markdown": "markdown_guide", "web": "web_article", "pdf": "pdf_document"}
 CONNECTORS = ("or:", "for example:", "cmakelists.txt:", "minimal project:", "example:")
 CONNECTOR = r"(?U)(?:is in|implementation is in|content of|file is|following|below)\s*[\w./+-]*:?\s*$"
 
@@ -64,15 +67,51 @@ def resolve_profile(documents: DataFrame, profiles=PROFILES) -> DataFrame:
         scored.append(F.when(fits, F.struct(score.alias("score"), F.lit(-place).alias("place"), F.lit(name).alias("profile_id"), F.lit(strategy).alias("chunk_strategy"))))
     documents = documents.withColumn("__best", F.array_max(F.array(*scored)))
     best = F.col("__best")
-    by_kind = F.when(kind == "code", "source_code").when(kind == "markdown", "markdown_guide").when(kind == "web", "web_article").when(F.startswith(kind, F.lit("pdf")), "pdf_document")
+    by_kind = F.coalesce(*[F.when(F.startswith(kind, F.lit(k)) if k == "pdf" else kind == k, F.lit(name)) for k, name in KINDS.items()])
     return documents.withColumns(
         {"profile_id": F.coalesce(best["profile_id"], by_kind, F.lit("general")), "chunk_strategy": F.coalesce(best["chunk_strategy"], by_kind, F.lit("generic_text"))}
     ).drop("__merged", "__kind", "__best")
 
 
+def merged_profiles(overrides: Iterable[dict], base: tuple = PROFILES) -> tuple:
+    """Profiles with fields of others put over them by id; an override keeps its profile's place, new ones follow.
+
+    An override has profile_id and any of source_formats, title_keywords and
+    chunk_strategy; what it leaves out is the profile's own, for a new one nothing and the
+    generic strategy.
+    """
+    fold = lambda values: tuple(" ".join(str(v).lower().split()) for v in values or ())
+    known = {name: {"source_formats": formats, "title_keywords": keywords, "chunk_strategy": chosen} for name, formats, keywords, chosen in base}
+    for override in overrides:
+        own = known.setdefault(str(override["profile_id"]), {"source_formats": (), "title_keywords": (), "chunk_strategy": GENERIC})
+        own.update({k: v for k, v in override.items() if k in own})
+    return tuple((name, fold(p["source_formats"]), tuple(k for k in fold(p["title_keywords"]) if k), str(p["chunk_strategy"])) for name, p in known.items() if name != "general")
+
+
+def load_profiles(spark: SparkSession, folder: str, base: tuple = PROFILES) -> tuple:
+    """``base`` with the profiles of a folder's ``*.yaml`` files, in order of name; the file's name is the id of one that states none.
+
+    The files are configuration, a few small ones, read through Spark from wherever it reads.
+    """
+    import yaml
+
+    files = spark.read.option("recursiveFileLookup", False).option("pathGlobFilter", "*.yaml").text(folder, wholetext=True).select(F.input_file_name().alias("name"), "value")
+    overrides = []
+    for name, text in sorted((r["name"].rsplit("/", 1)[-1], r["value"]) for r in files.collect()):
+        held = yaml.safe_load(text)
+        if isinstance(held, dict):
+            overrides.append({**held, "profile_id": held.get("profile_id") or name.removesuffix(".yaml")})
+    return merged_profiles(overrides, base)
+
+
 def strategy(name: Column) -> Column:
     """Unknown strategies are the generic one."""
-    return F.when(name.isin(*STRATEGIES), name).otherwise("generic_text")
+    return F.when(name.isin(*STRATEGIES), name).otherwise(GENERIC)
+
+
+def register_strategy(name: str, change: Callable[[DataFrame], DataFrame]) -> None:
+    """``change`` makes of the ordered blocks of all documents with this strategy what short texts are merged in; columns stay."""
+    STRATEGIES[name] = change
 
 
 def _neighbours(rows: DataFrame) -> DataFrame:
@@ -117,6 +156,15 @@ def attach_code_context(rows: DataFrame) -> DataFrame:
     return out.where("not dropped").drop("dropped", *[c for c in out.columns if c[:2] in ("p_", "n_") and c not in rows.columns])
 
 
+def _as_they_are(rows: DataFrame) -> DataFrame:
+    return rows
+
+
+GENERIC = "generic_text"
+#: What each strategy does with the blocks before short texts are merged.
+STRATEGIES: dict[str, Callable[[DataFrame], DataFrame]] = dict.fromkeys((GENERIC, "markdown_guide", "web_article", "pdf_document"), _as_they_are) | {"source_code": attach_code_context}
+
+
 def merge_short(rows: DataFrame, short: int = 50, limit: int = 1800) -> DataFrame:
     """Texts under ``short`` characters joined to the text before, else to the one after, in the same scope.
 
@@ -206,12 +254,13 @@ def packed_text(text: Column, size: int = 700, overlap: int = 120) -> Column:
     return F.filter(F.transform(packed, strip), lambda c: c != "")
 
 
-def build_chunks(documents: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+def build_chunks(documents: DataFrame, blocks: DataFrame, profiles: tuple = PROFILES) -> tuple[DataFrame, DataFrame]:
     """The document and chunk tables of documents (id, title, filename, source_*) and their blocks.
 
-    Documents without any chunk are left out; chunk indexes are dense from 0.
+    Each document's profile chooses the strategy that its blocks go through. Documents
+    without any chunk are left out; chunk indexes are dense from 0.
     """
-    chosen = resolve_profile(documents).select("id", strategy(F.col("chunk_strategy")).alias("chunk_strategy"))
+    chosen = resolve_profile(documents, profiles).select("id", strategy(F.col("chunk_strategy")).alias("chunk_strategy"))
     ir = document_blocks(blocks).where(strip(F.col("text")) != "").withColumnRenamed("text", "content")
     order = W.partitionBy("document_id").orderBy("page_first", "seq")
     ir = ir.withColumn("seq", F.row_number().over(order)).drop("page_first", "role")
@@ -219,8 +268,12 @@ def build_chunks(documents: DataFrame, blocks: DataFrame) -> tuple[DataFrame, Da
         if name not in ir.columns:
             ir = ir.withColumn(name, F.lit(None).cast("string"))
     ir = ir.join(chosen.withColumnRenamed("id", "document_id"), "document_id")
-    code = attach_code_context(ir.where("chunk_strategy = 'source_code'"))
-    rows = finalized(merge_short(code.unionByName(ir.where("chunk_strategy <> 'source_code'"))))
+    changes: dict[Callable, list[str]] = {}  # strategies that do the same are one branch
+    for name in {p[3] for p in profiles} | set(KINDS.values()) | {GENERIC}:
+        changes.setdefault(STRATEGIES.get(name, STRATEGIES[GENERIC]), []).append(name if name in STRATEGIES else GENERIC)
+    ir = materialized(ir)  # or each branch would make the blocks again
+    branches = [change(ir.where(F.col("chunk_strategy").isin(*named))) for change, named in changes.items()]
+    rows = finalized(merge_short(reduce(DataFrame.unionByName, branches)))
     # Read for the counts, the documents and the chunks; without a cut the blocks would be made for each.
     indexed = materialized(rows.withColumn("chunk_index", F.row_number().over(W.partitionBy("document_id").orderBy("seq")) - 1))
     counts = indexed.groupBy("document_id").agg(F.count("*").cast("int").alias("chunk_count"))

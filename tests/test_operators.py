@@ -6,12 +6,13 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from loamspark.functions import embed, remote, text
 from loamspark.functions import pdf_rules as rules
 from loamspark.functions.embed import embed_tokens, vector_records
-from loamspark.operators import answering, chunking, evaluation, pdf, ranking, scoping, sessions
+from loamspark.operators import answering, chunking, evaluation, models, pdf, ranking, scoping, sessions
 from loamspark.operators.blocks import Block, blocks_of_lines, blocks_of_paragraphs
 from loamspark.operators.intent import analyzed
-from loamspark.schemas import CHUNKS, VECTORS, conform
+from loamspark.schemas import BLOCKS, CHUNKS, VECTORS, conform
 from loamspark.sources import files, html
 from loamspark.sources.store import Conflict, Store, collection_key, upserted
 from loamspark.streaming import ingest
@@ -119,6 +120,73 @@ def test_labels_packing_and_given_blocks(spark):
     assert packed("aaaa. bbbb. cccc.", size=10, overlap=2) == ["aaaa.", "a.\nbbbb.", "b.\ncccc."]
 
 
+def test_profiles_from_files_and_own_strategies(spark, tmp_path):
+    """Files' fields are put over the built-in profiles by id; a registered strategy gets its documents' blocks."""
+    (tmp_path / "web_article.yaml").write_text("title_keywords: [' Some  WORD ']\n")
+    (tmp_path / "a.yaml").write_text("profile_id: spoken\nsource_formats: [web]\ntitle_keywords: [talk]\nchunk_strategy: aloud\n")
+    (tmp_path / "b.yaml").write_text("- not a profile\n")
+    (tmp_path / "c.txt").write_text("profile_id: ignored\n")
+    profiles = chunking.load_profiles(spark, str(tmp_path))
+    assert [p[0] for p in profiles] == [p[0] for p in chunking.PROFILES] + ["spoken"]
+    assert dict((p[0], p[1:]) for p in profiles)["web_article"] == (("web",), ("some word",), "web_article")
+    documents = spark.createDataFrame([(i, t, "f", "/p", None, k) for i, t, k in (("1", "a talk", "web"), ("2", "some word", "web"), ("3", "x", "web"), ("4", "x", "odd"))], "id string, title string, filename string, source_path string, source_url string, source_format string")
+    found = {r["id"]: (r["profile_id"], r["chunk_strategy"]) for r in chunking.resolve_profile(documents, profiles).collect()}
+    assert found == {"1": ("spoken", "aloud"), "2": ("web_article", "web_article"), "3": ("web_article", "web_article"), "4": ("general", "generic_text")}
+    blocks = conform(spark.createDataFrame([(i, 0, "words that are long enough to stay alone as a chunk", "text") for i in "1234"], "document_id string, seq int, text string, role string"), BLOCKS)
+    content = lambda: {r["document_id"]: r["content"] for r in chunking.build_chunks(documents, blocks, profiles)[1].collect()}
+    plain = content()  # a strategy that nobody registered is the generic one
+    assert len(plain) == 4 and len(set(plain.values())) == 1
+    chunking.register_strategy("aloud", lambda rows: rows.withColumn("content", F.upper("content")))
+    try:
+        assert content() == plain | {"1": plain["1"].upper()}
+    finally:
+        del chunking.STRATEGIES["aloud"]
+
+
+def shuffled_and_failing(answer, most):
+    """A service that fails once for each request, and answers in another order."""
+    seen = set()
+
+    def call(inputs):
+        assert len(inputs) <= most
+        if (key := repr(inputs)) not in seen:
+            seen.add(key)
+            raise TimeoutError("once")
+        return [(i, answer(x)) for i, x in reversed(list(enumerate(inputs)))]
+
+    return call
+
+
+def test_remote_models(spark, monkeypatch):
+    """Requests are bounded, retried and put back in order, for embeddings, reranking and chat."""
+    chunks = chunk_rows(spark, LIBRARY).repartition(1)
+    service = remote.Remote(shuffled_and_failing(lambda t: [float(len(t)), 1.0], 2), inputs=2, pause_s=0)
+    monkeypatch.setitem(embed.PROVIDERS, "own", remote.embedding_provider(service))
+    made = {r["chunk_id"]: r for r in vector_records(chunks, 2, "own", "m").collect()}
+    texts = {r[0]: r[1] for r in chunks.select("id", text.remote_input(text.weighted_text())).collect()}
+    assert {k: v["values"] for k, v in made.items()} == {k: [float(len(t)), 1.0] for k, t in texts.items()} and made["a:0"]["provider"] == "own"
+    with pytest.raises(Exception, match="has not 3 values"):
+        vector_records(chunks, 3, "own", "m").collect()
+    gaps = remote.Remote(lambda inputs: [(0, "x")], attempts=2, pause_s=0)
+    with pytest.raises(ValueError):
+        gaps.answers(["a", "b"])
+
+    asked = spark.createDataFrame([(1, "wheel", "table_lookup", [("user", "old"), ("assistant", "newer"), ("user", "newest")]), (2, "host", "qa_fact", None)], "question_id int, question string, task_type string, history array<struct<role string, content string>>")
+    found = spark.createDataFrame([(1, "b:0", 0.9), (1, "c:0", 0.5), (2, "a:0", 0.4), (2, "a:1", 0.4)], "question_id int, chunk_id string, score double")
+    last = remote.Remote(shuffled_and_failing(lambda q: [{"index": i, "score": float(i) + ("wheel" in q["query"])} for i in range(len(q["documents"]))] + [{"index": 9, "score": 99.0}], 64), pause_s=0)
+    order = answering.rerank(found, 2, models.remote_reranker(last, asked, chunks))
+    assert {(r["question_id"], r["rank"]): (r["chunk_id"], r["score"]) for r in order.collect()} == {(1, 1): ("c:0", 2.0), (1, 2): ("b:0", 1.0), (2, 1): ("a:1", 1.0), (2, 2): ("a:0", 0.0)}
+    down = remote.Remote(shuffled_and_failing(lambda q: q, 64), attempts=1)
+    assert {r["chunk_id"] for r in answering.rerank(found, 1, models.remote_reranker(down, asked, chunks)).collect()} == {"b:0", "a:0"}  # the order is kept
+
+    cited = chunks.limit(0).selectExpr("1 as question_id", "1 as rank", "*", "'' as snippet")
+    said = {r["question_id"]: r["messages"] for r in models.messages(cited, asked, 2).collect()}
+    assert [m["role"] for m in said[1]] == ["system", "assistant", "user", "user"] and said[1][0]["content"].endswith(models.INSTRUCTIONS["table_lookup"])
+    assert [m["role"] for m in said[2]] == ["system", "user"] and said[2][0]["content"] == models.SYSTEM and answering.NO_CONTEXT in said[2][1]["content"]
+    answer = remote.Remote(shuffled_and_failing(lambda x: "" if len(x["messages"]) == 2 else x["messages"][-2]["content"], 64), pause_s=0)
+    assert {r[0]: r[1] for r in models.chat(models.messages(cited, asked, 2), answer).collect()} == {1: "newest", 2: models.NO_ANSWER}
+
+
 def chunk_rows(spark, rows):
     return conform(spark.createDataFrame(rows, "id string, document_id string, document_title string, chunk_index int, content string, block_type string, doc_type string, symbol_name string"), CHUNKS)
 
