@@ -70,7 +70,9 @@ class BytePairEncoder:
                     merged.append(rank)
         self._hash_pairs(np.array(keys, dtype=np.int64), np.array(merged, dtype=np.int64))
         self.pair_rank = dict(zip(keys, merged, strict=True))
-        self.byte_ids = np.array([ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int64)
+        if missing := [b for b in range(256) if bytes([b]) not in ranks]:
+            raise ValueError(f"bytes without a rank, whose text would be lost: {missing}")
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         self.cache: dict[str, bytes] = {}
 
     def _hash_pairs(self, keys: np.ndarray, ranks: np.ndarray) -> None:

@@ -20,7 +20,9 @@ or more begin with equal runs of n lines. ``maximal_runs`` are the runs that can
 to neither side and still occur twice.
 
 A run counts when it has ``min_lines`` lines or ``min_words`` words. Of equal runs the first
-by (doc_id, line) stays, later copies are deleted. Each line of a longer run lies in a run of
+by (doc_id, line) stays, later copies are deleted. Copies may overlap: a run that begins
+later than an equal one is a later copy even where it lies inside the first, so of six equal
+lines, which are four equal runs of three, one line is left. Each line of a longer run lies in a run of
 at most ``min_lines`` lines that counts, so the deleted lines are the union over the
 intervals of 1 to ``min_lines`` lines, and common prefixes are needed up to there only. Lines
 without a letter or digit (blank, braces, rules) are in no run; they go if the nearest lines

@@ -145,6 +145,23 @@ def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_classes(read_table(spark, sf_dir, "documents"))
 
 
+OP11_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS k FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 2, 1))) AS i FROM w WHERE len(ws) > 0)),
+s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM g a JOIN g b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y FROM p JOIN s sx ON sx.doc_id = x JOIN s sy ON sy.doc_id = y WHERE 100 * shared >= 90 * (sx.n + sy.n - shared)),
+e AS (SELECT x AS a, y AS b FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a),
+k AS (SELECT a AS doc_id, count(*) AS n_links FROM e GROUP BY a)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, c.component_id, coalesce(k.n_links, 0) AS n_links
+FROM documents d LEFT JOIN s USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
 QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op5_line_dedup": op5_line_dedup,
@@ -153,4 +170,4 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "op11_jaccard_join": op11_jaccard_join,
 }
-ORACLE_SQL = {"op5_line_dedup": OP5_SQL, "op6_decontamination": OP6_SQL, "op10_quality_rules": OP10_SQL}
+ORACLE_SQL = {"op5_line_dedup": OP5_SQL, "op6_decontamination": OP6_SQL, "op10_quality_rules": OP10_SQL, "op11_jaccard_join": OP11_SQL}

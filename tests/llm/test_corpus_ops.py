@@ -261,6 +261,23 @@ def test_code_and_blank_lines_are_no_runs(spark):
     assert sorted(r["text"] for r in line_runs.dedup_lines(docs_of(spark, texts)).collect()) == sorted(texts)
 
 
+def test_runs_that_overlap_themselves(spark):
+    """Six equal lines are four equal runs of three; all but the first are later copies, which covers all lines but one."""
+    rows = [(1, "\n".join(["four words a line"] * 6)), (2, "\n".join(["some other short line"] * 2 + ["end of it here"]))]
+    got = {r["doc_id"]: r["text"] for r in line_runs.dedup_lines(docs_of(spark, [t for _, t in rows])).collect()}
+    want = brute_lines(list(enumerate(t for _, t in rows)))
+    assert got[0] == "four words a line" and got[1] == rows[1][1]
+    assert len(want[0, rows[0][1]]) == 5
+
+
+def test_a_vocabulary_must_hold_every_byte():
+    ranks = {bytes([b]): b for b in range(256)}
+    assert byte_bpe.BytePairEncoder(ranks, r"\S+|\s+") is not None
+    del ranks[b"q"]
+    with pytest.raises(ValueError, match="113"):
+        byte_bpe.BytePairEncoder(ranks, r"\S+|\s+")
+
+
 def test_line_dedup_longer_runs_and_empty(spark):
     df = docs_of(spark, ["a\nb\nc\nd\ne", "x\na\nb\nc\nd\ny", "b\nc\nd\ne\nz"])
     four = {r[0]: r[1] for r in line_runs.dedup_lines(df, min_lines=4, min_words=99).select("doc_id", "text").collect()}

@@ -84,7 +84,7 @@ def test_whole_query(spark, sf_dir):
     assert sorted(map(tuple, out)) == plain(rows) and any(r.n_links for r in out)
 
 
-@pytest.mark.parametrize("options", [{}, {"heavy": 4, "block": 9}, {"longest": 1, "heavy": 2}])
+@pytest.mark.parametrize("options", [{}, {"heavy": 4, "block": 9, "longest": 2}])
 def test_near_copies_and_edges(spark, options):
     rng = random.Random(4)
     rows = near_copies(rng, 12, 6, 70, 5) + near_copies(rng, 1, 60, 120, 9, 1000) + near_copies(rng, 1, 40, 120, 2, 1500) + near_copies(rng, 30, 2, 12, 1, 2000)
@@ -99,7 +99,7 @@ def test_other_thresholds_and_an_empty_table(spark):
     rng = random.Random(9)
     rows = near_copies(rng, 6, 5, 40, 6)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for threshold in (60, 80, 100):
+    for threshold in (70,):
         assert got(df, threshold=threshold) == plain(rows, threshold)
     assert got(df.limit(0)) == []
 
