@@ -36,6 +36,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,7 @@ from loamspark.llm.common import checkpoint_folder, checkpointed, crc32_text
 #: Files of a table: 1 + rows // FILES consecutive rows each.
 FILES = 150
 #: Rows of a sort task, of a writing task (one file at least), of a travelling batch, of a written row group.
-SORT_ROWS, WRITE_ROWS, BATCH_ROWS, GROUP_ROWS = 50_000, 25_000, 4096, 65_536
+SORT_ROWS, WRITE_ROWS, BATCH_ROWS, GROUP_ROWS = 40_000, 25_000, 4096, 65_536
 _RECORD = "keys array<long>, place int, file_no long, n_rows long, n_erased long, cents long, ids_sha256 string, path string"
 
 
@@ -133,9 +134,15 @@ def _comparable(column: pa.Array) -> list:
         column = pa.array(bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF)), mask=column.is_null().to_numpy(zero_copy_only=False))
     elif _texts(kind):
         mark = pa.scalar("1" if not pa.types.is_binary(kind) else b"1", kind)
-        return pc.fill_null(pc.binary_join_element_wise(mark, column, pa.scalar("" if not pa.types.is_binary(kind) else b"", kind)), pa.scalar("" if not pa.types.is_binary(kind) else b"", kind)).to_pylist()
-    values = column.to_pylist()
-    return values if not column.null_count else [NULL if v is None else v for v in values]
+        blank = pa.scalar("" if not pa.types.is_binary(kind) else b"", kind)
+        return pc.fill_null(pc.binary_join_element_wise(mark, column, blank), blank).to_numpy(zero_copy_only=False).tolist()
+    if not (pa.types.is_integer(column.type) or pa.types.is_boolean(column.type)):
+        return [NULL if v is None else v for v in column.to_pylist()]
+    # By way of numpy, some ten times faster than value by value.
+    values = (pc.fill_null(column, False if pa.types.is_boolean(column.type) else 0) if column.null_count else column).to_numpy(zero_copy_only=False).tolist()
+    for i in np.flatnonzero(column.is_null().to_numpy(zero_copy_only=False)).tolist() if column.null_count else ():
+        values[i] = NULL
+    return values
 
 
 def _texts(kind: pa.DataType) -> bool:
@@ -162,7 +169,7 @@ def _column(values: tuple, kind: pa.DataType) -> pa.Array:
 def _tuples(body: bytes) -> Iterator[tuple]:
     """(checksum, value, value, ...), comparable."""
     for batch in _batches(body):
-        yield from zip(batch.column(0).to_pylist(), *map(_comparable, batch.columns[1:]), strict=True)
+        yield from zip(*map(_comparable, batch.columns), strict=True)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -172,23 +179,18 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 def _runs(ranked: Iterator[tuple[tuple, int]], layout: Layout) -> Iterator[tuple[tuple, bytes]]:
     """Consecutive rows of one file as ((place, file number, first rank), Arrow batch)."""
-    rows, first = [], 0
-
-    def done() -> tuple[tuple, bytes]:
-        batch, sink = _batch(rows, layout.schema), pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, batch.schema) as out:
-            out.write_batch(batch)
-        return (layout.place, first // layout.per_file, first), sink.getvalue().to_pybytes()
-
-    for row, rank in ranked:
-        if rows and (len(rows) == BATCH_ROWS or rank // layout.per_file != first // layout.per_file):
-            yield done()
-            rows = []
-        if not rows:
-            first = rank
-        rows.append(row)
-    if rows:
-        yield done()
+    while held := list(islice(ranked, BATCH_ROWS)):
+        first = held[0][1]
+        rows = [row for row, _ in held]
+        start = 0
+        while start < len(rows):
+            file_no = (first + start) // layout.per_file
+            stop = min(len(rows), (file_no + 1) * layout.per_file - first)
+            batch, sink = _batch(rows[start:stop], layout.schema), pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as out:
+                out.write_batch(batch)
+            yield (layout.place, file_no, first + start), sink.getvalue().to_pybytes()
+            start = stop
 
 
 # Writers.
@@ -211,13 +213,15 @@ class FileWriter:
         if not batch.num_rows:
             return
         names = batch.schema.names
-        ids = batch.column(0).to_pylist()
-        text = ",".join("" if i is None else str(i) for i in ids)
+        ids = batch.column(0)
+        text = ",".join(map(str, ids.to_numpy(zero_copy_only=False).tolist()) if not ids.null_count else ("" if i is None else str(i) for i in ids.to_pylist()))
         self.digest.update((("," if self.n_rows else "") + text).encode())
         x = batch.column(names.index(self.layout.table.value)).cast(pa.float64()).to_numpy(zero_copy_only=False)
         with np.errstate(invalid="ignore"):
             cents = np.floor(100 * x + 0.5)
-        self.cents += sum(map(int, cents[np.isfinite(cents)].tolist()))
+        cents = cents[np.isfinite(cents)]
+        small = np.abs(cents) < 1 << 40  # sums of these are exact in 64 bits
+        self.cents += int(cents[small].astype(np.int64).sum()) + sum(map(int, cents[~small].tolist()))
         self.n_rows += batch.num_rows
         self.held.append(batch)
         self.n_held += batch.num_rows
