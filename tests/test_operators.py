@@ -1,6 +1,7 @@
 """Operators, sources, stored tables, conversations and streams on hand-written inputs."""
 
 import io
+import random
 import zipfile
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from loamspark.functions import embed, remote, text
 from loamspark.functions import pdf_rules as rules
 from loamspark.functions.embed import embed_tokens, vector_records
-from loamspark.operators import answering, chunking, evaluation, models, pdf, ranking, scoping, sessions
+from loamspark.operators import answering, chunking, evaluation, models, pdf, postings, ranking, scoping, sessions
 from loamspark.operators.blocks import Block, blocks_of_lines, blocks_of_paragraphs
 from loamspark.operators.intent import analyzed
 from loamspark.schemas import BLOCKS, CHUNKS, VECTORS, conform
@@ -218,6 +219,28 @@ def test_scope_and_answers(spark):
     assert "[Manual B | " in prompts[3] and answering.NO_CONTEXT in prompts[6]
 
 
+def test_pruned_search_equals_whole_search(spark, tmp_path):
+    """Block-max search in two passes finds what scoring everything finds: stop words, ties, more asked than there is, a scope."""
+    rng = random.Random(11)
+    words = ["the"] * 60 + ["of"] * 30 + [f"w{i}" for i in range(60)] + [f"r{i}" for i in range(300)]
+    rows = [(i, [rng.choice(words) for _ in range(rng.choice([0, 3, 12, 40]))], i % 3) for i in range(900)]
+    rows += [(900 + i, ["the", "r1", "of"], 0) for i in range(12)]  # ties
+    chunks = spark.createDataFrame(rows, "id long, t array<string>, part int")
+    index = ranking.build_index(chunks, "id", F.col("t"))
+    asked = spark.createDataFrame([(1, "the", 2), (1, "of", 1), (1, "r1", 1), (2, "the", 1), (2, "of", 1), (3, "r7", 1), (3, "w5", 3), (3, "the", 1), (4, "zz", 1), (5, "w1", 1), (5, "w2", 1), (5, "of", 4)], "question_id int, token string, qtf long")
+    made = postings.BlockIndex.of(index, block_chunks=50)
+    made.write(str(tmp_path / "index"))
+    read = postings.BlockIndex.read(spark, str(tmp_path / "index"))
+    shown = lambda rows: sorted((r["question_id"], r["rank"], r["chunk_id"], r["score"]) for r in rows.collect())
+    for k in (3, 1000):
+        want = shown(ranking.top_k(ranking.bm25(asked, index), k))
+        assert shown(postings.pruned_topk(read.statistics(asked), read, k)) == want and len(want) > 2 * min(k, 10)
+    scope = scoping.Scope(chunks.select("id", F.col("id").alias("document_id"), F.col("part").cast("string").alias("profile")), spark.createDataFrame([(1, "0"), (1, "2"), (3, "1"), (5, "1")], "question_id int, profile string"), spark.createDataFrame([(2, i) for i in range(0, 900, 7)], "question_id int, id long"), spark.createDataFrame([], "question_id int, id long"))
+    pairs = scope.pairs().withColumnRenamed("id", "chunk_id")
+    got = shown(postings.pruned_topk(answering.scoped_statistics(asked, made, scope), made, 5, scope.within))
+    assert got == shown(ranking.top_k(ranking.bm25(asked, index, pairs), 5))
+
+
 def test_cascade_matches_filters_one_after_another(spark):
     for presence in (0b1, 0b1010, 0b1100, 0b0110, 0b1000):
         combos = {c for c in range(4) if presence >> c & 1}
