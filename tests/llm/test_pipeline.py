@@ -32,7 +32,7 @@ def test_line_stage_keeps_unique_remnants(spark):
     licence = lines_of("licence", 1, 12)
     a, b = "\n".join(licence + lines_of("a", 5)), "\n".join(licence + lines_of("b", 4, 11))
     base = lines_of("base", 30)
-    near = "\n".join([*base[:29], base[29] + " changed"])
+    near = "\n".join([*base[:29], base[29] + " again"])
     passage = lines_of("passage", 10)  # most of c and d, whose own words resemble nothing
     c, d = "\n".join(passage + lines_of("c", 1)), "\n".join(passage + ["other words of d", *lines_of("d", 2, 9)])
     only = "\n".join(passage[:5] + base[:5])
