@@ -105,8 +105,8 @@ def candidates(questions: DataFrame, chunks: DataFrame, vectors: DataFrame | Non
     Questions with a column ``vector`` bring their own; else they are embedded as the hash
     provider does.
     """
-    index = index or BlockIndex.of(ranking.build_index(chunks))
-    asked = ranking.question_tokens(questions.select("question_id", F.col("query").alias("question")))
+    asked = materialized(ranking.question_tokens(questions.select("question_id", F.col("query").alias("question"))))
+    index = (index or BlockIndex.of(ranking.build_index(chunks))).narrowed(asked)
     limit = F.greatest(8 * F.greatest(F.lit(settings.candidate_limit), F.lit(settings.top_k), F.col("plan.candidate_limit")), F.lit(30))
     limits = questions.select("question_id", limit.alias("limit"))
     counted = scoped_statistics(asked, index, scope) if settings.stats == "scoped" else index.statistics(asked)

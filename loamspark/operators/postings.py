@@ -15,7 +15,7 @@ own blocks.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -51,6 +51,10 @@ class BlockIndex:
         )
         return BlockIndex(blocks, lengths, n_blocks)
 
+    def narrowed(self, asked: DataFrame) -> BlockIndex:
+        """The blocks of asked tokens, read once and kept."""
+        return replace(self, blocks=materialized(self.blocks.join(asked.select("token").distinct(), "token", "left_semi")))
+
     def write(self, path: str, mode: str = "overwrite") -> None:
         """Blocks dealt and sorted by token, so that a scan prunes row groups."""
         self.blocks.repartitionByRange("token", "block").sortWithinPartitions("token", "block").write.mode(mode).parquet(f"{path}/blocks")
@@ -79,12 +83,13 @@ def _weight(tf: str, dl: str) -> Column:
 def pruned_topk(asked: DataFrame, index: BlockIndex, k: int | Column, within: Callable[[DataFrame], DataFrame] = lambda rows: rows, seeds: int = 4) -> DataFrame:
     """question_id, chunk_id, score, rank: the k best of ``ranking.bm25``, ties by chunk_id.
 
-    ``asked``: question_id, token, qtf, df, n, avgdl, and k if it is a column. ``within``
+    ``asked``: question_id, token, qtf, df, n, avgdl, and k if it is a column; the index is
+    read several times, so it should be stored or ``narrowed``. ``within``
     keeps those rows (question_id, chunk_id, ...) that a question searches; df may be of
     the scope.
     """
-    asked = asked.withColumn("k", F.lit(k) if isinstance(k, int) else k).where("df > 0")
-    blocks = materialized(index.blocks.join(asked.select("token").distinct(), "token", "left_semi").withColumnRenamed("n", "size"))
+    asked = materialized(asked.withColumn("k", F.lit(k) if isinstance(k, int) else k).where("df > 0"))
+    blocks = index.blocks.join(asked.select("token").distinct(), "token", "left_semi").withColumnRenamed("n", "size")
     heads = blocks.select("token", "block", "size", "max_tf", "min_dl")
     # What one token can add at most, over all of its blocks.
     bounds = heads.join(asked, "token").groupBy(*asked.columns).agg(F.max(_weight("max_tf", "min_dl")).alias("most"), F.sum("size").alias("listed"))

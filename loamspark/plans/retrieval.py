@@ -67,7 +67,8 @@ CORPUS_STATS = f"WITH {S.INDEX} SELECT count(*) AS n, round(avg(dl), 6) AS avgdl
 def _block_index(spark, sf_dir, asked: DataFrame) -> BlockIndex:
     """Blocks of the asked tokens."""
     index = _index(spark, sf_dir)
-    return BlockIndex.of(ranking.InvertedIndex(index.postings.join(asked.select("token").distinct(), "token", "left_semi"), index.lengths))
+    found = index.postings.join(asked.select("token").distinct(), "token", "left_semi")
+    return BlockIndex.of(ranking.InvertedIndex(found, index.lengths)).narrowed(asked)
 
 
 def bm25_topk(spark, sf_dir):
