@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamspark.llm import byte_bpe, decontamination, line_runs, repetition_rules, simhash_vptree
-from loamspark.llm.common import checkpoint_folder, checkpointed
+from loamspark.llm.common import checkpoint_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Words that a text needs, those of the first stage's base rule.
@@ -33,28 +33,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of line runs go; a remnant goes too if a near copy of its whole text stays.
+    """Later copies of line runs go; what is left of a document goes too if it is under ``MIN_WORDS`` words and under a quarter of its words.
 
     A near copy loses all lines but the changed ones, which resemble nothing that the next
-    stage could find. So a document left under ``MIN_WORDS`` words, most of its words
-    deleted, is judged by its class over the texts before cutting: of each class one
-    document stays at least, one that is no remnant if there is one, then that with the
-    smallest id; the other remnants go. Remnants of documents that resemble no other stay,
-    as do those that keep half of their words.
+    stage could find. A document that keeps a quarter of its words stays, however short; one
+    whose few own words stand among copied lines is taken for such a near copy.
     """
     words = lambda text: F.size(F.filter(F.split(F.coalesce(text, F.lit("")), line_runs.WORD_GAP, -1), lambda w: w != ""))
-    whole = simhash_vptree.fingerprints(docs.select(F.struct(*COLUMNS).alias("doc"), "text"), "doc", "text")
-    marked = whole.select("doc_id.*", "fp", words(F.col("doc_id.text")).alias("n_words"))
-    cut = line_runs.dedup_lines(marked, runs_col="runs").withColumns({"touched": F.size("runs") > 0, "left": words(F.col("text"))})
-    remnant = F.col("touched") & (F.col("left") < MIN_WORDS) & (2 * F.col("left") < F.col("n_words"))
-    n_chars = F.when(F.col("touched"), F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
-    out = checkpointed(cut.select("doc_id", "text", "lang", "source", n_chars, "fp", remnant.alias("remnant"), F.monotonically_increasing_id().alias("row")))
-    if out.where("remnant").isEmpty():
-        return out.select(COLUMNS)
-    order = F.struct("remnant", F.col("doc_id").isNull().alias("missing"), "doc_id", "row")
-    found = simhash_vptree.attach_components(out.select(order.alias("doc_id"), "fp"), F.col("doc_id"))
-    gone = found.where("doc_id.remnant AND doc_id != component_id").select("doc_id.row")
-    return out.join(gone, "row", "left_anti").select(COLUMNS)
+    marked = docs.select(*COLUMNS, words(F.col("text")).alias("n_words"))
+    out = line_runs.dedup_lines(marked, runs_col="runs")
+    touched, left = F.size("runs") > 0, words(F.col("text"))
+    remnant = touched & (left < MIN_WORDS) & (4 * left < F.col("n_words"))
+    return out.where(~remnant).select("doc_id", "text", "lang", "source", F.when(touched, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
