@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from loamspark.functions.metadata import document_metadata
 from loamspark.functions.quality import clean_section_path, is_bad_table, table_confidence
 from loamspark.functions.text import STRINGS, compact, empty_to_null, let, sentences, strip
+from loamspark.operators.ordered import per_document
 from loamspark.schemas import CHUNKS, DOCUMENTS, conform
 from loamspark.session import materialized
 
@@ -170,14 +170,11 @@ def merge_short(rows: DataFrame, short: int = 50, limit: int = 1800) -> DataFram
 
     Each decision changes the next, so a document's rows are folded in order.
     """
-    schema = rows.schema
-    names = schema.fieldNames()
+    scope = lambda r: (r["section_path"], r["page_number"], r["source_uri"])
+    joins = lambda a, b: a["block_type"] == "text" == b["block_type"] and scope(a) == scope(b) and len(a["content"]) + len(b["content"]) <= limit
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        queue = frame.sort_values("seq", kind="stable").astype(object).where(lambda f: f.notna(), None).to_dict("records")
+    def fold(queue: list[dict]) -> list[dict]:
         done: list[dict] = []
-        scope = lambda r: (None if r["section_path"] is None else tuple(r["section_path"]), r["page_number"], r["source_uri"])
-        joins = lambda a, b: a["block_type"] == "text" == b["block_type"] and scope(a) == scope(b) and len(a["content"]) + len(b["content"]) <= limit
         for i, row in enumerate(queue):
             if row["block_type"] == "text" and len(row["content"]) < short:
                 if done and joins(done[-1], row):
@@ -192,9 +189,9 @@ def merge_short(rows: DataFrame, short: int = 50, limit: int = 1800) -> DataFram
                         after[start] = row[start] or after[start]
                     continue
             done.append(row)
-        return pd.DataFrame(done, columns=names)
+        return done
 
-    return rows.groupBy("document_id").applyInPandas(fold, schema)
+    return per_document(rows, fold, rows.schema, "seq")
 
 
 def normal_content(text: Column, code: Column) -> Column:

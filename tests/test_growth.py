@@ -1,9 +1,11 @@
 """Steps whose cost must grow no faster than their input, held against plain results."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loamspark.functions import pdf_rules as rules
-from loamspark.operators import pdf
+from loamspark.operators import chunking, ordered, pdf
+from loamspark.operators.blocks import line_blocks
 
 
 def plan(df) -> str:
@@ -22,3 +24,15 @@ def test_paths_of_contents_are_windows(spark):
             path = pdf.below(path, r["level"], r["title"]) if path else [r["title"]]
             assert r["path"] == path
     assert entries.count() == 10
+
+
+def test_documents_share_batches(spark):
+    schema = pa.schema([("x", pa.int64())])
+    assert [b.num_rows for b in ordered.batched(({"x": i} for i in range(ordered.BATCH_ROWS + 1)), schema)] == [ordered.BATCH_ROWS, 1]
+    texts = spark.range(3000).select(F.col("id").cast("string").alias("document_id"), F.lit("f").alias("filename"), F.lit("u").alias("source_uri"), F.lit("text").alias("role"), F.when(F.col("id") % 3 > 0, F.lit("a\n\nb")).alias("text"))
+    blocks = line_blocks(texts)
+    assert "MapInPandas" not in plan(blocks) and blocks.count() == 2000
+    rows = blocks.withColumns({"block_type": F.col("role"), "content": F.col("text")})
+    merged = chunking.merge_short(rows)
+    assert "FlatMapGroups" not in plan(merged)
+    assert merged.count() == 2000 and merged.where("content = 'a\n\nb'").count() == 2000
