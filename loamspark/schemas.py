@@ -39,10 +39,6 @@ def names(ddl: str) -> list[str]:
     return [part.split()[0].strip("`") for part in ddl.split(", ")]
 
 
-def integers(ddl: str) -> list[str]:
-    return [part.split()[0] for part in ddl.split(", ") if part.split()[1].upper() == "INT"]
-
-
 def struct(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
 

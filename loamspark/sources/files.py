@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamspark.operators.blocks import Block, as_frame, block_rows, blocks_of_lines, blocks_of_paragraphs, is_title, tidy
+from loamspark.operators.blocks import Block, block_rows, blocks_of_lines, blocks_of_paragraphs, is_title, tidy
+from loamspark.operators.ordered import per_row
 from loamspark.schemas import BLOCKS, names
 from loamspark.sources.html import cut_page_end
 
@@ -187,18 +188,14 @@ def extracted_files(files: DataFrame) -> DataFrame:
 def blocks_of_files(files: DataFrame) -> DataFrame:
     """Block table of files; those that cannot be read give nothing."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for r in frame.itertuples(index=False):
-                try:
-                    rows += block_rows(r.document_id, file_blocks(r.kind, r.filename, bytes(r.content))[2])
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
-                    continue
-            yield as_frame(rows)
+    def made(r: dict) -> list[dict]:
+        try:
+            return block_rows(r["document_id"], file_blocks(r["kind"], r["filename"], bytes(r["content"]))[2])
+        except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+            return []
 
     named = files.where("kind is not null and kind <> 'pdf'").select(F.sha2("path", 256).alias("document_id"), "filename", "kind", "content")
-    return named.mapInPandas(run, BLOCKS)
+    return per_row(named, made, BLOCKS)
 
 
 def file_documents(files: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from loamspark.functions import pdf_rules as rules
 from loamspark.operators import chunking, ordered, pdf
 from loamspark.operators.blocks import line_blocks
+from loamspark.sources import html
 
 
 def plan(df) -> str:
@@ -36,3 +37,12 @@ def test_documents_share_batches(spark):
     merged = chunking.merge_short(rows)
     assert "FlatMapGroups" not in plan(merged)
     assert merged.count() == 2000 and merged.where("content = 'a\n\nb'").count() == 2000
+
+
+def test_pages_are_read_a_few_at_a_time(spark):
+    pages = spark.createDataFrame([(1, None, None), (2, "http://h/b", "<title>t</title><main>x<h2>H</h2>y</main>")], "page_id long, url string, html string")
+    got = html.extracted_pages(pages)
+    assert "MapInPandas" not in plan(got) and "MapInPandas" not in plan(html.page_blocks(got))
+    assert [(r["document_id"], r["source_uri"]) for r in html.page_blocks(got).collect()][-1] == ("2", "http://h/b#h")
+    batch = pa.RecordBatch.from_pylist([{"x": i} for i in range(ordered.READ_ROWS * 2 + 1)])
+    assert len(list(ordered.records([batch]))) == batch.num_rows
