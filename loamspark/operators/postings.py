@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loamspark.operators import ranking
-from loamspark.session import materialized
+from loamspark.session import materialized, sent_whole
 
 #: Chunks that share a block number, on average.
 BLOCK_CHUNKS = 512
@@ -53,7 +53,8 @@ class BlockIndex:
 
     def narrowed(self, asked: DataFrame) -> BlockIndex:
         """The blocks of asked tokens, read once and kept."""
-        return replace(self, blocks=materialized(self.blocks.join(asked.select("token").distinct(), "token", "left_semi")))
+        tokens = materialized(asked.select("token").distinct())
+        return replace(self, blocks=materialized(self.blocks.join(sent_whole(tokens)(tokens), "token", "left_semi")))
 
     def write(self, path: str, mode: str = "overwrite") -> None:
         """Blocks dealt and sorted by token, so that a scan prunes row groups."""
@@ -89,14 +90,15 @@ def pruned_topk(asked: DataFrame, index: BlockIndex, k: int | Column, within: Ca
     the scope.
     """
     asked = materialized(asked.withColumn("k", F.lit(k) if isinstance(k, int) else k).where("df > 0"))
-    blocks = index.blocks.join(asked.select("token").distinct(), "token", "left_semi").withColumnRenamed("n", "size")
+    sent = sent_whole(asked)  # tables below with a row for each asked token, so that blocks stay where they are read
+    blocks = index.blocks.join(sent(asked.select("token").distinct()), "token", "left_semi").withColumnRenamed("n", "size")
     heads = blocks.select("token", "block", "size", "max_tf", "min_dl")
     # What one token can add at most, over all of its blocks.
-    bounds = heads.join(asked, "token").groupBy(*asked.columns).agg(F.max(_weight("max_tf", "min_dl")).alias("most"), F.sum("size").alias("listed"))
+    bounds = heads.join(sent(asked), "token").groupBy(*asked.columns).agg(F.max(_weight("max_tf", "min_dl")).alias("most"), F.sum("size").alias("listed"))
 
     rare = W.partitionBy("question_id").orderBy("listed", "token")
     seeded = bounds.withColumn("before", F.coalesce(F.sum("listed").over(rare.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).where(F.col("before") < seeds * F.col("k"))
-    first = _opened(blocks.join(seeded, "token"), within).groupBy("question_id", "chunk_id", "k").agg(F.sum("weight").alias("score"))
+    first = _opened(blocks.join(sent(seeded), "token"), within).groupBy("question_id", "chunk_id", "k").agg(F.sum("weight").alias("score"))
     best = W.partitionBy("question_id").orderBy(F.desc("score"))
     floor = first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == F.col("k")).select("question_id", (F.col("score") - MARGIN).alias("floor"))
 
@@ -108,13 +110,13 @@ def pruned_topk(asked: DataFrame, index: BlockIndex, k: int | Column, within: Ca
         .withColumn("rest", F.coalesce(F.max(F.when(F.col("common"), F.col("upto"))).over(W.partitionBy("question_id")), F.lit(0.0)))
     )
     # A block is opened where its own bound with those of all other tokens reaches the threshold.
-    leading = blocks.join(parted.where("not common"), "token").where(_weight("max_tf", "min_dl") + F.col("all") - F.col("most") >= F.col("floor"))
+    leading = blocks.join(sent(parted.where("not common")), "token").where(_weight("max_tf", "min_dl") + F.col("all") - F.col("most") >= F.col("floor"))
     some = _opened(leading, within).groupBy("question_id", "chunk_id").agg(F.sum("weight").alias("weight"))
     limits = parted.groupBy("question_id").agg(F.first("rest").alias("rest"), F.first("floor").alias("floor"), F.first("k").alias("k"))
     left = materialized(some.join(limits, "question_id").where(F.col("weight") + F.col("rest") >= F.col("floor")).select("question_id", "chunk_id", "weight", "k"))
 
     looked = left.select("question_id", "chunk_id", _block(F.col("chunk_id"), index.n_blocks).alias("block"))
-    wanted = looked.join(parted.where("common").drop("k"), "question_id")
+    wanted = looked.join(sent(parted.where("common").drop("k")), "question_id")
     read = blocks.join(wanted.select("token", "block").distinct(), ["token", "block"], "left_semi").select("token", F.explode("entries").alias("e")).select("token", "e.*")
     added = read.join(wanted, ["token", "chunk_id"]).select("question_id", "chunk_id", _weight("tf", "dl").alias("weight"))
     total = left.select("question_id", "chunk_id", "weight").unionByName(added).groupBy("question_id", "chunk_id").agg(F.round(F.sum("weight"), ranking.DIGITS).alias("score"))
