@@ -19,7 +19,7 @@ from loamspark.operators.intent import analyzed
 from loamspark.operators.postings import BlockIndex, pruned_topk
 from loamspark.operators.ranking import CODE_TYPES
 from loamspark.operators.scoping import Scope, Symbols, is_code_chunk, named_documents, question_scope
-from loamspark.session import materialized
+from loamspark.session import materialized, sent_whole
 
 CITATION = (
     "document_id", "document_title", "chunk_index", "block_id", "block_type", "symbol_name", "doc_type", "chip_family", "section_path",
@@ -118,10 +118,15 @@ def candidates(questions: DataFrame, chunks: DataFrame, vectors: DataFrame | Non
         own = "vector" in questions.columns
         embedded = questions.select("question_id", "vector") if own else with_hash_provider(questions.select("question_id", "query"), F.col("query"), settings.dimension, "vector").drop("query")
         semantic = vector_leg(embedded, chosen, scope, limits)
-    fused = ranking.fuse(lexical, semantic, settings.bm25_weight, settings.vector_weight)
-    full = fused.join(chunks, fused["chunk_id"] == chunks["id"]).join(questions.select("question_id", "question", "intent"), "question_id")
-    full = full.withColumns({"__low": lowered(F.col("question"), True), "__text": lowered(weighted_text(), True), "__title": lowered(F.coalesce("document_title", F.lit("")), True)})
-    heuristic = ranking.adjustment(F.col("question"), F.col("intent"), F.col("__low"), F.col("__text"), F.col("__title"))
+    fused = materialized(ranking.fuse(lexical, semantic, settings.bm25_weight, settings.vector_weight))
+    # What the rules look for is found once for each candidate chunk, and once for each question.
+    once = chunks.join(fused.select(F.col("chunk_id").alias("id")).distinct(), "id", "left_semi").withColumnRenamed("id", "chunk_id")
+    once = once.withColumns({"__text": lowered(weighted_text(), True), "__title": lowered(F.coalesce("document_title", F.lit("")), True)})
+    said = materialized(once.select(*[c for c in once.columns if c not in ("content", "context_before", "context_after")], ranking.sought("text", F.col("__text")).alias("__said"), ranking.sought("title", F.col("__title")).alias("__titled")))
+    folded = questions.select("question_id", "question", "intent").withColumn("__low", lowered(F.col("question"), True))
+    asking = materialized(folded.withColumn("__asked", ranking.sought("asked", F.col("question"), F.col("__low"))))
+    full = fused.join(said, "chunk_id").join(sent_whole(asking)(asking), "question_id")
+    heuristic = ranking.adjustment(F.col("intent"), F.col("__asked"), F.col("__text"), F.col("__said"), F.col("__titled"))
     total = F.round(F.col("score") + heuristic, ranking.DIGITS)
     return full.select("question_id", "chunk_id", "bm25", "vector", total.alias("score")).where("score > 0")
 

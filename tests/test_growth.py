@@ -3,8 +3,9 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from loamspark import session
 from loamspark.functions import pdf_rules as rules
-from loamspark.operators import chunking, ordered, pdf
+from loamspark.operators import chunking, ordered, pdf, ranking
 from loamspark.operators.blocks import line_blocks
 from loamspark.sources import html
 
@@ -46,3 +47,20 @@ def test_pages_are_read_a_few_at_a_time(spark):
     assert [(r["document_id"], r["source_uri"]) for r in html.page_blocks(got).collect()][-1] == ("2", "http://h/b#h")
     batch = pa.RecordBatch.from_pylist([{"x": i} for i in range(ordered.READ_ROWS * 2 + 1)])
     assert len(list(ordered.records([batch]))) == batch.num_rows
+
+
+def test_terms_are_sought_once(spark):
+    """What a rule looks for is a flag of the chunk or of the question, so pairs run no patterns."""
+    rows = spark.createDataFrame([("ble only with nimble", "datasheet overview"), ("plain", None)], "t string, title string")
+    said = rows.select(ranking.sought("text", F.col("t")).alias("s"), ranking.sought("title", F.col("title")).alias("n")).collect()
+    at = ranking.SOUGHT["text"].index(("nimble",))
+    assert [r["s"][at] for r in said] == [True, False]
+    assert [list(r["n"])[:2] for r in said] == [[True, True], [False, False]]
+
+
+def test_questions_are_sent_whole_while_they_are_few(spark, monkeypatch):
+    few = spark.range(3)
+    joined = lambda mark: spark.range(9).join(mark(few), "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in joined(session.sent_whole(few))
+    monkeypatch.setattr(session, "SENT_ROWS", 2)
+    assert "strategy=broadcast" not in joined(session.sent_whole(few))
