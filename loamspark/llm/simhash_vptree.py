@@ -47,6 +47,8 @@ SEED = 42
 HALF_RADIUS = RADIUS // 2
 #: Points of a leaf that are compared with each other.
 SMALL_LEAF = 48
+#: Rows by which a vantage point is chosen, where a node has more.
+SPLIT_ROWS = 1024
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
 
@@ -117,9 +119,9 @@ class VantageTree:
     def _best_split(rows: np.ndarray, rng: np.random.Generator) -> tuple[np.uint32, int, np.ndarray] | None:
         """The vantage point and threshold with the least overlap for the balance gained."""
         best, found = 0.75, None  # a split must tell apart more than it repeats
+        some = rows if len(rows) <= SPLIT_ROWS else rows[rng.integers(0, len(rows), SPLIT_ROWS)]  # a split only decides how rows are dealt
         for point in rows[rng.integers(0, len(rows), 12)]:
-            d = np.bitwise_count(rows ^ point).astype(np.int64)
-            share = np.bincount(d, minlength=34) / len(rows)
+            share = np.bincount(np.bitwise_count(some ^ point), minlength=34) / len(some)
             below = np.cumsum(share)
             for limit in range(33):
                 p = below[limit]
@@ -127,8 +129,8 @@ class VantageTree:
                     both = share[max(0, limit - HALF_RADIUS + 1) : limit + HALF_RADIUS + 1].sum()
                     cost = np.log2(1 + both) / -(p * np.log2(p) + (1 - p) * np.log2(1 - p))
                     if cost < best:
-                        best, found = cost, (point, limit, d)
-        return found
+                        best, found = cost, (point, limit)
+        return found and (*found, np.bitwise_count(rows ^ found[0]).astype(np.int64))
 
     def route(self, halves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers and leaves: each row with every leaf that its ball reaches."""
@@ -149,12 +151,13 @@ class VantageTree:
         return np.concatenate(out_rows), np.concatenate(out_leaves)
 
 
-def local_classes(points: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+def local_classes(points: np.ndarray, radius: int = RADIUS, halves_: tuple[int, ...] = (0, 1)) -> tuple[np.ndarray, np.ndarray]:
     """Stars of the linked classes among distinct points: (member, smallest member) without the centres.
 
     The points' own vantage-point trees, one over each half, deal them on to small leaves,
     each point to every leaf its ball reaches; points of one leaf are compared at every
-    offset. A leaf that no vantage point splits (a dense ball) is searched breadth-first
+    offset. A leaf of a whole tree needs only the half of its tree: links that are near in
+    the other half alone meet in the other tree's leaves. A leaf that no vantage point splits (a dense ball) is searched breadth-first
     against what has not been reached yet, so it costs little more than its size.
     """
     points = np.unique(points.astype(np.uint64))
@@ -177,7 +180,7 @@ def local_classes(points: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray,
             parent[at] = up
             at = up
 
-    for h in (0, 1) if n > 1 else ():
+    for h in halves_ if n > 1 else ():
         halves = (points >> np.uint64(32 * h)).astype(np.uint32)
         rows, leaf = VantageTree.fit(halves, SMALL_LEAF).route(halves)
         order = rows[np.argsort(leaf, kind="stable")]
@@ -233,7 +236,8 @@ def link_stars(distinct: DataFrame, sample: int = 65_536, leaf_rows: int = 4096)
                     yield pa.RecordBatch.from_arrays([pa.array(leaves * 2 + h), pa.array(fps[lo + rows])], names=["leaf", "fp"])
 
     def links(leaf: pa.Table) -> pa.Table:
-        members, centres = local_classes(leaf.column("fp").to_numpy().view(np.uint64))
+        half = leaf.column("leaf")[0].as_py() % 2
+        members, centres = local_classes(leaf.column("fp").to_numpy().view(np.uint64), halves_=(half,))
         return pa.table({"a": members.view(np.int64), "b": centres.view(np.int64)})
 
     return distinct.select("fp").mapInArrow(deal, "leaf long, fp long").groupBy("leaf").applyInArrow(links, "a long, b long")

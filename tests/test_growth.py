@@ -1,9 +1,11 @@
 """Steps whose cost must grow no faster than their input, held against plain results."""
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loamspark import session
+from loamspark.llm import simhash_vptree
 from loamspark.functions import pdf_rules as rules
 from loamspark.operators import chunking, ordered, pdf, ranking
 from loamspark.operators.blocks import line_blocks
@@ -64,3 +66,21 @@ def test_questions_are_sent_whole_while_they_are_few(spark, monkeypatch):
     assert "strategy=broadcast" in joined(session.sent_whole(few))
     monkeypatch.setattr(session, "SENT_ROWS", 2)
     assert "strategy=broadcast" not in joined(session.sent_whole(few))
+
+
+def test_a_leaf_is_searched_by_its_own_half():
+    """Links near in one half are found by it alone; those of both halves together are all links."""
+    rng = np.random.default_rng(5)
+    points = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    near = points
+    for _ in range(3):
+        near = near ^ (np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64))
+    points = np.unique(np.concatenate([points, near]))
+    linked = np.bitwise_count(points[:, None] ^ points[None, :]) <= 3
+    for half in (0, 1):
+        found = dict(zip(*map(list, simhash_vptree.local_classes(points, halves_=(half,))), strict=True))
+        shift = np.uint64(32 * half)
+        close = np.bitwise_count(((points[:, None] ^ points[None, :]) >> shift).astype(np.uint32)) <= 1
+        for i, j in zip(*np.nonzero(linked & close), strict=True):
+            assert found.get(points[i], points[i]) == found.get(points[j], points[j])
+        assert all(any(linked[i] & (points != p)) for i, p in enumerate(points) if p in found)
