@@ -84,3 +84,15 @@ def test_a_leaf_is_searched_by_its_own_half():
         for i, j in zip(*np.nonzero(linked & close), strict=True):
             assert found.get(points[i], points[i]) == found.get(points[j], points[j])
         assert all(any(linked[i] & (points != p)) for i, p in enumerate(points) if p in found)
+
+
+def test_a_title_meets_one_entry_of_a_page(spark):
+    """Entries are cut to one for each page and key before titles meet them, so equal keys make no pairs."""
+    titles = spark.createDataFrame([("d", p, f"表 1-1 t{p}") for p in range(6)] + [("d", 2, "表 9.9 none"), ("e", 1, "no number")], "document_id string, page_number int, title string")
+    listed = spark.createDataFrame([("d", 9, "表1-1. late", 2, "table"), ("d", 3, "表1-1. here", 2, "table"), ("d", 1, "表1.1. before", 4, "table"), ("d", 0, "1.1 x", 2, "section")], "document_id string, seq int, title string, target_page int, kind string")
+    got = pdf.canonical_titles(titles, listed)
+    assert plan(got).count("Join") == 1
+    assert {(r["page_number"], r["title"]): r["canonical"] for r in got.collect()} == {
+        (0, "表 1-1 t0"): "表1-1. t0", (1, "表 1-1 t1"): "表1-1. here", (2, "表 1-1 t2"): "表1-1. here", (3, "表 1-1 t3"): "表1-1. here", (4, "表 1-1 t4"): "表1.1. before",
+        (5, "表 1-1 t5"): "表1.1. before", (2, "表 9.9 none"): "表9.9. none", (1, "no number"): "no number",
+    }
