@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loamspark import session
 from loamspark.llm import simhash_vptree
 from loamspark.functions import pdf_rules as rules
+from loamspark.functions import text as X
 from loamspark.operators import chunking, ordered, pdf, ranking
 from loamspark.operators.blocks import line_blocks
 from loamspark.sources import html
@@ -96,3 +97,25 @@ def test_a_title_meets_one_entry_of_a_page(spark):
         (0, "表 1-1 t0"): "表1-1. t0", (1, "表 1-1 t1"): "表1-1. here", (2, "表 1-1 t2"): "表1-1. here", (3, "表 1-1 t3"): "表1-1. here", (4, "表 1-1 t4"): "表1.1. before",
         (5, "表 1-1 t5"): "表1.1. before", (2, "表 9.9 none"): "表9.9. none", (1, "no number"): "no number",
     }
+
+
+def test_patterns_run_only_where_they_may_match(spark):
+    """What a sign needs is tested first and changes nothing."""
+    texts = [None, "", "plain text", "乐鑫信息科技 4 esp32 技术参考手册 v1.0", "Espressif Systems 12", "esp32-C3 TRM (Version 1)", "chapter 3 Radio", "x Submit Documentation Feedback", "a GoBack", "7 汽车 a", "绪 论 3 b", "a 乐鑫信息科技 1 ESP32 v2 b"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for sign in rules.NEEDED:
+        pattern = "(?U)" + "|".join(f"(?:{p})" for p in rules.SIGNS[sign])
+        plain = F.col("t")
+        for p in rules.SIGNS[sign]:
+            plain = F.regexp_replace(plain, f"(?U){p}", "-")
+        got = rows.select(rules.says(F.col("t"), sign).alias("a"), F.col("t").rlike(pattern).alias("b"), rules.cut(F.col("t"), sign, "-").alias("c"), plain.alias("d")).collect()
+        assert [r["a"] for r in got] == [r["b"] for r in got] and [r["c"] for r in got] == [r["d"] for r in got]
+        assert any(r["a"] for r in got)
+
+
+def test_white_space_is_matched_where_it_changes(spark):
+    texts = ["a b", " a  b ", "a\tb", "a \t b\n", "\u3000a\xa0b\x85 c", "a\n \nb", "\x1ca b"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.regexp_replace(F.regexp_replace("t", r"(?U)\s+", " "), r"(?U)^\s+|\s+$", "")
+    assert all(r[0] == r[1] for r in rows.select(X.compact(F.col("t")), plain).collect())
+    assert rows.where(F.col("t") == "a b").select(F.size(F.regexp_extract_all("t", F.lit(X.SPACES), 0))).first()[0] == 0
