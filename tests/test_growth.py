@@ -119,3 +119,11 @@ def test_white_space_is_matched_where_it_changes(spark):
     plain = F.regexp_replace(F.regexp_replace("t", r"(?U)\s+", " "), r"(?U)^\s+|\s+$", "")
     assert all(r[0] == r[1] for r in rows.select(X.compact(F.col("t")), plain).collect())
     assert rows.where(F.col("t") == "a b").select(F.size(F.regexp_extract_all("t", F.lit(X.SPACES), 0))).first()[0] == 0
+
+
+def test_margins_are_found_without_a_row_for_each_line(spark):
+    pages = spark.createDataFrame([("d", p, ["Head", f"line {p}", "x", " y  z ", "more", f"第 {p} 页"]) for p in range(1, 5)] + [("e", 1, [])], "document_id string, page_number int, lines array<string>")
+    left = pdf.without_margins(pages)
+    assert plan(left).count("Generate") == 1 and "posexplode" not in plan(left)
+    got = {(r["document_id"], r["page_number"]): r["lines"] for r in left.collect()}
+    assert got == {("e", 1): []} | {("d", p): ["x", "y z"] for p in range(1, 5)}
