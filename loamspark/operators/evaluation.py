@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -24,23 +25,24 @@ from loamspark.functions.quality import (
 from loamspark.functions.text import STRINGS, compact, folded, let, one_line
 
 
-def judged(results: DataFrame, expected: DataFrame, top: int = 5) -> DataFrame:
+def judged(results: DataFrame, expected: DataFrame, top: int = 5, named: Callable[[Column], Column] = folded, said: Callable[[Column], Column] = folded) -> DataFrame:
     """Per question: hits at 1, 3 and 5, reciprocal rank, share of terms found.
 
     results: question_id, rank, document_title, content; expected: question_id,
     expected_documents, expected_terms. Questions without results count as misses.
+    ``named`` folds titles and terms before they are compared, ``said`` the joined contents.
     """
-    wanted = expected.select("question_id", F.transform("expected_documents", folded).alias("titles"), F.coalesce("expected_terms", F.array().cast(STRINGS)).alias("terms"))
+    wanted = expected.select("question_id", F.transform("expected_documents", named).alias("titles"), F.coalesce("expected_terms", F.array().cast(STRINGS)).alias("terms"))
     joined = wanted.join(results, "question_id", "left")
-    hit = F.array_contains("titles", folded(F.col("document_title")))
+    hit = F.array_contains("titles", named(F.col("document_title")))
     row = F.when((F.col("rank") <= top) & F.col("content").isNotNull(), F.struct("rank", "content"))
     per = joined.groupBy("question_id").agg(
         F.min(F.when(hit, F.col("rank"))).alias("first_hit"),
         F.first("terms").alias("terms"),
         F.array_sort(F.collect_list(row)).alias("rows"),
     )
-    text = folded(F.array_join(F.transform("rows", lambda r: r["content"]), "\n"))
-    found = F.size(F.filter("terms", lambda t: F.contains(text, folded(t))))
+    text = said(F.array_join(F.transform("rows", lambda r: r["content"]), "\n"))
+    found = F.size(F.filter("terms", lambda t: F.contains(text, named(t))))
     at = lambda k: F.coalesce(F.col("first_hit") <= k, F.lit(False)).alias(f"hit_at_{k}")
     return per.select(
         "question_id", at(1), at(3), at(5), F.coalesce(1.0 / F.col("first_hit"), F.lit(0.0)).alias("reciprocal_rank"), F.coalesce(F.try_divide(found, F.size("terms")), F.lit(0.0)).alias("term_coverage")

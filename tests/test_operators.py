@@ -469,3 +469,19 @@ def test_replay_after_a_failure_at_each_write(spark, tmp_path, monkeypatch):
         documents, chunks, vectors = (store.scan(t) for t in ("documents", "chunks", "vectors"))
         assert documents.count() == 4 and sorted(r[0] for r in documents.select("source_url").distinct().collect() if r[0]) == ["http://a", "http://b"]
         assert chunks.count() == chunks.select("id").distinct().count() == vectors.count() == vectors.select("chunk_id").distinct().count() == 4
+
+
+def test_retrieval_eval_compares_terms_as_its_sql(spark, tmp_path):
+    """Terms that hold a line end, which the folded contents do not."""
+    from loamspark.plans import retrieval
+    from tests.oracle_check import compare, connect
+
+    texts = ["alpha\nbeta gamma delta", "epsilon zeta\teta theta", "Iota kappa lambda mu"]
+    spark.createDataFrame([(i, f"{t} and the rest", "en", f"Src{i}") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = retrieval.retrieval_eval(spark, str(tmp_path)).toPandas()
+    assert got["term_coverage_at_5"][0] == round((2 / 3 + 2 / 3 + 1) / 3, 6)
+    con = connect("/root/testdata/sf0.001")
+    for name in ("documents", "benchmark"):
+        con.execute(f"create or replace view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    assert compare(got, con.execute(retrieval.RETRIEVAL_EVAL).df()) == ""
