@@ -8,7 +8,7 @@ from loamspark import session
 from loamspark.llm import simhash_vptree
 from loamspark.functions import pdf_rules as rules
 from loamspark.functions import text as X
-from loamspark.operators import chunking, ordered, pdf, ranking
+from loamspark.operators import chunking, counted, ordered, pdf, ranking
 from loamspark.operators.blocks import line_blocks
 from loamspark.sources import html
 
@@ -127,3 +127,27 @@ def test_margins_are_found_without_a_row_for_each_line(spark):
     assert plan(left).count("Generate") == 1 and "posexplode" not in plan(left)
     got = {(r["document_id"], r["page_number"]): r["lines"] for r in left.collect()}
     assert got == {("e", 1): []} | {("d", p): ["x", "y z"] for p in range(1, 5)}
+
+
+TEXTS = (
+    "Running tests passed boxes is A/B® ble", None, "", "...", "the the host api 蓝牙 主机栈 x", "Blue tooth LE scans\nİs K", "ring ring rings ble-only", "低功耗蓝牙特征值 wi-fi", "the the host api 蓝牙 主机栈 x",
+    "bluetooth low energy guides", "programming guide GAP Spp", "no term here", "a\u00a0b\u2028c the", "rolling  resistance coefficient",
+)
+
+
+def test_a_search_moves_only_what_can_be_among_the_best(spark, monkeypatch):
+    """One pass over texts equals the joins of postings, ties, slices and blocks of questions included."""
+    monkeypatch.setattr(counted, "TEXTS", 3)
+    docs = spark.createDataFrame([(100 - i, t) for i, t in enumerate(TEXTS * 3)], "id long, t string").coalesce(2)
+    filled = docs.withColumn("t", F.coalesce("t", F.lit("")))
+    questions = spark.createDataFrame([(7, "the host the tests"), (3, "BLE scan of 蓝牙"), (5, ""), (9, "zzz"), (4, "guide a b ring")], "question_id int, question string")
+    for groups, tokens in (((), X.latin_tokens), (X.TERM_GROUPS, X.tokenize)):
+        asked = ranking.question_tokens(questions, tokens(F.col("question")))
+        index = ranking.build_index(filled, "id", tokens(F.col("t")))
+        rows = lambda df: sorted((r["question_id"], r["chunk_id"], round(r["score"], 6), r["rank"]) for r in df.collect())
+        lexical, shared = counted.search(asked, docs, "id", F.col("t"), 4, groups, block=2)
+        assert rows(lexical) == rows(ranking.top_k(ranking.bm25(asked, index), 4))
+        joined = index.postings.join(asked, "token").groupBy("question_id", "chunk_id").agg(F.count("*").cast("double").alias("score"))
+        assert rows(shared) == rows(ranking.top_k(joined, 4)) and rows(shared)
+        assert "postings" not in lexical.columns and "Join" not in plan(lexical)
+    assert counted.search(asked.limit(0), docs, "id", F.col("t"), 4)[0].count() == 0
