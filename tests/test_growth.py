@@ -135,6 +135,19 @@ TEXTS = (
 )
 
 
+def test_words_are_counted_where_texts_are_read(spark, monkeypatch):
+    """Postings need no shuffle and equal those of single words, rows that share an id too."""
+    monkeypatch.setattr(counted, "TEXTS", 3)
+    for ids in (range(len(TEXTS)), (None, None, 1, 1, *range(2, len(TEXTS) - 2))):
+        docs = spark.createDataFrame(list(zip(ids, TEXTS, strict=True)), "id long, t string").coalesce(1)
+        got = ranking.build_latin_index(docs, "id", F.col("t")).postings
+        plain = ranking.build_index(docs, "id", X.latin_tokens(F.col("t"))).postings
+        assert sorted(map(str, got.select("token", "chunk_id", "tf").collect())) == sorted(map(str, plain.select("token", "chunk_id", "tf").collect()))
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "id long, t string")
+    executed = ranking.build_latin_index(docs, "id", F.col("t")).postings._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in executed and "Generate" not in executed
+
+
 def test_a_search_moves_only_what_can_be_among_the_best(spark, monkeypatch):
     """One pass over texts equals the joins of postings, ties, slices and blocks of questions included."""
     monkeypatch.setattr(counted, "TEXTS", 3)
