@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loamspark.functions.metadata import lookup, lookup_variants
-from loamspark.functions.text import contains_any
+from loamspark.functions.text import STRINGS, contains_any
 from loamspark.operators.intent import SCOPE_BLUETOOTH
 from loamspark.operators.ranking import CODE_TYPES
-from loamspark.session import materialized
+from loamspark.session import materialized, sent_whole
 
 #: Words that a hint can lie inside, in folded text.
-HINT_WORD = "[a-z0-9_]{3,}"
+HINT_WORD, HINT_WORD_END = "[a-z0-9_]{3,}", "[^a-z0-9_]+"
+#: Fixed value: shorter names of documents are not looked for. Heads that are searched for hints at a time.
+LEAST_NAME, HEADS = 6, 2048
 LOW_SIGNAL = ("catalog", "product_catalog")
 #: Text that marks a chunk as code.
 CODE_TEXT = ("app_main", "cmakelists", "kconfig", "sdkconfig", "idf_component_register", "#include", "void ", "static ", "def ", "class ")
@@ -44,15 +50,16 @@ def matches_hint(hints: Column, c=F.col) -> Column:
 def named_documents(questions: DataFrame, documents: DataFrame) -> DataFrame:
     """(question_id, document_id): documents of which a name of six characters or more occurs in the question.
 
-    The question set is the stated small side of this theta join, so it is broadcast where
-    Spark finds it small enough; variants of a document are tried in one pass.
+    A name is looked up by its first six characters among all runs of six in the questions, the
+    stated small side, so that it meets only questions that hold those.
     """
-    names = documents.select(
-        F.col("id").alias("document_id"),
-        F.filter(lookup_variants(F.col("title"), F.col("filename"), F.col("source_path")), lambda v: F.length(v) >= 6).alias("names"),
-    )
-    asked = questions.select("question_id", lookup(F.col("question")).alias("folded"))
-    return names.join(asked, F.exists("names", lambda v: F.contains(F.col("folded"), v))).select("question_id", "document_id")
+    variants = lookup_variants(F.col("title"), F.col("filename"), F.col("source_path"))
+    names = documents.select(F.col("id").alias("document_id"), F.explode(F.filter(variants, lambda v: F.length(v) >= LEAST_NAME)).alias("name"))
+    asked = questions.select("question_id", lookup(F.col("question")).alias("folded")).where(F.length("folded") >= LEAST_NAME)
+    runs = F.transform(F.sequence(F.lit(1), F.length("folded") - LEAST_NAME + 1), lambda i: F.substring(F.col("folded"), i, F.lit(LEAST_NAME)))
+    begun = materialized(asked.select("question_id", F.explode(F.array_distinct(runs)).alias("run")))
+    met = names.join(sent_whole(begun)(begun), F.substring("name", 1, LEAST_NAME) == F.col("run")).join(sent_whole(asked)(asked), "question_id")
+    return met.where(F.contains("folded", "name")).select("question_id", "document_id").distinct()
 
 
 def keep_if_any(pairs: DataFrame, predicate: Column, key: str = "question_id") -> DataFrame:
@@ -75,6 +82,36 @@ def cascade(presence: Column, flags: int, used: list[Column]) -> Column:
     return kept
 
 
+def with_hints(heads: DataFrame, hints: list[str]) -> DataFrame:
+    """``heads`` (id, document_id, profile, head) with ``held`` in place of the head: those of the hints that lie inside a word of it.
+
+    Hints are looked for in the distinct words of many heads, and no row is made for a word.
+    """
+    if not hints:
+        return heads.select("id", "document_id", "profile", F.array().cast(STRINGS).alias("held"))
+    schema = T.StructType([*heads.select("id", "document_id", "profile").schema.fields, T.StructField("held", T.ArrayType(T.StringType()))])
+    sought = pa.array(hints, pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(start, HEADS) for b in batches for start in range(0, b.num_rows, HEADS)):
+            split = pc.split_pattern_regex(batch.column(3), pattern=HINT_WORD_END)
+            rows, coded = pc.list_parent_indices(split).to_numpy().astype(np.int64), split.flatten().dictionary_encode()
+            codes = coded.indices.to_numpy()
+            inside = [np.flatnonzero(pc.match_substring(coded.dictionary, h).to_numpy(zero_copy_only=False)) for h in hints]
+            of = np.repeat(np.arange(len(hints)), [len(w) for w in inside])
+            words = np.concatenate(inside)
+            of = of[np.argsort(words, kind="stable")]  # hints, word by word
+            each = np.bincount(words, minlength=len(coded.dictionary))
+            first, n = (np.cumsum(each) - each)[codes], each[codes]
+            at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            keys = np.unique(np.repeat(rows, n) * len(hints) + of[at])
+            ends = pa.array(np.searchsorted(keys // len(hints), np.arange(batch.num_rows + 1)), pa.int32())
+            held = pa.ListArray.from_arrays(ends, sought.take(pa.array(keys % len(hints))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], held], names=["id", "document_id", "profile", "held"])
+
+    return heads.select("id", "document_id", "profile", "head").mapInArrow(run, schema)
+
+
 @dataclass(frozen=True)
 class Symbols:
     """Dictionaries made at ingestion: words(word, id) of the heads of chunks, symbols(symbol, id) that chunks define."""
@@ -156,25 +193,35 @@ def question_scope(analyzed: DataFrame, chunks: DataFrame, named: DataFrame, sym
     Presence of filter combinations comes from counts by profile and, for questions with
     identifiers, counts of the chunks that hold them; the decision is one mask a question.
     """
-    symbols = symbols or Symbols.of(chunks)
+    named = materialized(named)
     kind = F.coalesce("block_type", F.lit("-"))
     marks = [F.coalesce(F.col("doc_type").isin(*LOW_SIGNAL), F.lit(False)), is_bluetooth_chunk(), is_code_chunk()]
     profile = F.concat(*[F.when(m, "1").otherwise("0") for m in marks], kind)
-    slim = materialized(chunks.select("id", "document_id", profile.alias("profile")))
+    has_named = named.select("question_id").distinct().withColumn("names_some", F.lit(True))
+    asked = materialized(
+        analyzed.select("question_id", "plan", "hints", "wants_catalog", "wants_bluetooth", "wants_code").join(has_named, "question_id", "left").na.fill(False, ["names_some"])
+    )
+    code = F.col("plan.prefer_code") | F.col("wants_code")
+    hints = materialized(asked.where(~F.col("names_some") & ~F.col("wants_catalog") & code).select("question_id", F.explode("hints").alias("hint")))
+    sent = sent_whole(hints)
+    # Without a dictionary made at ingestion, the chunks are searched for the hints in the pass that makes their profiles.
+    sought = sorted(r["hint"] for r in hints.select("hint").distinct().collect()) if symbols is None else []
+    parts = materialized(with_hints(chunks.select("id", "document_id", profile.alias("profile"), _head(F.col, 1000, symbol=True).alias("head")), sought))
+    slim = parts.drop("held")
     # A row for each combination of three flags and a block type.
     known = [(r["profile"], r["n"]) for r in slim.groupBy("profile").agg(F.count("*").alias("n")).collect()]
 
-    has_named = named.select("question_id").distinct().withColumn("names_some", F.lit(True))
-    asked = analyzed.select("question_id", "plan", "hints", "wants_catalog", "wants_bluetooth", "wants_code").join(has_named, "question_id", "left").na.fill(False, ["names_some"])
     cells = [F.struct(F.lit(p).alias("profile"), F.lit(n).alias("n")) for p, n in known] or [F.struct(F.lit("").alias("profile"), F.lit(0).alias("n"))]
     dealt = asked.where("not names_some").withColumn("cell", F.explode(F.array(*cells))).select("*", "cell.*").drop("cell").where("n > 0")
     low = F.substring("profile", 1, 1) == "1"
     narrowed = dealt.where(~F.col("wants_catalog") & ~low)
 
-    code = F.col("plan.prefer_code") | F.col("wants_code")
     some_hints = F.size("hints") > 0
-    hints = asked.where(~F.col("names_some") & ~F.col("wants_catalog") & code).select("question_id", F.explode("hints").alias("hint"))
-    held = materialized(symbols.holding(hints).join(slim.where(~low), "id").select("question_id", "id", "profile"))
+    if symbols is None:
+        holding = parts.where(~low).select("id", "profile", F.explode("held").alias("hint")).join(sent(hints), "hint").select("question_id", "id", "profile").distinct()
+    else:
+        holding = symbols.holding(hints).join(slim.where(~low), "id").select("question_id", "id", "profile")
+    held = materialized(holding)
     counted = narrowed.join(held.groupBy("question_id", "profile").agg(F.count("*").alias("n_held")), ["question_id", "profile"], "left").na.fill(0, ["n_held"])
 
     block_type = F.substring(F.col("profile"), 4, 100)
@@ -194,5 +241,6 @@ def question_scope(analyzed: DataFrame, chunks: DataFrame, named: DataFrame, sym
     hinted = held.join(decided.where("held and not whole"), ["question_id", "profile"]).select("question_id", "id")
     listed = hinted.unionByName(slim.join(named, "document_id").select("question_id", "id"))
     scope = Scope(slim, materialized(allowed), materialized(listed), listed.limit(0))
-    defining = hints.join(symbols.symbols, F.col("hint") == F.col("symbol")).select("question_id", "id").distinct()
+    defined = Symbols.of(chunks).symbols if symbols is None else symbols.symbols
+    defining = defined.join(sent(hints), F.col("hint") == F.col("symbol")).select("question_id", "id").distinct()
     return replace(scope, exact=materialized(scope.within(defining, "id")))

@@ -8,8 +8,10 @@ from loamspark import session
 from loamspark.llm import simhash_vptree
 from loamspark.functions import pdf_rules as rules
 from loamspark.functions import text as X
-from loamspark.operators import chunking, counted, ordered, pdf, ranking
+from loamspark.operators import chunking, counted, ordered, pdf, ranking, scoping
 from loamspark.operators.blocks import line_blocks
+from loamspark.operators.intent import analyzed
+from loamspark.schemas import CHUNKS, conform
 from loamspark.sources import html
 
 
@@ -164,3 +166,28 @@ def test_a_search_moves_only_what_can_be_among_the_best(spark, monkeypatch):
         assert rows(shared) == rows(ranking.top_k(joined, 4)) and rows(shared)
         assert "postings" not in lexical.columns and "Join" not in plan(lexical)
     assert counted.search(asked.limit(0), docs, "id", F.col("t"), 4)[0].count() == 0
+
+
+def test_names_of_documents_are_looked_up(spark):
+    """Documents do not meet every question; names shorter than six characters name nothing."""
+    documents = spark.createDataFrame([("a", "Guide A", "20240101000000_guide_a.md", "/in/x/guide_a.md"), ("b", "Manual B", None, None), ("c", "ABC", "abc.d", None), ("d", None, "é tests 文.pdf", None)], "id string, title string, filename string, source_path string")
+    questions = spark.createDataFrame([(1, "see  GUIDE A and manual b"), (2, "guide_a.md"), (3, "abc.d abc"), (4, ""), (5, None), (6, "in x\\\\guide_a: É TESTS 文.pdf"), (7, "manual")], "question_id int, question string")
+    found = scoping.named_documents(questions, documents)
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [(1, "a"), (1, "b"), (2, "a"), (6, "a"), (6, "d")]
+
+
+def test_hints_are_found_in_the_pass_over_chunks(spark, monkeypatch):
+    monkeypatch.setattr(scoping, "HEADS", 3)
+    texts = ["ble_start and start", None, "", "x restart ble", "void ble_stop() { }", "START é start_it", "no", "start"]
+    rows = [(str(i), "d", "T", i, t, "code", "source_code", None) for i, t in enumerate(texts)]
+    chunks = conform(spark.createDataFrame(rows, "id string, document_id string, document_title string, chunk_index int, content string, block_type string, doc_type string, symbol_name string"), CHUNKS).coalesce(1)
+    heads = chunks.select("id", "document_id", F.lit("p").alias("profile"), F.lower(F.coalesce("content", F.lit(""))).alias("head"))
+    hints = ["ble_start", "start", "void", "zzz"]
+    got = {int(r["id"]): r["held"] for r in scoping.with_hints(heads, hints).collect()}
+    assert got == {i: [h for h in hints if h in (t or "").lower()] for i, t in enumerate(texts)}
+    assert all(r["held"] == [] for r in scoping.with_hints(heads, []).collect())
+    asked = analyzed(spark.createDataFrame([(1, "function ble_start"), (2, "function start and void"), (3, "wheel")], "question_id int, question string"), 5)
+    none = spark.createDataFrame([], "question_id int, document_id string")
+    pairs = [sorted(map(tuple, scoping.question_scope(asked, chunks, none, symbols).pairs().collect())) for symbols in (None, scoping.Symbols.of(chunks))]
+    assert pairs[0] == pairs[1] and (1, "0") in pairs[0]
