@@ -11,6 +11,7 @@ from loamspark.functions import text as X
 from loamspark.operators import chunking, counted, ordered, pdf, ranking, scoping
 from loamspark.operators.blocks import line_blocks
 from loamspark.operators.intent import analyzed
+from loamspark.plans import retrieval
 from loamspark.schemas import CHUNKS, conform
 from loamspark.sources import html
 
@@ -168,6 +169,33 @@ def test_a_search_moves_only_what_can_be_among_the_best(spark, monkeypatch):
     assert counted.search(asked.limit(0), docs, "id", F.col("t"), 4)[0].count() == 0
 
 
+def shuffled(spark, run, *given) -> int:
+    """Bytes that the stages of a run write for shuffles."""
+    sc = spark.sparkContext
+    bus, store, none = sc._jsc.sc().listenerBus(), sc._jsc.sc().statusStore(), sc._gateway.new_array(sc._jvm.double, 0)
+
+    def stages() -> dict:
+        bus.waitUntilEmpty()
+        found = store.stageList(None, False, False, none, sc._jvm.java.util.ArrayList())
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteBytes() for i in range(found.size())}
+
+    before = max(stages(), default=-1)
+    run(*given).collect()
+    return sum(n for stage, n in stages().items() if stage > before)
+
+
+def test_normalized_scores_shuffle_no_more_over_more_texts(spark, sf_dir, tmp_path):
+    """What moves are the k best of each task and question, not a row for each question, text and shared token."""
+    docs, moved = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for times in (1, 6):
+        folder = tmp_path / str(times)
+        copies = docs.crossJoin(spark.range(times).withColumnRenamed("id", "copy")).withColumn("doc_id", F.col("doc_id") + F.col("copy") * 1_000_000).drop("copy")
+        copies.coalesce(1).write.parquet(f"{folder}/documents.parquet")
+        (folder / "benchmark.parquet").symlink_to(f"{sf_dir}/benchmark.parquet")
+        moved.append(shuffled(spark, retrieval.score_normalize, spark, str(folder)))
+    assert 0 < moved[1] < 1.5 * moved[0]
+
+
 def test_names_of_documents_are_looked_up(spark):
     """Documents do not meet every question; names shorter than six characters name nothing."""
     documents = spark.createDataFrame([("a", "Guide A", "20240101000000_guide_a.md", "/in/x/guide_a.md"), ("b", "Manual B", None, None), ("c", "ABC", "abc.d", None), ("d", None, "é tests 文.pdf", None)], "id string, title string, filename string, source_path string")
