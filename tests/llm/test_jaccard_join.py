@@ -119,3 +119,32 @@ def test_prefixes_share_what_they_promise():
                 a = jaccard_join.in_order(x, sketch)[: len(x) - jaccard_join.needed(len(x)) + min(lx, jaccard_join.needed(len(x)))]
                 b = jaccard_join.in_order(y, sketch)[: len(y) - jaccard_join.needed(len(y)) + min(ly, jaccard_join.needed(len(y)))]
                 assert len(np.intersect1d(a, b)) >= min(lx, ly, jaccard_join.needed(len(x)), jaccard_join.needed(len(y)))
+
+
+def test_a_passage_in_texts_of_all_lengths_makes_no_family(spark):
+    """A list is counted by lengths that can link, so what many texts of different lengths share ties none of them."""
+    passage = " ".join(f"p{i}" for i in range(24))
+    rows = [(100 * k + c, passage + "".join(f" u{k}x{c}x{i}" for i in range(int(30 * 1.5**k)))) for k in range(10) for c in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sketch = np.zeros(1 << jaccard_join.SKETCH_BITS, dtype=np.int64)
+    found = jaccard_join.candidate_ties(df, sketch, "text", 3, 90, 8, 8)
+    sizes = [r["count"] for r in jaccard_join.components(found).groupBy("root").count().collect()]
+    assert max(sizes, default=0) <= 3
+    assert got(df, heavy=8, block=2) == plain(rows)
+
+
+def test_large_families_are_dealt_by_lengths(spark):
+    """A set meets those of its length and not all of its family, and each pair that can link once."""
+    lengths = [int(20 * 1.06**i) for i in range(60)]
+    members = spark.createDataFrame([(bytes([i]), 1, len(lengths), 1, i, n) for i, n in enumerate(lengths)], "sid binary, root long, size long, copies long, mark long, n long")
+    tasks = jaccard_join.family_tasks(members.withColumn("class", jaccard_join.length_class(jaccard_join.F.col("n"), 90)), 8).collect()
+    met = {}
+    for r in tasks:
+        met.setdefault((r["group"], r["lo"], r["hi"]), []).append(r)
+    pairs = [
+        tuple(sorted((a["sid"][0], b["sid"][0]))) for (_, lo, hi), rows in met.items() for i, a in enumerate(rows) for b in rows[i + 1 :]
+        if not (a["upper"] and b["upper"]) and (lo == hi or a["own"] != b["own"])
+    ]
+    near = {(i, j) for j, n in enumerate(lengths) for i in range(j) if 100 * lengths[i] >= 90 * n}
+    assert len(pairs) == len(set(pairs)) and near <= set(pairs)
+    assert len(tasks) <= 3 * len(lengths)
