@@ -13,8 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loamspark.functions.embed import with_hash_provider
-from loamspark.functions.text import dot, lowered, snippet, strip, weighted_text
-from loamspark.operators import ranking
+from loamspark.functions.text import TERM_GROUPS, dot, lowered, snippet, strip, weighted_text
+from loamspark.operators import counted, ranking
 from loamspark.operators.intent import analyzed
 from loamspark.operators.postings import BlockIndex, pruned_topk
 from loamspark.operators.ranking import CODE_TYPES
@@ -99,18 +99,27 @@ def scoped_statistics(asked: DataFrame, index: BlockIndex, scope: Scope) -> Data
     return asked.join(df, ["question_id", "token"]).join(sizes, "question_id").select("question_id", "token", "qtf", "df", "n", (F.col("total") / F.col("n")).alias("avgdl"))
 
 
-def candidates(questions: DataFrame, chunks: DataFrame, vectors: DataFrame | None, scope: Scope, settings: Settings = Settings(), index: BlockIndex | None = None) -> DataFrame:
+def candidates(
+    questions: DataFrame, chunks: DataFrame, vectors: DataFrame | None, scope: Scope, settings: Settings = Settings(), index: BlockIndex | None = None, latin: Column | None = None
+) -> DataFrame:
     """(question_id, chunk_id, bm25, vector, score): both legs over-fetched, normalised, fused and adjusted.
 
     Questions with a column ``vector`` bring their own; else they are embedded as the hash
-    provider does.
+    provider does. Without an ``index``, texts are scored in the tasks that read them: weighted
+    texts, or the Latin tokens of ``latin``.
     """
     asked = materialized(ranking.question_tokens(questions.select("question_id", F.col("query").alias("question"))))
-    index = (index or BlockIndex.of(ranking.build_index(chunks))).narrowed(asked)
     limit = F.greatest(8 * F.greatest(F.lit(settings.candidate_limit), F.lit(settings.top_k), F.col("plan.candidate_limit")), F.lit(30))
     limits = questions.select("question_id", limit.alias("limit"))
-    counted = scoped_statistics(asked, index, scope) if settings.stats == "scoped" else index.statistics(asked)
-    lexical = pruned_topk(counted.join(limits, "question_id"), index, F.col("limit"), scope.within).select("question_id", "chunk_id", "score")
+    scoped = settings.stats == "scoped"
+    if index is None:
+        text, groups = (weighted_text(), TERM_GROUPS) if latin is None else (latin, ())
+        best = counted.scoped_search(asked, limits, chunks, "id", text, scope, groups, scoped)
+    else:
+        index = index.narrowed(asked)
+        known = scoped_statistics(asked, index, scope) if scoped else index.statistics(asked)
+        best = pruned_topk(known.join(limits, "question_id"), index, F.col("limit"), scope.within)
+    lexical = best.select("question_id", "chunk_id", "score")
     if vectors is None:
         semantic = lexical.limit(0)
     else:
@@ -147,13 +156,14 @@ def vector_leg(embedded: DataFrame, vectors: DataFrame, scope: Scope, limits: Da
 
 def answerable(
     questions: DataFrame, documents: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, settings: Settings = Settings(),
-    index: BlockIndex | None = None, symbols: Symbols | None = None,
+    index: BlockIndex | None = None, symbols: Symbols | None = None, latin: Column | None = None,
 ) -> DataFrame:
     """Citations of each question (question_id, question, optional ``recent`` user turns and ``vector``): rank, columns of CITATION, snippet, content, score.
 
     Scope, both legs, fusion and heuristics, the cut to top_k, task rescoring of what is
     left, and neighbour expansion; questions that name a symbol of the scoped code get the
-    chunks of that symbol instead. ``index`` and ``symbols`` are made at ingestion, or here.
+    chunks of that symbol instead. ``index`` and ``symbols`` are made at ingestion; without an
+    index texts are searched as they are read, ``latin`` or the weighted ones.
     """
     recent = F.col("recent") if "recent" in questions.columns else F.lit(None).cast("array<string>")
     own = [c for c in ("vector",) if c in questions.columns]
@@ -164,7 +174,7 @@ def answerable(
 
     answered = exact.select("question_id").distinct()
     open_questions = materialized(asked.join(answered, "question_id", "left_anti"))
-    found = materialized(candidates(open_questions, chunks, vectors, scope.without(answered), settings, index))
+    found = materialized(candidates(open_questions, chunks, vectors, scope.without(answered), settings, index, latin))
     best = ranking.top_k(found, settings.top_k).select("question_id", "chunk_id", "rank", "score")
     full = best.join(chunks, best["chunk_id"] == chunks["id"]).join(asked.select("question_id", "plan"), "question_id")
     lifted = F.when(F.col("plan.task_type") == "qa_fact", F.col("score")).otherwise(F.col("score") + task_preference(F.col("plan")))

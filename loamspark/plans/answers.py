@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from loamspark.functions import text as X
 from loamspark.operators import answering, ranking, scoping
 from loamspark.operators.intent import HINT_IGNORED, SCOPE_BLUETOOTH, SCOPE_CATALOG, SCOPE_CODE, analyzed
-from loamspark.operators.postings import BlockIndex
 from loamspark.plans import scoring
 from loamspark.plans import sql as S
 from loamspark.plans.questions import frame
@@ -67,8 +66,7 @@ def answers(spark, sf_dir):
     own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
     asked = _questions(spark, sf_dir).withColumn("vec_id", F.col("question_id") % 400)
     asked = asked.join(own, "vec_id", "left").drop("vec_id")
-    index = BlockIndex.of(ranking.build_latin_index(chunks, "id", F.col("content")))
-    found = answering.answerable(asked, documents, chunks, vectors, answering.Settings(top_k=TOP_K, dimension=64), index)
+    found = answering.answerable(asked, documents, chunks, vectors, answering.Settings(top_k=TOP_K, dimension=64), latin=F.col("content"))
     return found.select("question_id", "rank", F.col("chunk_id").cast("long").alias("doc_id"), "score")
 
 

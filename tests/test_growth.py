@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loamspark import session
 from loamspark.llm import simhash_vptree
+from loamspark.functions import embed
 from loamspark.functions import pdf_rules as rules
 from loamspark.functions import text as X
 from loamspark.operators import chunking, counted, ordered, pdf, ranking, scoping
@@ -219,3 +220,48 @@ def test_hints_are_found_in_the_pass_over_chunks(spark, monkeypatch):
     none = spark.createDataFrame([], "question_id int, document_id string")
     pairs = [sorted(map(tuple, scoping.question_scope(asked, chunks, none, symbols).pairs().collect())) for symbols in (None, scoping.Symbols.of(chunks))]
     assert pairs[0] == pairs[1] and (1, "0") in pairs[0]
+
+
+def test_a_search_in_scopes_makes_no_pairs(spark, monkeypatch):
+    """One pass over texts equals the joins of postings in each question's own chunks: profiles, lists, null and equal scores, slices and blocks included."""
+    monkeypatch.setattr(counted, "TEXTS", 3)
+    monkeypatch.setattr(counted, "PENDING", 2)
+    docs = spark.createDataFrame([(str(100 - i), t, "ab"[i % 2]) for i, t in enumerate(TEXTS * 3)], "id string, t string, profile string").coalesce(2)
+    filled = docs.withColumn("t", F.coalesce("t", F.lit("")))
+    questions = spark.createDataFrame([(7, "the host the tests"), (3, "BLE scan of 蓝牙"), (5, ""), (9, "zzz"), (4, "guide a b ring"), (6, "the host ble")], "question_id int, question string")
+    limits = spark.createDataFrame([(q, 2 + q % 3) for q in (3, 4, 5, 6, 7, 9)], "question_id int, limit int")
+    allowed = spark.createDataFrame([(7, "a"), (7, "b"), (3, "b"), (4, "a"), (9, "a")], "question_id int, profile string")
+    listed = docs.where("id % 5 = 0").select(F.lit(6).alias("question_id"), "id")
+    scope = scoping.Scope(docs.select("id", F.col("id").alias("document_id"), "profile"), allowed, listed, listed.limit(0))
+    for groups, tokens in (((), X.latin_tokens), (X.TERM_GROUPS, X.tokenize)):
+        asked = ranking.question_tokens(questions, tokens(F.col("question")))
+        index = ranking.build_index(filled, "id", tokens(F.col("t")))
+        rows = lambda df: sorted((r["question_id"], r["chunk_id"], round(r["score"], 6), r["rank"]) for r in df.collect())
+        scored = ranking.bm25(asked, index, scope.pairs().withColumnRenamed("id", "chunk_id"))
+        want = rows(ranking.top_k(scored.join(limits, "question_id"), F.col("limit")))
+        got = counted.scoped_search(asked, limits, docs, "id", F.col("t"), scope, groups, block=2)
+        assert rows(got) == want and {r[0] for r in want} >= {4, 6, 7}
+    assert counted.scoped_search(asked.limit(0), limits, docs, "id", F.col("t"), scope).count() == 0
+
+
+def test_best_items_shuffle_no_more_over_more_texts(spark, sf_dir, tmp_path):
+    docs, moved = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for times in (1, 6):
+        folder = tmp_path / str(times)
+        copies = docs.crossJoin(spark.range(times).withColumnRenamed("id", "copy")).withColumn("doc_id", F.col("doc_id") + F.col("copy") * 1_000_000).drop("copy")
+        copies.coalesce(1).write.parquet(f"{folder}/documents.parquet")
+        (folder / "benchmark.parquet").symlink_to(f"{sf_dir}/benchmark.parquet")
+        moved.append(shuffled(spark, retrieval.bm25_topk, spark, str(folder)))
+    assert 0 < moved[1] < 1.5 * moved[0]
+
+
+def test_texts_are_embedded_from_counts(spark, monkeypatch):
+    """Vectors are those of the tokens, and no row has a list of them; equal texts have equal vectors."""
+    monkeypatch.setattr(counted, "TEXTS", 3)
+    docs = spark.createDataFrame(list(enumerate((*TEXTS, "ﬁne ＢＬＥ", TEXTS[0]))), "id long, t string").coalesce(1)
+    made = embed.with_hash_provider(docs, F.col("t"), 32)
+    assert "regexp_extract_all" not in plan(made) and made.columns == ["id", "t", "values"]
+    got = {r["id"]: r["values"] for r in made.collect()}
+    tokens = docs.select("id", X.tokenize(X.nfkc(F.coalesce("t", F.lit("")))).alias("tokens")).collect()
+    assert all(np.allclose(got[r["id"]], embed.embed_tokens(r["tokens"], 32), atol=1e-12) for r in tokens)
+    assert got[0] == got[len(TEXTS) + 1] and got[4] == got[8]
