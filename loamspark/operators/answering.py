@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loamspark.functions.embed import with_hash_provider
-from loamspark.functions.text import TERM_GROUPS, dot, lowered, snippet, strip, weighted_text
+from loamspark.functions.text import TERM_GROUPS, dot, lowered, nfkc, snippet, strip, weighted_text
 from loamspark.operators import counted, ranking
 from loamspark.operators.intent import analyzed
 from loamspark.operators.postings import BlockIndex, pruned_topk
@@ -113,7 +113,7 @@ def candidates(
     limits = questions.select("question_id", limit.alias("limit"))
     scoped = settings.stats == "scoped"
     if index is None:
-        text, groups = (weighted_text(), TERM_GROUPS) if latin is None else (latin, ())
+        text, groups = (nfkc(weighted_text()), TERM_GROUPS) if latin is None else (latin, ())
         best = counted.scoped_search(asked, limits, chunks, "id", text, scope, groups, scoped)
     else:
         index = index.narrowed(asked)
