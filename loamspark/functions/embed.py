@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamspark.functions.text import chunk_fingerprint, nfkc, text_hash, tokenize, weighted_text
+from loamspark.functions.text import TERM_GROUPS, chunk_fingerprint, lowered, nfkc, text_hash, weighted_text
 from loamspark.schemas import VECTORS, VERSIONS, conform
 
 #: The two keys.
@@ -67,6 +67,19 @@ def embed_batch(tokens: pa.ListArray, dimension: int) -> np.ndarray:
     return summed / np.where(norms > 0, norms, 1.0)[:, None]
 
 
+def embed_counts(rows: np.ndarray, at: np.ndarray, tokens: pa.Array, times: np.ndarray, n: int, dimension: int) -> np.ndarray:
+    """``embed_batch`` of ``n`` texts from counts of their tokens, added in the order given."""
+    width = max(dimension, 0)
+    if not width or not len(rows):
+        return np.zeros((n, width))
+    places = [_places(w) for w in tokens.to_pylist()]
+    index = np.array([[i % width for i, _ in p] for p in places])[at]
+    signs = np.array([[s for _, s in p] for p in places])[at]
+    summed = np.bincount((rows[:, None] * width + index).ravel(), (signs * (1.0 + np.log1p(times))[:, None]).ravel(), n * width).reshape(n, width)
+    norms = np.sqrt((summed * summed).sum(axis=1))
+    return summed / np.where(norms > 0, norms, 1.0)[:, None]
+
+
 def with_hashed_vectors(rows: DataFrame, tokens: Column, dimension: int, name: str = "values") -> DataFrame:
     """rows with the embedding of a column of tokens, an Arrow batch at a time."""
     schema = T.StructType([*rows.drop(name).schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))])
@@ -82,8 +95,26 @@ def with_hashed_vectors(rows: DataFrame, tokens: Column, dimension: int, name: s
 
 
 def with_hash_provider(rows: DataFrame, text: Column, dimension: int, name: str = "values") -> DataFrame:
-    """Hashed embeddings of a text's tokens, compatibility forms folded first."""
-    return with_hashed_vectors(rows.withColumn("__folded", nfkc(text)), tokenize(F.col("__folded")), dimension, name).drop("__folded")
+    """Hashed embeddings of a text's tokens, compatibility forms folded first.
+
+    Tokens are counted for many texts at a time where these are read, and added in the order of
+    the tokens, so that equal texts have equal vectors in whatever task they are.
+    """
+    from loamspark.operators.counted import bounds, token_counts
+
+    schema = T.StructType([*rows.drop(name).schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, stop in bounds(batch.column(batch.num_columns - 1)):
+                part = batch.slice(start, stop - start)
+                made = embed_counts(*token_counts(part.column(part.num_columns - 1), TERM_GROUPS), len(part), dimension)
+                starts = np.arange(len(made) + 1, dtype=np.int32) * made.shape[1]
+                values = pa.ListArray.from_arrays(pa.array(starts), pa.array(made.ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], values], names=schema.names)
+
+    folded = rows.drop(name).withColumn("__folded", nfkc(text))
+    return folded.withColumn("__folded", F.coalesce(lowered(F.col("__folded")), F.lit(""))).mapInArrow(run, schema)
 
 
 #: A provider adds a column ``values`` of vectors to rows, from a text column; others may be registered.
