@@ -265,3 +265,17 @@ def test_texts_are_embedded_from_counts(spark, monkeypatch):
     tokens = docs.select("id", X.tokenize(X.nfkc(F.coalesce("t", F.lit("")))).alias("tokens")).collect()
     assert all(np.allclose(got[r["id"]], embed.embed_tokens(r["tokens"], 32), atol=1e-12) for r in tokens)
     assert got[0] == got[len(TEXTS) + 1] and got[4] == got[8]
+
+
+def test_no_line_is_shuffled_for_what_contents_say(spark):
+    """Lines come out of their page's row after all joins, titles that contents list and pages they do not included."""
+    pages = [("d", 1, [rules.CONTENTS, "1.1 Alpha 2", "1.2 Beta 3", rules.TABLES, "表1-1 Listed 2"]), ("d", 2, ["1.1 Alpha", "表 1-1 Some", "a | 1 2", "text goes on."]), ("d", 3, ["1.2 Beta", "plain", "表 9-9 Other", "b | 3 4"]), ("e", 2, ["alone"])]
+    df = spark.createDataFrame(pages, "document_id string, page_number int, lines array<string>")
+    entries = session.materialized(pdf.contents_table(df))
+    lines = pdf.classified_lines(df, entries)
+    top = plan(lines).split("Join", 1)[0]
+    assert "Generate posexplode" in top
+    got = {(r["document_id"], r["page_number"], r["i"]): r for r in lines.collect()}
+    assert len(got) == sum(len(p[2]) for p in pages)
+    assert [r["canonical"] for r in (got["d", 2, 1], got["d", 3, 2], got["d", 3, 1])] == ["表1-1. Listed", "表9-9. Other", None]
+    assert got["d", 1, 0]["listed"] and got["e", 2, 0]["listed"] is None and list(got["d", 3, 0]["base"]) == ["1.1 Alpha", "1.2 Beta"] and got["e", 2, 0]["base"] is None
